@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import byte_bpe, matroska, token_blocks
+from psephos.llm import byte_bpe, license_scan, matroska, packing, quality_ledger, token_blocks, warc
 from psephos.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,22 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_file_query(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), BYTE_BPE)
+
+
+def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.judged(_documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_documents(spark, sf_dir), BYTE_BPE_MULTI)
 
@@ -31,7 +47,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op8_byte_bpe, op10_matroska)}
+    return {f.__name__: f for f in (op1_token_blocks, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
