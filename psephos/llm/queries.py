@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import byte_bpe, license_scan, matroska, packing, quality_ledger, token_blocks, warc
+from psephos.llm import byte_bpe, license_scan, matroska, near_dedup, packing, quality_ledger, token_blocks, warc
 from psephos.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,12 +42,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_documents(spark, sf_dir), BYTE_BPE_MULTI)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(_documents(spark, sf_dir))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op10_matroska)}
+    return {f.__name__: f for f in (op1_token_blocks, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op9_near_dedup, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
