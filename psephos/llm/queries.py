@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import byte_bpe, license_scan, matroska, near_dedup, packing, quality_ledger, token_blocks, warc
+from psephos.llm import byte_bpe, license_scan, matroska, near_dedup, packing, quality_ledger, token_blocks, toxicity, warc
 from psephos.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_file_query(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
@@ -51,7 +56,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op9_near_dedup, op10_matroska)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_toxicity, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op9_near_dedup, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
