@@ -46,18 +46,19 @@ _LINES = _let(
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclaims")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of every text."""
-    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.expr(_WORDS))
+def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry along and the measurements of every text."""
+    words = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.expr(_WORDS))
     return words.select(
         "doc_id",
+        *carry,
         F.expr("CAST(size(words) AS BIGINT)").alias("n_words"),
         F.expr("aggregate(words, 0L, (n, w) -> n + length(w))").alias("word_chars"),
         F.expr("CAST(regexp_count(text, '[#*$%&|<>]') AS BIGINT)").alias("n_symbols"),
         F.expr("CAST(regexp_count(text, '!') AS BIGINT)").alias("n_exclaims"),
         F.expr(_LINES).alias("lines"),
         F.expr(_REPEATS).alias("n_repeat_words"),
-    ).select("doc_id", "n_words", "word_chars", "n_symbols", "lines.*", "n_repeat_words", "n_exclaims")
+    ).select("doc_id", *carry, "n_words", "word_chars", "n_symbols", "lines.*", "n_repeat_words", "n_exclaims")
 
 
 #: Rules in the order of their bits; a rule holds for the documents that fail it.
@@ -82,13 +83,13 @@ def mask_of(rules: tuple[str, ...]) -> int:
     return sum(1 << list(RULES).index(r) for r in rules)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, measurements and failures (bit k: the k-th rule failed)."""
+def ledger(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, measurements and failures (bit k: the k-th rule failed), and the columns to carry along."""
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
     total = bits[0]
     for bit in bits[1:]:
         total = total.bitwiseOR(bit)
-    return measure(docs).withColumn("failures", total)
+    return measure(docs, carry).withColumn("failures", total)
 
 
 def passes(version: str, failures: Column | None = None) -> Column:
@@ -119,3 +120,13 @@ def judged(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The ledger with base_failed (few or repeated words) and kept (the policy's verdict)."""
     base = F.col("failures").bitwiseAND(F.lit(mask_of(POLICIES["v1"]))) != 0
     return ledger(docs).select("doc_id", *MEASURES, "failures", base.alias("base_failed"), (~base & passes(version)).alias("kept"))
+
+
+def passing(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """Rows of docs, all columns kept, that a policy passes.
+
+    The verdict is a column of the row itself, so neither texts nor ids are shuffled.
+    """
+    names = docs.columns
+    row = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
+    return ledger(row, carry=("_row",)).filter(passes(version)).select("_row.*")

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.llm import byte_bpe, license_scan, matroska, near_dedup, packing, quality_ledger, token_blocks, toxicity, warc
-from psephos.llm.common import table
+from psephos.llm import byte_bpe, license_scan, matroska, near_dedup, packing, pii, quality_ledger, token_blocks, toxicity, warc
+from psephos.llm.common import ship, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of surrogates; a deployment sets its own in the session."""
+    return spark.conf.get("spark.psephos.pii.key", "psephos").encode()
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
@@ -27,6 +33,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(_documents(spark, sf_dir), pii_key(spark))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
@@ -55,8 +65,17 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(_documents(spark, sf_dir))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op2_toxicity, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op9_near_dedup, op10_matroska)}
+    return {f.__name__: _shipped(f) for f in (op1_token_blocks, op2_toxicity, op3_pii_surrogates, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op9_near_dedup, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
