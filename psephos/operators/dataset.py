@@ -38,7 +38,7 @@ def stratified_plan(spark: SparkSession) -> DataFrame:
 
 def replicated(real: DataFrame, synthetic: DataFrame, times: int) -> DataFrame:
     """Synthetic rows, and every real row so many times."""
-    copies = real.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))).cast("long"))
+    copies = real.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long"))))
     return copies.unionByName(synthetic.withColumn("copy", F.lit(1).cast("long")))
 
 

@@ -22,13 +22,13 @@ def claims(events: DataFrame, key: str, time: str, status: str, stale: int = STA
     progress and stale.  Each outcome depends on the last claim: a fold over the key's ordered
     events.  Keys are versions of objects, with few events each.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("event_id"), F.col(status).alias("s"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col("event_id"), F.col(status).alias("s"))))
     folded = events.groupBy(key).agg(ordered.alias("e"))
     kind = "array<struct<event_id:bigint,outcome:string,claims:bigint>>"
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("timestamp").alias("since"), F.lit(0).cast("long").alias("claims"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("long").alias("since"), F.lit(0).cast("long").alias("claims"), F.array().cast(kind).alias("out"))
 
     def step(a: Column, e: Column) -> Column:
-        waited = F.unix_micros(e.t) - F.unix_micros(a.since)
+        waited = e.t - a.since
         free = a.state.isNull() | (a.state == "FAILED") | ((a.state == "IN_PROGRESS") & (waited >= stale * 1_000_000))
         free = F.coalesce(free, F.lit(True))
         count = a.claims + free.cast("long")

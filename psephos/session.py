@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,3 +30,13 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(name)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); only where
+    that is unset, as in tests, a temporary folder of this machine is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="psephos-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
