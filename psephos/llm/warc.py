@@ -269,4 +269,4 @@ def quarantine_log(found: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write every page, read the archives back: what each record says of its payload."""
     back = read_archives(stored(archives(pages), "warc"), with_payload=False)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "size")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
