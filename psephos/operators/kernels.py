@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 def grey(image: np.ndarray) -> np.ndarray:
     if image.ndim == 2:
         return image.astype(np.float64)
-    return image[..., 0] * 0.114 + image[..., 1] * 0.587 + image[..., 2] * 0.299
+    return np.rint(image[..., 0] * 0.114 + image[..., 1] * 0.587 + image[..., 2] * 0.299)
 
 
 def otsu(values: np.ndarray) -> int:
