@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.session import ship as ship  # executors get this package from the driver
+from psephos.session import shared_path as scratch
+from psephos.session import ship
+
+__all__ = ["one_thread", "scratch", "ship", "slices", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -18,19 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (a local
-    session, as in tests) a temporary folder of this machine is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="psephos-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
