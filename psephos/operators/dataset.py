@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Placement categories of the print plan and how many stamps each has; ten have none.
-PLACEMENTS = (("inside", 12), ("overlap-text", 8), ("edge", 6), ("near-boxes", 8), ("corner", 4), ("cut", 2), ("none", 10))
+# Placement categories of the print plan and how many stamps each has (ten ballots have
+# none), appearances in turn, and weights of positions on synthetic pages.
+PLACEMENTS = (("top_instruction_text", 12), ("candidate_name_party_text", 8), ("party_logo_or_candidate_photo", 6), ("blank_white_area", 8), ("near_page_edge_or_margin", 4), ("partly_off_ballot_area", 2), ("none", 10))
+APPEARANCES = ("clear_dark", "normal_grey", "faint_light", "slightly_rotated", "overlapping_dark_text")
+POSITIONS = (("border", 0.35), ("anywhere", 0.25), ("top", 0.25), ("right_column", 0.15))
 
 
 def shuffle_split(rows: DataFrame, key: str, seed: str = "123", test: float = 0.15, val: float = 0.15) -> DataFrame:
@@ -33,7 +36,7 @@ def stratified_plan(spark: SparkSession) -> DataFrame:
     each = rows.select("place", "category", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
     numbered = each.withColumn("ordinal", F.row_number().over(Window.orderBy("place", "k")).cast("long"))
     stamped = F.col("category") != "none"
-    return numbered.select("ordinal", "category", stamped.alias("stamped"), F.when(stamped, (F.col("ordinal") - 1) % 5).alias("appearance"))
+    return numbered.select("ordinal", "category", stamped.alias("stamped"), F.when(stamped, F.get(F.array(*[F.lit(a) for a in APPEARANCES]), ((F.col("ordinal") - 1) % len(APPEARANCES)).cast("int"))).alias("appearance"))
 
 
 def replicated(real: DataFrame, synthetic: DataFrame, times: int) -> DataFrame:

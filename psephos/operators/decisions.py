@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VALID, REVIEW, NONE = "VALID STAMP", "REVIEW", "NO STAMP"
+# Stamp labels, thresholds and geometry limits as they are shipped, and causes of misses.
+VALID, REVIEW, NONE = "VALID STAMP", "REVIEW REQUIRED", "NO STAMP"
+CAUSES = ("no detection / no bbox", "failed geometry gate", "review decision instead of valid", "score below threshold", "decision not valid")
 
 
 @dataclass(frozen=True)
@@ -18,11 +20,11 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class GeometryLimits:
-    area_min: float = 0.0008
-    area_max: float = 0.02
-    circularity: float = 0.5
-    ellipse_edge: float = 0.3
-    template: float = 0.2
+    area_min: float = 0.0001
+    area_max: float = 0.30
+    circularity: float = 0.07
+    ellipse_edge: float = 0.0
+    template: float = 0.10
     blobs: int = 0
     blob_spread: float = 0.0
 
@@ -69,7 +71,7 @@ def display_name(candidate_id: Column, *names: Column) -> Column:
 
 def false_negative_cause(has_box: Column, geometry_ok: Column, decision: Column, score: Column, t: Thresholds = Thresholds()) -> Column:
     return (
-        F.when(~has_box, "no detection").when(~geometry_ok, "geometry").when(decision == REVIEW, "review").when(score < t.valid, "low score").otherwise("other")
+        F.when(~has_box, CAUSES[0]).when(~geometry_ok, CAUSES[1]).when(decision == REVIEW, CAUSES[2]).when(score < t.valid, CAUSES[3]).otherwise(CAUSES[4])
     )
 
 

@@ -29,13 +29,17 @@ def sizes_agree(stated: Column, found: Column) -> Column:
     return stated == found
 
 
-def page_contour_score(area: Column, w: Column, h: Column, margin: Column, offset: Column, page_area: float) -> Column:
-    """How like a sheet a contour is: large, filling its box, of a sheet's aspect, off the border, near the
-    middle; -1 for what can't be one.  margin: least distance to the border, offset: of the centres, both
-    as parts of the page's size."""
-    part, fill, aspect = area / page_area, area / (w * h), F.greatest(w, h) / F.least(w, h)
-    score = 2.0 * part + fill + F.when(aspect.between(1.4, 8.5), 1.0).otherwise(0.0) + F.when(margin > 0.005, 0.3).otherwise(-0.3) - offset
-    return F.when((part < 0.08) | (part > 0.98) | (fill < 0.5), -1.0).otherwise(score)
+def page_contour_score(area: Column, w: Column, h: Column, sides: Column, offset: Column, sheet: Column, page_area: float, least: float = 0.18) -> Column:
+    """How like a sheet a contour is: its area, weighed by how it fills its box and its tightest rectangle
+    (of area ``sheet``), by aspect, by sides that touch the border and by its distance from the middle
+    (offset, in page diagonals); -1 for what can't be a sheet."""
+    fill = area / F.greatest(F.lit(1), w * h)
+    aspect = F.greatest(F.lit(0.35), 1.0 - F.abs(F.greatest(w, h) / F.greatest(F.lit(1), F.least(w, h)) - 1.65) / 2.3)
+    border = F.when(sides >= 2, 0.06).when(sides == 1, 0.42).otherwise(1.0)
+    centre = F.greatest(F.lit(0.2), 1.0 - offset * 1.7)
+    tight = F.greatest(F.lit(0.2), F.least(F.lit(1.0), area / F.greatest(F.lit(1), sheet)))
+    unfit = (area < page_area * least) | (fill < 0.28) | ((area > 0.95 * page_area) & (fill > 0.90))
+    return F.when(unfit, -1.0).otherwise(area * fill * aspect * border * centre * tight)
 
 
 def page_of_ids(rows: DataFrame, order: str, limit: int, offset: int) -> DataFrame:

@@ -18,7 +18,7 @@ def ballot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ballot", "label", F.coalesce("numbers_found", F.lit(0)).cast("long").alias("numbers_found"), "sequence_ok", decisions.ballot_state(F.col("label"), F.col("sequence_ok")).alias("state"))
 
 
-_BALLOTS = "SELECT o_orderkey AS ballot, CASE o_orderstatus WHEN 'F' THEN 'VALID STAMP' WHEN 'P' THEN 'REVIEW' ELSE 'NO STAMP' END AS label FROM orders"
+_BALLOTS = "SELECT o_orderkey AS ballot, CASE o_orderstatus WHEN 'F' THEN 'VALID STAMP' WHEN 'P' THEN 'REVIEW REQUIRED' ELSE 'NO STAMP' END AS label FROM orders"
 _SUMMARY = "SELECT l_orderkey AS ballot, count(*) AS n, (count(*) = count(DISTINCT l_linenumber) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*)) AS ok FROM lineitem GROUP BY 1"
 _STATE = f"WITH b AS ({_BALLOTS}), s AS ({_SUMMARY}) SELECT b.ballot, b.label, CAST(coalesce(n, 0) AS BIGINT) AS numbers_found, ok AS sequence_ok, CASE WHEN label = 'VALID STAMP' AND coalesce(ok, false) THEN 'Valid' ELSE 'Doubtful' END AS state FROM b LEFT JOIN s USING (ballot)"
 
@@ -34,13 +34,13 @@ def stamp_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DETECTIONS = "SELECT doc_id, source, (n_chars % 1000) / 1000.0 AS score, toxic = 0 AS geometry_ok, quality = 1 AS truth, n_chars % 11 <> 0 AS has_box FROM documents JOIN labels USING (doc_id)"
-_DECIDED = f"SELECT *, CASE WHEN score >= 0.38 AND geometry_ok THEN 'VALID STAMP' WHEN score < 0.18 OR NOT geometry_ok THEN 'NO STAMP' ELSE 'REVIEW' END AS decision FROM ({_DETECTIONS})"
+_DECIDED = f"SELECT *, CASE WHEN score >= 0.38 AND geometry_ok THEN 'VALID STAMP' WHEN score < 0.18 OR NOT geometry_ok THEN 'NO STAMP' ELSE 'REVIEW REQUIRED' END AS decision FROM ({_DETECTIONS})"
 
 
 def geometry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area range first, then all minima."""
     d = t.read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    features = F.struct((F.col("n_chars") % 400 / 10000).alias("area_frac"), (F.col("n_chars") % 17 / 16).alias("circularity"), (F.col("n_chars") % 13 / 12).alias("ellipse_edge_pct"), (F.col("n_chars") % 5 / 4).alias("template_ncc"), (F.col("n_chars") % 3).alias("blob_count"), F.lit(0.0).alias("blob_spread"))
+    features = F.struct((F.col("n_chars") % 4000 / 10000).alias("area_frac"), (F.col("n_chars") % 17 / 16).alias("circularity"), (F.col("n_chars") % 13 / 12).alias("ellipse_edge_pct"), (F.col("n_chars") % 5 / 4).alias("template_ncc"), (F.col("n_chars") % 3).alias("blob_count"), F.lit(0.0).alias("blob_spread"))
     return d.select("doc_id", decisions.geometry_gate(features).alias("geometry_ok"))
 
 
@@ -135,7 +135,7 @@ def false_negative_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.causes(evaluation.false_negatives(t.detections(spark, sf_dir)))
 
 
-_MISSED = f"SELECT *, CASE WHEN NOT has_box THEN 'no detection' WHEN NOT geometry_ok THEN 'geometry' WHEN decision = 'REVIEW' THEN 'review' WHEN score < 0.38 THEN 'low score' ELSE 'other' END AS cause FROM ({_DECIDED}) WHERE truth AND decision <> 'VALID STAMP'"
+_MISSED = f"SELECT *, CASE WHEN NOT has_box THEN 'no detection / no bbox' WHEN NOT geometry_ok THEN 'failed geometry gate' WHEN decision = 'REVIEW REQUIRED' THEN 'review decision instead of valid' WHEN score < 0.38 THEN 'score below threshold' ELSE 'decision not valid' END AS cause FROM ({_DECIDED}) WHERE truth AND decision <> 'VALID STAMP'"
 
 
 def false_negative_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +194,8 @@ QUERIES = {
 _ID = "(1000001 + (o_orderkey * 7368787 + 12345) % 8999999)"
 ORACLES = {
     "ballot_state": _STATE,
-    "stamp_decision": f"SELECT doc_id, round(score::DOUBLE, 9) AS score, decision, coalesce(CASE WHEN doc_id % 7 <> 0 THEN geometry_ok END, decision IN ('VALID STAMP', 'REVIEW')) AS geometry_used FROM ({_DECIDED})",
-    "geometry_gate": "SELECT doc_id, n_chars % 400 BETWEEN 8 AND 200 AND n_chars % 17 >= 8 AND (n_chars % 13) / 12.0 >= 0.3 AND n_chars % 5 >= 1 AS geometry_ok FROM documents",
+    "stamp_decision": f"SELECT doc_id, round(score::DOUBLE, 9) AS score, decision, coalesce(CASE WHEN doc_id % 7 <> 0 THEN geometry_ok END, decision IN ('VALID STAMP', 'REVIEW REQUIRED')) AS geometry_used FROM ({_DECIDED})",
+    "geometry_gate": "SELECT doc_id, n_chars % 4000 BETWEEN 1 AND 3000 AND n_chars % 17 >= 2 AND n_chars % 5 >= 1 AS geometry_ok FROM documents",
     "merge_two_level_key": _MERGE,
     "preference_facts": _FACTS,
     "expected_rows": "SELECT CAST(n_regionkey AS BIGINT) AS election, count(*) AS expected_rows FROM nation GROUP BY 1",

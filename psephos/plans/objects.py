@@ -29,8 +29,8 @@ def page_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"))
     n = F.col("n")
     w, h = 10 + n % 90, 20 + n % 79
-    score = d.page_contour_score(w * h * (n % 11) / 10, w, h, n % 7 / 100, n % 13 / 40, 10_000.0)
-    return docs.select("doc_id", F.round(score, 9).alias("score"))
+    score = d.page_contour_score(w * h * (n % 11) / 10, w, h, n % 3, n % 13 / 40, w * h * 0.9, 10_000.0)
+    return docs.select("doc_id", F.round(score, 6).alias("score"))
 
 
 def id_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,6 @@ QUERIES = {f.__name__: f for f in (best_detection, head_summary, page_contours,
 ORACLES = {
     "best_detection": f"SELECT ballot, ord, score, geometry_ok FROM (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY geometry_ok DESC, score DESC, ord) AS k FROM (SELECT ballot, row_num AS ord, p % 50 AS score, s % 3 = 0 AS geometry_ok FROM ({DIGITS})) WHERE score > 0) WHERE k = 1",
     "head_summary": "SELECT page_id::VARCHAR AS key, page_id::VARCHAR AS etag, octet_length(encode(html)) AS content_length, CASE WHEN page_id % 2 = 0 THEN 'crc32' ELSE 'sha256' END AS first_checksum, CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_checksums, CASE WHEN page_id % 3 <> 0 THEN page_id % 2 = 0 END AS sizes_agree FROM pages",
-    "page_contours": "WITH c AS (SELECT doc_id, n_chars AS n, 10 + n_chars % 90 AS w, 20 + n_chars % 79 AS h FROM documents), e AS (SELECT *, w * h * (n % 11) / 10 AS area FROM c) SELECT doc_id, round(CASE WHEN area / 10000 < 0.08 OR area / 10000 > 0.98 OR area / (w * h) < 0.5 THEN -1 ELSE 2 * (area / 10000) + area / (w * h) + CASE WHEN greatest(w, h) / least(w, h) BETWEEN 1.4 AND 8.5 THEN 1 ELSE 0 END + CASE WHEN (n % 7) / 100 > 0.005 THEN 0.3::DOUBLE ELSE -0.3::DOUBLE END - (n % 13) / 40 END, 9) AS score FROM e",
+    "page_contours": "WITH c AS (SELECT doc_id, n_chars AS n, 10 + n_chars % 90 AS w, 20 + n_chars % 79 AS h FROM documents), e AS (SELECT *, w * h * (n % 11) / 10 AS area FROM c) SELECT doc_id, round(CASE WHEN area < 1800 OR area / (w * h) < 0.28 OR (area > 9500 AND area / (w * h) > 0.9) THEN -1 ELSE area * (area / (w * h)) * greatest(0.35, 1 - abs(greatest(w, h) / least(w, h) - 1.65) / 2.3) * CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.42 ELSE 0.06 END * greatest(0.2, 1 - (n % 13) / 40 * 1.7) * greatest(0.2, least(1, area / (w * h * 0.9::DOUBLE))) END, 6) AS score FROM e",
     "id_page": "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 100 OFFSET 300",
 }

@@ -118,7 +118,7 @@ def replicated_training_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a synthetic stamp goes, by weight, from a hash of the row."""
     d = t.read(spark, sf_dir, "documents").select("doc_id")
-    return d.select("doc_id", dataset.weighted_choice(dataset.drawn(F.col("doc_id"), "42"), [("border", 0.35), ("corner", 0.25), ("centre", 0.25), ("any", 0.15)]).alias("place"))
+    return d.select("doc_id", dataset.weighted_choice(dataset.drawn(F.col("doc_id"), "42"), list(dataset.POSITIONS)).alias("place"))
 
 
 def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,11 +234,11 @@ ORACLES = {
     "tile_blank_gate": f"SELECT tile, coalesce(ink < 8 OR ink / 64 < 0.1 OR ((w < 0.10 OR h < 0.18) AND NOT (h > 0.55 AND w / h < 0.3)), true) AS blank FROM (SELECT tile, count(*) FILTER (v > 0.15) AS ink, (max(x) FILTER (v > 0.15) - min(x) FILTER (v > 0.15) + 1) / 8 AS w, (max(y) FILTER (v > 0.15) - min(y) FILTER (v > 0.15) + 1) / 8 AS h FROM ({_PIX}) GROUP BY 1)",
     "tile_dark_fraction": f"WITH i AS (SELECT * FROM ({_PIX}) WHERE x BETWEEN 2 AND 6 AND y BETWEEN 2 AND 6), l AS (SELECT tile, quantile_cont(v, 0.6) AS q FROM i GROUP BY 1) SELECT tile, round(avg((v < q)::INT), 9) AS dark FROM i JOIN l USING (tile) GROUP BY 1",
     "dataset_split": "WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY md5('123:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k <= trunc(0.15 * n) THEN 'test' WHEN k <= 2 * trunc(0.15 * n) THEN 'val' ELSE 'train' END AS split FROM k",
-    "stratified_plan": "WITH p AS (SELECT * FROM (VALUES (0, 'inside', 12), (1, 'overlap-text', 8), (2, 'edge', 6), (3, 'near-boxes', 8), (4, 'corner', 4), (5, 'cut', 2), (6, 'none', 10)) v(place, category, n)), e AS (SELECT row_number() OVER (ORDER BY place, i) AS ordinal, category FROM p, range(12) t(i) WHERE i < n) SELECT ordinal, category, category <> 'none' AS stamped, CASE WHEN category <> 'none' THEN (ordinal - 1) % 5 END AS appearance FROM e",
+    "stratified_plan": "WITH p AS (SELECT * FROM (VALUES (0, 'top_instruction_text', 12), (1, 'candidate_name_party_text', 8), (2, 'party_logo_or_candidate_photo', 6), (3, 'blank_white_area', 8), (4, 'near_page_edge_or_margin', 4), (5, 'partly_off_ballot_area', 2), (6, 'none', 10)) v(place, category, n)), e AS (SELECT row_number() OVER (ORDER BY place, i) AS ordinal, category FROM p, range(12) t(i) WHERE i < n) SELECT ordinal, category, category <> 'none' AS stamped, CASE WHEN category <> 'none' THEN ['clear_dark', 'normal_grey', 'faint_light', 'slightly_rotated', 'overlapping_dark_text'][(ordinal - 1) % 5 + 1] END AS appearance FROM e",
     "replicated_training_list": "SELECT doc_id, i + 1 AS copy FROM documents, range(25) t(i) WHERE doc_id % 10 = 0 OR i = 0",
-    "placements": "SELECT doc_id, CASE WHEN f < 0.35 THEN 'border' WHEN f < 0.6 THEN 'corner' WHEN f < 0.85 THEN 'centre' ELSE 'any' END AS place FROM (SELECT doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296 AS f FROM documents)",
+    "placements": "SELECT doc_id, CASE WHEN f < 0.35 THEN 'border' WHEN f < 0.6 THEN 'anywhere' WHEN f < 0.85 THEN 'top' ELSE 'right_column' END AS place FROM (SELECT doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296 AS f FROM documents)",
     "parity_check": "WITH b AS (SELECT doc_id, text AS a, CASE WHEN doc_id % 13 = 0 THEN text || 'x' WHEN doc_id % 17 = 0 THEN reverse(text) ELSE text END AS b FROM documents) SELECT doc_id, a = b AS same_sha256, octet_length(encode(a)) = octet_length(encode(b)) AS same_bytes, a = b AS same FROM b",
-    "audit_rollup": "SELECT doc_id // 100 AS batch, count(*) AS n, '2024-02-01T00:00:00Z' AS ts, '[' || string_agg('{\"doc_id\":' || doc_id || ',\"decision\":\"' || CASE WHEN (n_chars % 1000) / 1000.0 >= 0.38 AND toxic = 0 THEN 'VALID STAMP' WHEN (n_chars % 1000) / 1000.0 < 0.18 OR toxic <> 0 THEN 'NO STAMP' ELSE 'REVIEW' END || '\"}', ',' ORDER BY doc_id) || ']' AS inference FROM documents JOIN labels USING (doc_id) GROUP BY 1",
+    "audit_rollup": "SELECT doc_id // 100 AS batch, count(*) AS n, '2024-02-01T00:00:00Z' AS ts, '[' || string_agg('{\"doc_id\":' || doc_id || ',\"decision\":\"' || CASE WHEN (n_chars % 1000) / 1000.0 >= 0.38 AND toxic = 0 THEN 'VALID STAMP' WHEN (n_chars % 1000) / 1000.0 < 0.18 OR toxic <> 0 THEN 'NO STAMP' ELSE 'REVIEW REQUIRED' END || '\"}', ',' ORDER BY doc_id) || ']' AS inference FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     "label_table": "SELECT doc_id, coalesce(quality::VARCHAR, '') AS label FROM documents LEFT JOIN labels USING (doc_id)",
     "newest_event": "SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type FROM events GROUP BY 1",
     "idempotency_replay": _REPLAY,

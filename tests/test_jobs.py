@@ -9,7 +9,7 @@ from psephos.sources import files
 
 
 def test_merge_job(spark, tmp_path):
-    manifest = [{"image": f"in/{n}.png", "decision": d, "score": s, "bbox": None, "geo_ok": True, "features": {}, "skew_deg": 0.0} for n, d, s in (("b1", "VALID STAMP", 0.9), ("b2", "REVIEW", 0.3), ("b3", "VALID STAMP", 0.8))]
+    manifest = [{"image": f"in/{n}.png", "decision": d, "score": s, "bbox": None, "geo_ok": True, "features": {}, "skew_deg": 0.0} for n, d, s in (("b1", "VALID STAMP", 0.9), ("b2", "REVIEW REQUIRED", 0.3), ("b3", "VALID STAMP", 0.8))]
     (tmp_path / "m.json").write_text(json.dumps(manifest))
     for name, digits in (("b1", [2, 1, "NULL"]), ("b2", [1, 2, 3])):
         (tmp_path / f"ballot_{name}").mkdir()

@@ -18,20 +18,20 @@ def test_sequence(spark, digits, ok):
     assert bool(row.ok) is ok
 
 
-@pytest.mark.parametrize(("score", "geometry", "expected"), [(0.38, True, "VALID STAMP"), (0.37, True, "REVIEW"), (0.18, True, "REVIEW"), (0.17, True, "NO STAMP"), (0.99, False, "NO STAMP")])
+@pytest.mark.parametrize(("score", "geometry", "expected"), [(0.38, True, "VALID STAMP"), (0.37, True, "REVIEW REQUIRED"), (0.18, True, "REVIEW REQUIRED"), (0.17, True, "NO STAMP"), (0.99, False, "NO STAMP")])
 def test_decision(spark, score, geometry, expected):
     assert spark.range(1).select(decisions.stamp_decision(F.lit(score), F.lit(geometry)).alias("d")).first().d == expected
 
 
 def test_state(spark):
-    rows = spark.createDataFrame([("VALID STAMP", True), ("VALID STAMP", None), ("REVIEW", True), ("NO STAMP", True)], "l string, ok boolean")
+    rows = spark.createDataFrame([("VALID STAMP", True), ("VALID STAMP", None), ("REVIEW REQUIRED", True), ("NO STAMP", True)], "l string, ok boolean")
     assert [r.s for r in rows.select(decisions.ballot_state(F.col("l"), F.col("ok")).alias("s")).collect()] == ["Valid", "Doubtful", "Doubtful", "Doubtful"]
 
 
 def test_cause_order(spark):
-    rows = spark.createDataFrame([(False, False, "REVIEW", 0.1), (True, False, "REVIEW", 0.1), (True, True, "REVIEW", 0.1), (True, True, "NO STAMP", 0.1), (True, True, "NO STAMP", 0.9)], "b boolean, g boolean, d string, s double")
+    rows = spark.createDataFrame([(False, False, "REVIEW REQUIRED", 0.1), (True, False, "REVIEW REQUIRED", 0.1), (True, True, "REVIEW REQUIRED", 0.1), (True, True, "NO STAMP", 0.1), (True, True, "NO STAMP", 0.9)], "b boolean, g boolean, d string, s double")
     got = [r.c for r in rows.select(decisions.false_negative_cause(F.col("b"), F.col("g"), F.col("d"), F.col("s")).alias("c")).collect()]
-    assert got == ["no detection", "geometry", "review", "low score", "other"]
+    assert got == list(decisions.CAUSES)
 
 
 def test_names(spark):
@@ -106,7 +106,7 @@ def test_sources(spark, tmp_path):
     numbers = d.filter("is_number").withColumn("n", F.col("digit").cast("int"))
     row = decisions.sequence_summary(numbers, "ballot", "n").first()
     assert (row.ballot, row.numbers_found, row.sequence_ok) == ("7", 3, False)
-    (tmp_path / "m.json").write_text(json.dumps([{"image": "a.png", "decision": "REVIEW", "score": 0.3, "bbox": None, "geo_ok": True, "features": {}, "skew_deg": 0.0}]))
+    (tmp_path / "m.json").write_text(json.dumps([{"image": "a.png", "decision": "REVIEW REQUIRED", "score": 0.3, "bbox": None, "geo_ok": True, "features": {}, "skew_deg": 0.0}]))
     assert files.manifest(spark, str(tmp_path / "m.json")).first().features.area_frac is None
     (tmp_path / "l").mkdir()
     (tmp_path / "l" / "a.txt").write_text("0 0.5 0.25 0.1 0.05\n")
