@@ -1,9 +1,10 @@
 """Byte-level BPE over pieces: cut a text where no merge can cross, encode each distinct piece once.
 
 The split pattern of the byte-level vocabularies never lets a match run over a space that follows
-a non-space, so a text may be cut before such spaces ("units") and each unit encoded alone.  Where
-white space comes in runs that a cut could break, the whole text goes through the pattern.
-Both caches are bounded: a full one is emptied, which costs time and never changes a result.
+a non-space, so a text may be cut before such spaces ("units") and each unit encoded alone; likewise
+around line ends, and commas and full stops that white space follows, where no other white space or
+sign stands beside them.  Where white space comes in runs that a cut could break, the whole text goes
+through the pattern.  The cache is bounded; what falls out of it costs time and never changes a result.
 """
 
 from __future__ import annotations
@@ -20,37 +21,33 @@ from psephos.llm.common import one_thread
 _INSIDE_RUN = re.compile(r"\s (?!\S)")
 #: Characters whose class may differ between Unicode versions.
 _RECENT = re.compile("[鼀-\U0010ffff]")
-MAX_PIECES, MAX_UNITS = 600_000, 400_000
+#: Full stops and commas that stand at a piece's end only if no sign stands before them.
+_SIGN_RUN = re.compile(r",(?<=[\W_],)(?<!\s,)(?=\s)"), re.compile(r"\.(?<=[\W_]\.)(?<!\s\.)(?=\s)")
+#: A line end with more white space beside it.
+_LINE_RUN = re.compile(r"\n(?:\s|(?<=\s\n))")
+MOST_CACHED = 450_000
 
 
-class _Pieces(dict):
-    def __init__(self, encode: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
+class _Cache(dict):
+    """Ids of units and pieces in two generations: when the young one is full it becomes the old one,
+    and what is used again moves back."""
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids = self.encode(piece)
-        return ids
-
-
-class _Units(dict):
-    def __init__(self, pieces: _Pieces, most: int):
+    def __init__(self, encode: Callable[[str], bytes], most: int):
         super().__init__()
-        self.pieces, self.most = pieces, most
+        self.encode, self.most, self.old = encode, most, {}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, unit: str) -> bytes:
+        ids = self.old.get(unit)
+        if ids is None:
+            if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+                ids = self.encode(unit)
+            else:
+                pieces = self.split(unit)
+                ids = self.encode(unit) if len(pieces) == 1 else b"".join([self[p] for p in pieces])
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        core, last = unit[:-1], unit[-1:]
-        if last.isalpha() and unit.lstrip(" ").isalpha():
-            ids = self.pieces[unit]
-        elif last in ".," and core[-1:].isalpha() and core in self:
-            ids = self[core] + self.pieces[last]
-        else:
-            ids = b"".join(map(self.pieces.__getitem__, self.split(unit)))
         self[unit] = ids
         return ids
 
@@ -63,8 +60,7 @@ class PieceEncoder:
     """
 
     def __init__(self, piece: Callable[[str], bytes], whole: Callable[[str], bytes] | None = None, special: tuple[str, ...] = ()):
-        self.pieces = _Pieces(piece, MAX_PIECES)
-        self.units = _Units(self.pieces, MAX_UNITS)
+        self.ids = _Cache(piece, MOST_CACHED)
         self.whole, self.special = whole, special
 
     def encode(self, text: str | None) -> bytes:
@@ -73,8 +69,12 @@ class PieceEncoder:
         if self.whole and (any(x in text for x in self.special) or _RECENT.search(text)):
             return self.whole(text)
         if "\0" in text or _INSIDE_RUN.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.units.split(text)))
-        return b"".join(map(self.units.__getitem__, text.replace(" ", "\0 ").split("\0")))
+            return b"".join(map(self.ids.__getitem__, self.ids.split(text)))
+        if not (_SIGN_RUN[0].search(text) or _SIGN_RUN[1].search(text)):
+            text = text.replace(", ", "\0,\0 ").replace(". ", "\0.\0 ").replace(".\n", "\0.\0\n")
+        if "\n" in text and not _LINE_RUN.search(text):
+            text = text.replace("\n", "\0\n\0")
+        return b"".join(map(self.ids.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 _LIBRARY: dict[str, PieceEncoder] = {}
