@@ -21,8 +21,8 @@ from psephos.llm.common import one_thread
 _INSIDE_RUN = re.compile(r"\s (?!\S)")
 #: Characters whose class may differ between Unicode versions.
 _RECENT = re.compile("[鼀-\U0010ffff]")
-#: Full stops and commas that stand at a piece's end only if no sign stands before them.
-_SIGN_RUN = re.compile(r",(?<=[\W_],)(?<!\s,)(?=\s)"), re.compile(r"\.(?<=[\W_]\.)(?<!\s\.)(?=\s)")
+#: Full stops and commas that may belong to the piece before them: after a sign, or after white space.
+_SIGN_RUN = re.compile(r",(?<=[\W_],)(?=\s)"), re.compile(r"\.(?<=[\W_]\.)(?=\s)")
 #: A line end with more white space beside it.
 _LINE_RUN = re.compile(r"\n(?:\s|(?<=\s\n))")
 MOST_CACHED = 450_000

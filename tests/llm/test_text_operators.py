@@ -73,6 +73,12 @@ def test_pieces_equal_the_library(x):
     assert ids == test_pieces_equal_the_library.t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("x", ["Hello , world", "end . Next", "end .\nNext", "a\n\n, x", "a\n\n. x", "a\n\n.\nx", "\n, x", "\t. x", "a\x1c, b", "a, b , c. d . e", " , ", " . ", " .\n", "\n\n, "])
+def test_signs_after_white_space(x, library, tiktoken_encoding):
+    assert np.frombuffer(pieces.library_encoder(BYTE_BPE).encode(x), "<u4").tolist() == library(x)
+    assert np.frombuffer(byte_bpe.codec(BYTE_BPE_MULTI)[1].encode(x), "<u4").tolist() == tiktoken_encoding.encode_ordinary(x)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700))
 def test_pfor_round_trip(ids):
