@@ -122,6 +122,22 @@ def test_near_dedup(spark):
     assert {r.doc_id: r.class_id for r in rows if r.doc_id is not None} == classes_of(docs)
 
 
+def test_near_dedup_of_texts_that_repeat_unequally(spark):
+    """Pairs over 0.8 whose one text repeats a passage: 100 shingles 200 times, 15% 30 times, a third 8 times."""
+    docs, agree = [], []
+    for i in range(60):
+        part, times, other = ((104, 200, 0), (150, 30, 80), (330, 8, 100))[i % 3]
+        base, own = prose(3000 + i, 1000), prose(5000 + i, other)
+        pair = " ".join(base + own), " ".join(base + base[:part] * (times - 1))
+        signature = near_dedup.signatures([near_dedup.split_words(t) for t in pair])
+        a, b = (set(near_dedup.shingles(near_dedup.split_words(t)).tolist()) for t in pair)
+        agree.append((signature[0] == signature[1]).mean() - len(a & b) / len(a | b))
+        docs += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+    assert abs(np.mean(agree)) < 0.02
+    rows = near_dedup.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {d: d - d % 2 for d, _ in docs} == classes_of(docs)
+
+
 def test_one_of_each(spark):
     docs = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "other words"), (3, "other words"), (None, "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
