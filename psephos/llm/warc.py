@@ -5,7 +5,10 @@ The writer makes gzip archives of one member a record.  Of records with equal pa
 
 The reader checks each member (gzip checksum), each record (version line, lengths, end marks) and
 each payload (digest).  After a failed check it looks for the next valid member or version line,
-goes on there, and logs the bytes between as a quarantined gap.
+goes on there, and logs the bytes between as a quarantined gap.  The same is done with the content of a
+member, however many records it holds: good ones before and after a bad one are kept, and the gap has
+the member's place and says which bytes of the content are lost.  Of a cut member, what could be unpacked
+is read likewise; of one that is broken otherwise only records are kept that their own digest proves.
 
 Null html counts as empty, a null url as an empty one.  Repeated rows of the smallest page_id are all
 responses; a row without page_id revisits the group's response if there is one.  Extra columns are
@@ -100,12 +103,13 @@ def _headers(data: bytes, at: int) -> tuple[dict[bytes, bytes], int]:
 
 
 def _int(value: bytes | None) -> int | None:
-    return int(value) if value is not None and re.fullmatch(rb"-?\d{1,18}", value) else None
+    number = int(value) if value is not None and re.fullmatch(rb"-?0{0,100}\d{1,19}", value) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
 def _record(data: bytes, at: int) -> tuple[dict, int]:
     """Fields of the record at ``at`` and where the next one starts."""
-    if not re.compile(rb"WARC/\d\.\d\r\n").match(data, at):
+    if not _VERSION.match(data, at):
         raise _Bad("no version line")
     fields, block_at = _headers(data, at)
     length = _int(fields.get(b"content-length"))
@@ -116,7 +120,8 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         raise _Bad("no end mark where the length says")
     block = data[block_at:end]
     digest = fields.get(b"warc-block-digest", b"")
-    if digest.startswith(b"sha256:") and hashlib.sha256(block).hexdigest().encode() != digest[7:]:
+    proven = digest.startswith(b"sha256:")
+    if proven and hashlib.sha256(block).hexdigest().encode() != digest[7:]:
         raise _Bad("block digest differs")
     kind = fields.get(b"warc-type", b"").decode("latin-1")
     http, body = ({}, 0) if not block.startswith(b"HTTP/") else _headers(block, 0)
@@ -126,62 +131,126 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         found = hashlib.sha256(payload).hexdigest()
         if stated and found != stated:
             raise _Bad("payload digest differs")
-        stated = found
+        proven, stated = proven or bool(stated), found
     size = len(payload) if payload is not None else _int(http.get(b"content-length"))
     return {
         "record_type": kind, "page_id": _int(fields.get(b"x-page-id")), "url": fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"),
-        "payload_digest": stated, "payload_bytes": size if size is not None else 0, "refers_to": _int(fields.get(b"x-refers-to-page-id")), "payload": payload,
+        "payload_digest": stated, "payload_bytes": size if size is not None else 0, "refers_to": _int(fields.get(b"x-refers-to-page-id")), "payload": payload, "proven": proven,
     }, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at``, unpacked, and its end."""
+class _Member(NamedTuple):
+    content: bytes
+    end: int
+    failure: str
+
+
+def _member(data: bytes, at: int) -> _Member:
+    """The gzip member at ``at``: what can be unpacked, where it ends or unpacking stopped, and why it did."""
     inflate, parts, fed = zlib.decompressobj(31), [], at
     try:
         while not inflate.eof:
             if fed >= len(data):
-                raise _Bad("cut member")
+                return _Member(b"".join(parts), len(data), "cut member")
             parts.append(inflate.decompress(data[fed : fed + 16384]))
             fed += 16384
-    except zlib.error as e:
-        raise _Bad("broken member") from e
-    return b"".join(parts), min(fed, len(data)) - len(inflate.unused_data)
+    except zlib.error:
+        # Once more up to the chunk that failed, and through that one byte by byte.
+        inflate = zlib.decompressobj(31)
+        parts = [inflate.decompress(data[i : i + 16384]) for i in range(at, fed, 16384)]
+        try:
+            while fed < len(data):
+                parts.append(inflate.decompress(data[fed : fed + 1]))
+                fed += 1
+        except zlib.error:
+            pass
+        return _Member(b"".join(parts), min(fed + 1, len(data)), "broken member")
+    return _Member(b"".join(parts), min(fed, len(data)) - len(inflate.unused_data), "")
 
 
-def _records_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    if data.startswith(b"\x1f\x8b\x08", at):
-        inside, end = _member(data, at)
-        found, here = [], 0
-        while here < len(inside):
-            fields, here = _record(inside, here)
-            found.append(fields)
-        if not found:
-            raise _Bad("empty member")
-        return found, end
-    fields, end = _record(data, at)
-    return [fields], end
+_VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|" + _VERSION.pattern)
 
 
-_START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
+def _content(content: bytes, proven: bool) -> tuple[list[dict], list[Gap]]:
+    """The records of a member's content that pass the checks (``proven``: by a digest of their own), and the gaps between."""
+    found, lost, at, bad_from, reason = [], [], 0, -1, ""
+    while at < len(content):
+        try:
+            fields, end = _record(content, at)
+            if proven and not fields["proven"]:
+                raise _Bad("no digest to prove it")
+        except _Bad as e:
+            if bad_from < 0:
+                bad_from, reason = at, str(e)
+            following = _VERSION.search(content, at + 1)
+            at = following.start() if following else len(content)
+            continue
+        if bad_from >= 0:
+            lost.append(Gap(bad_from, at - bad_from, reason))
+            bad_from = -1
+        found.append(fields)
+        at = end
+    if bad_from >= 0:
+        lost.append(Gap(bad_from, len(content) - bad_from, reason))
+    return found, lost
+
+
+def _made(offset: int, size: int, fields: dict) -> Record:
+    return Record(offset=offset, size=size, **{k: v for k, v in fields.items() if k != "proven"})
 
 
 def salvage(data: bytes | None) -> tuple[list[Record], list[Gap]]:
-    """All records that pass the checks, and the byte ranges that no such record covers."""
+    """All records that pass the checks, and the byte ranges that no such record covers.
+
+    Records of a member have its place; so have gaps inside it.  A member that can't be unpacked to its
+    end is a gap as well, with the records that were salvaged from it.
+    """
     data = data or b""
     records, gaps, at, bad_from, reason = [], [], 0, -1, ""
+    unpacked, unpacked_to = [], 0  # records of a failed member: its raw bytes may show them once more
     while at < len(data):
-        try:
-            found, end = _records_at(data, at)
-        except _Bad as e:
+        failure, following = "", None
+        if data.startswith(b"\x1f\x8b\x08", at):
+            member = _member(data, at)
+            found, lost = _content(member.content, member.failure == "broken member")
+            end, failure = member.end, member.failure
+            if failure and found:
+                # the gap of this member begins here; what was bad before it is one of its own
+                if bad_from >= 0 and bad_from < at:
+                    gaps.append(Gap(bad_from, at - bad_from, reason))
+                    bad_from = -1
+                unpacked, unpacked_to = unpacked + found, max(unpacked_to, end)
+            if found:
+                records += [_made(at, end - at, fields) for fields in found]
+            elif not failure:
+                failure, following = (lost[0].reason if lost else "empty member"), end
+                lost = []
+            inside = [Gap(at, end - at, f"{g.reason} (bytes {g.offset} to {g.offset + g.size} of the content)") for g in lost] if found else []
+        else:
+            inside = []
+            try:
+                fields, end = _record(data, at)
+                if at < unpacked_to and fields in unpacked:
+                    unpacked.remove(fields)
+                    at = end
+                    continue
+                records.append(_made(at, end - at, fields))
+            except _Bad as e:
+                failure = str(e)
+        if failure:
             if bad_from < 0:
-                bad_from, reason = at, str(e)
-            following = _START.search(data, at + 1)
-            at = following.start() if following else len(data)
+                bad_from, reason = at, failure
+            gaps += inside
+            if following is None:
+                start = _START.search(data, at + 1)
+                following = start.start() if start else len(data)
+            at = following
             continue
         if bad_from >= 0:
             gaps.append(Gap(bad_from, at - bad_from, reason))
             bad_from = -1
-        records += [Record(offset=at, size=end - at, **fields) for fields in found]
+        gaps += inside
         at = end
     if bad_from >= 0:
         gaps.append(Gap(bad_from, len(data) - bad_from, reason))

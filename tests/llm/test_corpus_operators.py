@@ -71,6 +71,42 @@ def test_salvage_plain_records_and_lies():
     assert "digest" in gaps[1].reason and warc.salvage(None) == ([], []) and warc.salvage(b"")[1] == []
 
 
+def one_member(plain, level=4):
+    gz = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return gz.compress(b"".join(plain)) + gz.flush()
+
+
+def test_salvage_inside_a_member():
+    plain = [zlib.decompress(p, 31) for p in archive(9)]
+    wrong = plain[4].replace(b"<p>4", b"<p>7", 1)
+    data = one_member([*plain[:4], wrong, b"noise", *plain[5:]])
+    after = archive(10)[9]
+    records, gaps = warc.salvage(data + after)
+    assert [r.page_id for r in records] == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+    at = sum(map(len, plain[:4]))
+    assert len(gaps) == 1 and gaps[0][:2] == (0, len(data)) and gaps[0].reason == f"block digest differs (bytes {at} to {at + len(wrong) + 5} of the content)"
+    assert warc.salvage(one_member([b"junk", b"more"]) + after)[1][0].size == len(one_member([b"junk", b"more"]))
+
+
+@pytest.mark.parametrize("level", [0, 4])
+def test_salvage_of_failed_members(level):
+    r = random.Random(4)
+    parts = []
+    for i in range(40):
+        html = bytes(r.randrange(97, 123) for _ in range(3000))
+        parts.append(zlib.decompress(warc.record_bytes(i, "u", html, hashlib.sha256(html).hexdigest(), None, False), 31))
+    data, after = one_member(parts, level), archive(1)[0]
+    cut = data[: len(data) * 3 // 4]
+    records, gaps = warc.salvage(cut)
+    assert 25 <= len(records) <= 30 and [x.page_id for x in records] == list(range(len(records)))
+    assert gaps[-1] == (0, len(cut), "cut member") and "of the content" in gaps[0].reason
+    records, gaps = warc.salvage(data[:-8] + bytes(4) + data[-4:] + after)  # the checksum alone
+    assert sorted(x.page_id for x in records) == sorted([*range(40), 0]) and [g.reason for g in gaps] == ["broken member"]
+    bare = [b"WARC/1.0\r\nContent-Length: 3\r\nX-Page-ID: %d\r\n\r\nabc\r\n\r\n" % i for i in (7, -(2**63), 2**63 - 1, 2**63)]
+    assert [x.page_id for x in warc.salvage(one_member(bare))[0]] == [7, -(2**63), 2**63 - 1, None]
+    assert len(warc.salvage(one_member(bare)[:-8])[0]) == 4 and (level == 0 or not warc.salvage(one_member(bare)[:-8] + bytes(8))[0])
+
+
 def test_quarantine_log(spark):
     d = spark.createDataFrame([("a", bytearray(b"bad" + b"".join(archive(2))))], "archive string, content binary")
     assert [(r.offset, r.size) for r in warc.quarantine_log(d).collect()] == [(0, 3)]
