@@ -45,12 +45,43 @@ def preference_facts(digits: DataFrame, ranked: DataFrame, election: str) -> Dat
 
 
 def allocate_ids(rows: DataFrame, rank: str, used: DataFrame | None = None, multiplier: int = 7_368_787, shift: int = 12_345) -> DataFrame:
-    """random_ballot_id by a bijection of ranks (from 0) onto the id range; ids in use are anti-joined away."""
+    """random_ballot_id by a bijection of ranks (from 0) onto the id range; a rank beyond the range is an error.
+
+    With a table of ids in use, ``rank`` may be any whole number: each keeps the id of its place in the
+    range if that is free (of several, the least one does), and the others get the ids that are left.
+    """
     size = LAST_ID - FIRST_ID + 1
     if gcd(multiplier, size) != 1:
         raise ValueError("the multiplier must be coprime to the number of ids")
-    out = rows.withColumn("random_ballot_id", F.lit(FIRST_ID) + F.pmod(F.col(rank) * multiplier + shift, F.lit(size)))
-    return out if used is None else out.join(used.select("random_ballot_id"), "random_ballot_id", "left_anti")
+    key = F.col(rank).cast("long")
+    first = F.lit(FIRST_ID) + F.pmod(F.pmod(key, F.lit(size)) * multiplier + shift, F.lit(size))
+    if used is None:
+        beyond = F.raise_error(F.concat(F.lit(f"{size} ids, and no rank "), key.cast("string"))).cast("long")
+        return rows.withColumn("random_ballot_id", F.when((key < 0) | (key >= size), beyond).otherwise(first))
+
+    keys = rows.select(key.alias("_key"), first.alias("_id")).filter("_key IS NOT NULL").distinct()
+    taken = used.select(F.col("random_ballot_id").cast("long").alias("_id")).distinct()
+    kept = keys.groupBy("_id").agg(F.min("_key").alias("_key")).join(taken, "_id", "left_anti")
+    moved = keys.join(kept, ["_key", "_id"], "left_anti").select("_key")
+    count = moved.count()
+    if not count:
+        return rows.withColumn("random_ballot_id", first)
+    spread = rows.sparkSession.range(FIRST_ID, LAST_ID + 1).select(F.col("id").alias("_id"))
+    free = spread.join(taken.unionByName(kept.select("_id")), "_id", "left_anti")
+    if count > (left := free.count()):
+        raise ValueError(f"{count} more ids are needed, and {left} of {size} are free")
+    given = hash_ranked(moved, "_key").join(hash_ranked(free, "_id"), "_rank").select("_key", "_id")
+    given = kept.select("_key", "_id").unionByName(given).withColumnRenamed("_id", "random_ballot_id")
+    return rows.join(given, key == F.col("_key"), "left").drop("_key")
+
+
+def hash_ranked(df: DataFrame, column: str) -> DataFrame:
+    """df with _rank from 0 in the order of the column's hash, from counts of hash ranges."""
+    hashed = df.withColumn("_h", F.xxhash64(column)).withColumn("_bin", F.shiftright("_h", 52))
+    bins = hashed.groupBy("_bin").agg(F.count("*").alias("_n"))
+    start = bins.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_start"))
+    ranked = hashed.join(F.broadcast(start), "_bin").withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy("_bin").orderBy("_h", column)) - 1)
+    return ranked.select(*df.columns, "_rank")
 
 
 def next_id(ids: DataFrame, column: str = "random_ballot_id") -> DataFrame:

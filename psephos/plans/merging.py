@@ -82,10 +82,11 @@ def expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ballot_id_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids for all ballots by a bijection of their keys; ids of every tenth are in use and left out."""
+    """Ids for the ballots that have none; every tenth has one, and that is in use."""
     keys = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ballot"))
-    used = merge.allocate_ids(keys.filter("ballot % 10 = 0"), "ballot").select("random_ballot_id")
-    return merge.allocate_ids(keys, "ballot", used).select("ballot", "random_ballot_id")
+    none = spark.createDataFrame([], "random_ballot_id long")
+    used = merge.allocate_ids(keys.filter("ballot % 10 = 0"), "ballot", none).select("random_ballot_id")
+    return merge.allocate_ids(keys.filter("ballot % 10 <> 0"), "ballot", used).select("ballot", "random_ballot_id")
 
 
 def next_ballot_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,30 @@ def test_allocation_is_a_bijection(spark):
     assert merge.next_id(ids.limit(0)).first().next_id == 1_000_001
 
 
+def test_keys_beyond_the_id_range(spark, tmp_path):
+    from psephos.plans.merging import ballot_id_allocation
+
+    size = merge.LAST_ID - merge.FIRST_ID + 1
+    keys = [k + at for at in (0, size, 5 * size, 10**15) for k in range(1, 60)]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.ballot: r.random_ballot_id for r in ballot_id_allocation(spark, str(tmp_path)).collect()}
+    used = {merge.FIRST_ID + (k * 7_368_787 + 12_345) % size for k in keys if k % 10 == 0 and k < size}
+    assert set(got) == {k for k in keys if k % 10} and len(set(got.values())) == len(got)
+    assert all(merge.FIRST_ID <= i <= merge.LAST_ID for i in got.values()) and not used & set(got.values())
+
+
+def test_more_ballots_than_ids(spark, monkeypatch):
+    monkeypatch.setattr(merge, "LAST_ID", merge.FIRST_ID + 96)
+    used = spark.createDataFrame([(merge.FIRST_ID + i,) for i in (0, 5, 96)], "random_ballot_id long")
+    ids = [r.random_ballot_id for r in merge.allocate_ids(spark.range(1000, 1094), "id", used).collect()]
+    assert sorted(ids) == [merge.FIRST_ID + i for i in range(97) if i not in (0, 5, 96)]
+    with pytest.raises(ValueError, match="free"):
+        merge.allocate_ids(spark.range(1000, 1095), "id", used)
+    assert merge.allocate_ids(spark.range(97), "id").count() == 97
+    with pytest.raises(Exception, match="no rank 97"):
+        merge.allocate_ids(spark.range(98), "id").collect()
+
+
 def test_best_threshold_tie(spark):
     rows = spark.createDataFrame([(0.5, 0.2, 1.0, 1.0, 0.0), (0.4, 0.3, 1.0, 1.0, 0.0), (0.4, 0.2, 1.0, 1.0, 0.0), (0.3, 0.1, 1.0, 1.0, 0.5)], "score_valid double, score_review double, recall double, precision double, fpr double")
     best = evaluation.best(rows).first()
