@@ -15,7 +15,10 @@ and length (but of an ip's numbers) stay.  By kind:
   letter by letter; later mentions of the surname in the same text follow.
 
 The collision check compares all surrogates of the corpus with each other and with all entities of
-the corpus; one that meets another, or a real entity, gets the next round of the permutation.
+the corpus; one that meets another, or a real entity, gets the next round of the permutation.  Where
+the domain is too full for that (short names, addresses, secrets and numbers, private ip ranges), rounds
+after NARROW_ROUNDS widen it: each makes the surrogate a character longer, or takes an ip to 10.0.0.0/8.
+What has no free characters ("password: ____________") is no secret.
 
 Null texts stay null and empty ones empty.  Repeated rows are treated alike; an empty table gives no rows.
 """
@@ -37,6 +40,8 @@ from psephos.llm.common import slices, stored
 
 #: Up to so many entities that need a later round are sent to every task; beyond, they are joined.
 MOST_OVERRIDES = 50_000
+#: So many rounds stay in an entity's own domain; after MOST_ROUNDS the run fails.
+NARROW_ROUNDS, MOST_ROUNDS = 6, 60
 
 # Titles and given names by gender, script by script.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
@@ -94,7 +99,7 @@ def detect(text: str | None) -> list[Entity]:
         for m in pattern.finditer(text):
             start, end = m.span("value") if "value" in pattern.groupindex else m.span()
             value = text[start:end]
-            if kind == "iban" and _iban_rest(value) != 1 or kind == "secret" and not re.search(r"\d", value) and len(value) < 12:
+            if kind == "iban" and _iban_rest(value) != 1 or kind == "secret" and (not re.search(r"\d", value) and len(value) < 12 or all(len(alphabet(c)) == 1 for c in value)):
                 continue
             if all(end <= e.start or start >= e.end for e in found):
                 found.append(Entity(start, end, kind, value))
@@ -121,7 +126,8 @@ def alphabet(c: str) -> str:
     if kind[0] not in "LN":
         return c
     base = ord(c) & ~127
-    return "".join(chr(x) for x in range(base, base + 128) if unicodedata.category(chr(x)) == kind and (len(chr(x).lower()) == 1 == len(chr(x).upper())))
+    own = "".join(chr(x) for x in range(base, base + 128) if unicodedata.category(chr(x)) == kind and (len(chr(x).lower()) == 1 == len(chr(x).upper())))
+    return own if c in own else c
 
 
 class Surrogates:
@@ -160,9 +166,35 @@ class Surrogates:
         return self.permute(digits, [10] * len(digits), tweak)
 
     def of(self, kind: str, value: str, rounds: int = 0) -> str:
-        for turn in range(rounds + 1):
+        more = rounds - NARROW_ROUNDS if self._narrow(kind, value) else 0
+        original = canonical(kind, value)
+        for turn in range(rounds + 1 - max(0, more)):
             value = getattr(self, f"_{kind}")(value, kind if not turn else f"{kind}/{turn}")
-        return value
+        return self._wider(kind, value, original, more) if more > 0 else value
+
+    def _narrow(self, kind: str, value: str) -> bool:
+        """Whether later rounds widen the domain; others have 10 million values and more."""
+        if kind == "ip":
+            return _fixed_octets([int(p) for p in value.split(".")]) == 2
+        return kind in ("name", "email", "secret") or kind == "phone" and sum(c.isdecimal() for c in value) < 10
+
+    def _wider(self, kind: str, value: str, original: str, more: int) -> str:
+        """The surrogate ``value`` with ``more`` keyed characters, the same for all forms of ``original``."""
+        tweak = f"{kind}/wider/{more}/{original}"
+        if kind == "ip":
+            return "10." + ".".join(str(self._draw(f"{tweak}/{i}", 0, 256)) for i in range(3))
+        if kind in ("secret", "phone"):
+            pool = "0123456789"
+        else:
+            pool = "abcdefghijklmnopqrstuvwxyz"
+            last = alphabet(value[-1].lower())
+            if kind == "name" and not value[-1].isascii() and len(last) > 1:
+                pool = last
+        added = "".join(pool[self._draw(tweak, i, len(pool))] for i in range(more))
+        if kind == "email":
+            local, domain = value.rsplit("@", 1)
+            return f"{local}{added}@{domain}"
+        return added + value if kind == "secret" else value + added
 
     def _email(self, value: str, tweak: str) -> str:
         local, domain = value.lower().rsplit("@", 1)
@@ -288,7 +320,7 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
     every = stored(entities.select("kind", "value").distinct(), "entities")
     surrogate = _surrogate_column(key)
     rounds = every.select("kind", "value", F.lit(0).alias("rounds"))
-    while True:
+    for _ in range(MOST_ROUNDS):
         now = stored(rounds.withColumn("surrogate", surrogate("kind", "value", "rounds")), "surrogates")
         twins = now.groupBy("kind", "surrogate").agg(F.min("value").alias("least"), F.count("*").alias("n")).filter("n > 1")
         real = now.join(every.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value")
@@ -297,6 +329,7 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
         if not moving.limit(1).count():
             return now.filter("rounds > 0").select("kind", "value", "rounds")
         rounds = now.join(moving.withColumn("move", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("rounds") + F.coalesce("move", F.lit(0))).alias("rounds"))
+    raise RuntimeError(f"{moving.count()} surrogates still meet others after {MOST_ROUNDS} rounds")
 
 
 def _apply(key: bytes, schema: pa.Schema, rounds):

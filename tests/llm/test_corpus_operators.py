@@ -267,6 +267,38 @@ def test_collisions_move_on(spark):
     assert moved[("ssn", victim)] >= 1 and len(final) == 3 and not final & set(values)
 
 
+def test_form_lines_are_no_secrets(spark):
+    text = "Password: ____________ or pwd=--------------=_ but token=____________7"
+    assert [e.value for e in pii.detect(text)] == ["____________7"]
+    docs = spark.createDataFrame([(1, text), (2, "Password: ____________")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.with_surrogates(docs, b"k").collect()}
+    assert got[2] == "Password: ____________" and got[1].startswith(text[:50]) and got[1] != text
+
+
+def test_full_domains_are_widened(spark):
+    consonants, vowels = "BCDFGHJKLMNPQRSTVWXYZ", "AEIOU"
+    names = [*consonants, *vowels, *(c + v.lower() for c in consonants for v in vowels), "Groß"]
+    real = {"name": set(names), "secret": {f"____________{i}" for i in range(10)}, "email": {"a@e.org", "e@a.org", "e@e.org", "a@a.org", "i@a.org", "_@_.org"}}
+    real["email"] |= {f"{x}@{y}.org" for x in "aeiou" for y in "aeiou"}
+    rows = [*(f"Dr. {n} spoke." for n in names), *(f"token={s}" for s in real["secret"]), *(f"mail {e}" for e in real["email"])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    entities = pii.find_entities(docs)
+    assert {k: {r.value for r in entities.collect() if r.kind == k} for k in real} == real
+    out = [r.text for r in pii.with_surrogates(docs, b"k").collect()]
+    found = [(e.kind, e.value) for t in out for e in pii.detect(t)]
+    assert len(found) == len(set(found)) == len(rows) and not any(v in real[k] for k, v in found)
+
+
+def test_widened_surrogates_keep_type_and_identity():
+    s = pii.Surrogates(b"k")
+    for rounds in (7, 9):
+        assert s.of("email", "A@e.ORG", rounds).lower() == s.of("email", "a@e.org", rounds)
+        for text, kind in (("ip 192.168.1.2", "ip"), ("Dr. \u0418", "name"), ("call +1 23 45 x", "phone"), ("pwd=________1", "secret")):
+            entity = pii.detect(text)[0]
+            new = pii.detect(text.replace(entity.value, s.of(kind, entity.value, rounds)))
+            assert [(e.kind, e.value) for e in new] == [(kind, s.of(kind, entity.value, rounds))]
+
+
 # Toxicity
 
 
