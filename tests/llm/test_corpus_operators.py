@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,9 +118,24 @@ def test_quarantine_log(spark):
 # Near duplicates
 
 
+def weights_of(words):
+    counts = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    return {shingle: 1 + math.log2(n) for shingle, n in counts.items()}
+
+
+def both_similarities(x, y):
+    """Jaccard similarity of the shingles, and their probability Jaccard as its definition has it."""
+    common, every = sorted(x.keys() & y.keys()), sorted(x.keys() | y.keys())
+    if not common:
+        return 0.0, 0.0
+    px, py = (np.array([w.get(s, 0.0) for s in every]) for w in (x, y))
+    exact = sum(1 / np.maximum(px / x[s], py / y[s]).sum() for s in common)
+    return len(common) / len(every), exact
+
+
 def classes_of(docs):
     words = {d: near_dedup.split_words(t) for d, t in docs if d is not None}
-    sets = {d: set(near_dedup.shingles(w).tolist()) for d, w in words.items()}
+    weights = {d: weights_of(w) for d, w in words.items()}
     parent = {d: d for d in words}
 
     def root(x):
@@ -129,8 +146,7 @@ def classes_of(docs):
     ids = sorted(words)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            both = len(sets[a] & sets[b])
-            if words[a] == words[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9 and both:
+            if words[a] == words[b] or max(both_similarities(weights[a], weights[b])) >= 0.8 - 1e-9:
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {d: root(d) for d in ids}
@@ -165,15 +181,50 @@ def test_near_dedup_of_texts_that_repeat_unequally(spark):
         part, times, other = ((104, 200, 0), (150, 30, 80), (330, 8, 100))[i % 3]
         base, own = prose(3000 + i, 1000), prose(5000 + i, other)
         pair = " ".join(base + own), " ".join(base + base[:part] * (times - 1))
-        signature = near_dedup.signatures([near_dedup.split_words(t) for t in pair])
-        a, b = (set(near_dedup.shingles(near_dedup.split_words(t)).tolist()) for t in pair)
-        agree.append((signature[0] == signature[1]).mean() - len(a & b) / len(a | b))
+        each = [near_dedup.weighted(near_dedup.split_words(t)) for t in pair]
+        for (plain, other), exact in zip((each, [(h, np.ones(len(h))) for h, _ in each]), near_dedup.similarities(*each)[::-1], strict=True):
+            signature = near_dedup.signatures([plain, other])
+            agree.append((signature[0] == signature[1]).mean() - exact)
         docs += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
     assert abs(np.mean(agree)) < 0.02
     rows = near_dedup.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: r.class_id for r in rows} == {d: d - d % 2 for d, _ in docs} == classes_of(docs)
 
 
+def test_near_dedup_of_texts_with_a_repeated_line(spark):
+    """Texts that share 400 words and hold another line each, 30 and 300 times: alike by one measure or by both."""
+    docs, alike = [], 0
+    for i in range(40):
+        base, times = prose(7000 + i, 400), (30, 300)[i % 2]
+        lines = [prose(8000 + 2 * i + k, (32, 40, 10, 60)[i % 4]) for k in (0, 1)]
+        docs += [(2 * i + k, " ".join(base + lines[k] * times)) for k in (0, 1)]
+    docs += [(1000 + i, " ".join(prose(9000 + i // 2, 60) * 20 + prose(9500 + i, 25))) for i in range(20)]  # alike by weight only
+    expected = classes_of(docs)
+    alike = sum(d != c for d, c in expected.items())
+    assert 10 <= alike < 50 and all(expected[1000 + i] == 1000 + i - i % 2 for i in range(20))
+    rows = near_dedup.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == expected
+
+
+def test_similarities():
+    r = random.Random(3)
+    for _ in range(30):
+        a, b = ([str(r.randrange(12)) for _ in range(r.randrange(5, 60))] for _ in range(2))
+        got = near_dedup.similarities(near_dedup.weighted(a), near_dedup.weighted(b))
+        assert got == pytest.approx(both_similarities(weights_of(a), weights_of(b)))
+    same = near_dedup.weighted(a)
+    assert near_dedup.similarities(same, same) == pytest.approx((1, 1))
+
+
+def test_near_dedup_joins_where_ids_are_many(spark, monkeypatch):
+    docs = list(enumerate(family(4, 120, 30, 6) + [" ".join(prose(i, 60)) for i in range(300, 320)]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = classes_of(docs)
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST_IDS", 0)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(df).collect()} == expected
+    assert {r.doc_id for r in near_dedup.one_of_each(df).collect()} == set(expected.values())
+
+
 def test_one_of_each(spark):
     docs = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "other words"), (3, "other words"), (None, "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
