@@ -1,26 +1,33 @@
 """PII surrogates: detected entities are replaced by keyed, type-consistent ones.
 
-A surrogate is a keyed permutation of an entity's free characters (a Feistel network over their
-alphabets, walked until the result is of the same type), so equal entities get equal surrogates
-everywhere (coreference), different ones different ones (distinctness), and format, script, case
-and length (but of an ip's numbers) stay.  By kind:
-
-* email: local part and domain are permuted each, so addresses of one domain keep one domain; the
-  last label stays.  Case doesn't count for identity and is put back.
+An entity has one part or several: an e-mail address its local part and its host, a name its given
+names, initials and surname.  Surrogates belong to parts, so equal parts get equal surrogates
+everywhere (coreference: addresses of one host keep one host, "Smith" follows "John Smith"), different
+ones different ones (distinctness).  Most are keyed permutations of a part's free characters (a Feistel
+network over their alphabets, walked until the result is of the same type), so format, script, case
+and length stay.  By kind:
+
+* email: the last label stays.  Case doesn't count for identity and is put back.
 * phone: the country code and the signs stay.
 * ip: private, loopback and link-local ranges stay in their range; public ones stay public.
 * card: the first digit stays; a number that passes the Luhn check still does, another doesn't.
 * iban: the country stays and the check digits hold.  ssn, key (AKIA...), secret (token=..., password: ...).
-* name (after a title): given names are permuted among those of the same gender and script, surnames
-  letter by letter; later mentions of the surname in the same text follow.
-
-The collision check compares all surrogates of the corpus with each other and with all entities of
-the corpus; one that meets another, or a real entity, gets the next round of the permutation.  Where
-the domain is too full for that (short names, addresses, secrets and numbers, private ip ranges), rounds
-after NARROW_ROUNDS widen it: each makes the surrogate a character longer, or takes an ip to 10.0.0.0/8.
-What has no free characters ("password: ____________") is no secret.
-
-Null texts stay null and empty ones empty.  Repeated rows are treated alike; an empty table gives no rows.
+* name: what follows a title, and listed given names that a capitalised word follows.  Gender comes from
+  the title, else from the list.  Listed given names are permuted among those of the same gender and
+  script; others, and surnames, become made-up names of their script with an ending of the gender.
+  Initials become other initials.  Later and earlier mentions of the surname or the given name alone
+  in the same text follow.  A single letter after a title is no name.
+
+The collision check compares all surrogates of the corpus with each other and with all parts of the
+corpus; one that meets another, or a real one, gets the next round of its own part (given names may be
+real ones, but never their own).  Where the domain is too full (short parts, secrets and numbers, private
+ip ranges), rounds after NARROW_ROUNDS widen it: each makes the surrogate a character longer, or takes an
+ip to 10.0.0.0/8; made-up names grow a syllable every third round.  What has no free characters
+("password: ____________") is no secret.
+
+Null texts stay null and empty ones empty; very long ones are read whole.  Repeated rows and ties are
+treated alike, rows without doc_id like others.  Extra columns stay as they are, whatever their names, but
+for n_entities and entity_kinds, which the result defines anew.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,14 +50,22 @@ MOST_OVERRIDES = 50_000
 #: So many rounds stay in an entity's own domain; after MOST_ROUNDS the run fails.
 NARROW_ROUNDS, MOST_ROUNDS = 6, 60
 
-# Titles and given names by gender, script by script.
+# Titles and given names by gender, script by script; parts of made-up names.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
 GIVEN = {
-    "m": ("James John Robert Michael David William Richard Thomas Charles Daniel Paul Mark George Peter Hans Klaus Jürgen Wolfgang Pierre Jean Michel Louis Carlos José Juan Luis Miguel Antonio", "Иван Пётр Сергей Алексей Дмитрий Андрей Николай Михаил"),
-    "f": ("Mary Patricia Linda Barbara Elizabeth Jennifer Maria Susan Margaret Lisa Nancy Karen Anna Helga Ursula Monika Marie Jeanne Sophie Claire Carmen Lucía Isabel Elena Laura Ana", "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана"),
+    "m": ("James John Robert Michael David William Richard Thomas Charles Daniel Paul Mark George Peter Bob Steven Kevin Brian Hans Klaus Jürgen Wolfgang Pierre Jean Michel Louis Carlos José Juan Luis Miguel Antonio", "Иван Пётр Сергей Алексей Дмитрий Андрей Николай Михаил"),
+    "f": ("Mary Patricia Linda Barbara Elizabeth Jennifer Maria Susan Margaret Lisa Nancy Karen Alice Emma Emily Sarah Anna Helga Ursula Monika Marie Jeanne Sophie Claire Carmen Lucía Isabel Elena Laura Ana", "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана"),
 }
-_POOLS = [pool.split() for pools in GIVEN.values() for pool in pools]
-_POOL_OF = {name: i for i, pool in enumerate(_POOLS) for name in pool}
+SYLLABLES = {
+    "latin": ("b d f g h j k l m n p r s t v z br dr gr kr st tr".split(), "a e i o u".split()),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х бр др гр ст".split(), "а е и о у".split()),
+}
+ENDINGS = {
+    "latin": {"m": "n r s l rt".split(), "f": "la na ra lia sa".split(), "": "n la s ra l".split(), "surname": "ner sen ler mann ck rt ns ld".split()},
+    "cyrillic": {"m": "н р с л м".split(), "f": "ла на ра лия са".split(), "": "н ла с ра л".split(), "surname": "нко вич рук нин лев ров".split()},
+}
+_POOLS = {(gender, word.lower()): pool.lower().split() for gender, pools in GIVEN.items() for pool in pools for word in pool.split()}
+_GENDER = {word: gender for gender, pools in GIVEN.items() for pool in pools for word in pool.split()}
 
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 PATTERNS = {
@@ -62,18 +77,58 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])"),
-    "name": re.compile(rf"(?<!\w)(?:{_TITLE})\.? +(?P<value>[^\W\d_a-z][^\W\d_]*(?:[ -][^\W\d_a-z][^\W\d_]+)?)(?!\w)"),
 }
+_INITIAL, _NAME = r"[^\W\d_a-z]\.", r"[^\W\d_a-z](?:['’](?=[^\W\d_]))?[^\W\d_]+"
+_FULL = rf"(?:{_INITIAL} ?)*{_NAME}(?:-{_NAME})?(?: (?:{_INITIAL} ?)*{_NAME}(?:-{_NAME})?)?"
+_TITLED = re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? +(?P<value>{_FULL})(?!\w)")
+_UNTITLED = re.compile(rf"(?<!\w)(?P<value>(?:{'|'.join(sorted(_GENDER, key=lambda w: (-len(w), w)))}) (?:{_INITIAL} ?)*{_NAME}(?:-{_NAME})?)(?!\w)")
+_TOKEN = re.compile(rf"{_INITIAL}|{_NAME}")
 _ANY_SIGN = re.compile(r"[\d@]")
 _ANY_KEYWORD = re.compile(rf"(?i:passw|passphrase|pwd|token|secret|key)|(?<!\w)(?:{_TITLE})\.? ")
+_QUOTES = str.maketrans(dict.fromkeys("\"'(“„«[", " "))
 _VOWELS = "aeiou"
 
 
+class Part(NamedTuple):
+    start: int
+    end: int
+    kind: str
+    value: str
+
+
 class Entity(NamedTuple):
     start: int
     end: int
     kind: str
     value: str
+    parts: tuple[Part, ...]
+
+
+def _name_parts(start: int, value: str, title: str) -> tuple[Part, ...]:
+    """Initials, given names (with their gender) and surname of a name that begins at ``start``."""
+    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(value)]
+    # what the last blank precedes is the surname, all of it where a hyphen is in it; a lone listed name is a given one
+    at = value.rfind(" ") + 1
+    lone = all(t.endswith(".") for a, _, t in tokens if a < at)
+    gender = TITLES.get(title, "")
+    parts = []
+    for a, b, token in tokens:
+        if token.endswith("."):
+            parts.append(Part(start + a, start + b - 1, "initial", token[:-1]))
+        elif a < at or lone and token in _GENDER and "." not in value:
+            parts.append(Part(start + a, start + b, f"given.{gender or _GENDER.get(token, '')}", token))
+        else:
+            parts.append(Part(start + a, start + b, "surname", token))
+    return tuple(parts)
+
+
+def _entity(start: int, end: int, kind: str, value: str, title: str = "") -> Entity:
+    if kind == "email":
+        at, last = value.rindex("@"), value.rindex(".")
+        parts = (Part(start, start + at, "email.local", value[:at]), Part(start + at + 1, start + last, "email.host", value[at + 1 : last]))
+    else:
+        parts = _name_parts(start, value, title) if kind == "name" else (Part(start, end, kind, value),)
+    return Entity(start, end, kind, value, parts)
 
 
 def _luhn(digits: list[int]) -> int:
@@ -90,24 +145,42 @@ def detect(text: str | None) -> list[Entity]:
     if not text:
         return []
     signs, words = _ANY_SIGN.search(text), _ANY_KEYWORD.search(text)
-    if not signs and not words:
+    given = not _GENDER.keys().isdisjoint(text.translate(_QUOTES).split())
+    if not signs and not words and not given:
         return []
     found: list[Entity] = []
+
+    def free(start: int, end: int) -> bool:
+        return all(end <= e.start or start >= e.end for e in found)
+
     for kind, pattern in PATTERNS.items():
-        if kind == "email" and "@" not in text or kind in ("secret", "name") and not words or kind not in ("secret", "name") and not signs:
+        if kind == "email" and "@" not in text or kind == "secret" and not words or kind != "secret" and not signs:
             continue
         for m in pattern.finditer(text):
             start, end = m.span("value") if "value" in pattern.groupindex else m.span()
             value = text[start:end]
             if kind == "iban" and _iban_rest(value) != 1 or kind == "secret" and (not re.search(r"\d", value) and len(value) < 12 or all(len(alphabet(c)) == 1 for c in value)):
                 continue
-            if all(end <= e.start or start >= e.end for e in found):
-                found.append(Entity(start, end, kind, value))
-    for name in [e for e in found if e.kind == "name"]:
-        surname = name.value.split(" ")[-1]
-        for m in re.finditer(rf"(?<!\w){re.escape(surname)}(?!\w)", text):
-            if all(m.end() <= e.start or m.start() >= e.end for e in found):
-                found.append(Entity(m.start(), m.end(), "name", surname))
+            if free(start, end):
+                found.append(_entity(start, end, kind, value))
+    names = []
+    for pattern, wanted in ((_TITLED, words), (_UNTITLED, given)):
+        for m in pattern.finditer(text) if wanted else ():
+            e = _entity(*m.span("value"), "name", m["value"], m.groupdict().get("title", ""))
+            if free(e.start, e.end) and all(not p.value[0].islower() for p in e.parts):
+                found.append(e)
+                names.append(e)
+    # other mentions of a part follow the first name that has it
+    parts: dict[str, str] = {}
+    for e in sorted(names):
+        for part in e.parts:
+            if part.kind != "initial":
+                parts.setdefault(part.value, part.kind)
+                parts.setdefault(part.value.upper(), part.kind)
+    if parts:
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=lambda w: (-len(w), w))))})(?!\w)", text):
+            if free(*m.span()):
+                found.append(Entity(*m.span(), "name", m[0], (Part(*m.span(), parts[m[0]], m[0]),)))
     return sorted(found)
 
 
@@ -166,42 +239,60 @@ class Surrogates:
         return self.permute(digits, [10] * len(digits), tweak)
 
     def of(self, kind: str, value: str, rounds: int = 0) -> str:
+        """The surrogate of a part, in the case of this form of it."""
+        plain = canonical(kind, value)
+        out = self.plain(kind, plain, rounds)
+        if kind.startswith("email."):
+            return "".join(p.upper() if v != v.lower() and len(p.upper()) == 1 else p for p, v in zip(out, value, strict=True)) if len(out) == len(value) else out
+        if plain == value:
+            return out
+        return out.upper() if value.isupper() and (len(value) > 1 or len(out) == 1) else out[:1].upper() + out[1:]
+
+    def plain(self, kind: str, value: str, rounds: int) -> str:
+        """The surrogate of a part in canonical form."""
+        if kind == "initial":
+            pool = "abcdefghijklmnopqrstuvwxyz" if value.isascii() else alphabet(value)
+            if value not in pool or len(pool) < 2:
+                return value
+            return pool[(pool.index(value) + 1 + self._draw("initial", 0, len(pool) - 1)) % len(pool)]
+        script = _script(value) if _is_name(kind) else ""
+        if script:
+            pool = _POOLS.get((kind[6:], value)) if not rounds else None
+            return pool[self.permute([pool.index(value)], [len(pool)], f"{kind}/{pool[0]}")[0]] if pool else self._made(kind, value, rounds, script)
         more = rounds - NARROW_ROUNDS if self._narrow(kind, value) else 0
-        original = canonical(kind, value)
+        original = value
+        method = self._chars if _is_name(kind) or kind.startswith("email.") else getattr(self, f"_{kind}")
         for turn in range(rounds + 1 - max(0, more)):
-            value = getattr(self, f"_{kind}")(value, kind if not turn else f"{kind}/{turn}")
+            value = method(value, kind if not turn else f"{kind}/{turn}")
         return self._wider(kind, value, original, more) if more > 0 else value
 
+    def _made(self, kind: str, value: str, rounds: int, script: str) -> str:
+        """A made-up name: keyed syllables and an ending of its gender."""
+        onsets, vowels = SYLLABLES[script]
+        tweak = f"{kind}/made/{rounds}/{value}"
+        count = (3 if kind == "surname" else 2) + rounds // 3
+        out = "".join(onsets[self._draw(tweak, 2 * i, len(onsets))] + vowels[self._draw(tweak, 2 * i + 1, len(vowels))] for i in range(count))
+        endings = ENDINGS[script]["surname" if kind == "surname" else kind[6:]]
+        return out + endings[self._draw(tweak, 2 * count, len(endings))]
+
     def _narrow(self, kind: str, value: str) -> bool:
         """Whether later rounds widen the domain; others have 10 million values and more."""
         if kind == "ip":
             return _fixed_octets([int(p) for p in value.split(".")]) == 2
-        return kind in ("name", "email", "secret") or kind == "phone" and sum(c.isdecimal() for c in value) < 10
+        return kind == "secret" or kind.startswith("email.") or _is_name(kind) or kind == "phone" and sum(c.isdecimal() for c in value) < 10
 
     def _wider(self, kind: str, value: str, original: str, more: int) -> str:
-        """The surrogate ``value`` with ``more`` keyed characters, the same for all forms of ``original``."""
+        """The surrogate ``value`` with ``more`` keyed characters."""
         tweak = f"{kind}/wider/{more}/{original}"
         if kind == "ip":
             return "10." + ".".join(str(self._draw(f"{tweak}/{i}", 0, 256)) for i in range(3))
         if kind in ("secret", "phone"):
             pool = "0123456789"
         else:
-            pool = "abcdefghijklmnopqrstuvwxyz"
-            last = alphabet(value[-1].lower())
-            if kind == "name" and not value[-1].isascii() and len(last) > 1:
-                pool = last
+            pool = alphabet(value[-1]) if _is_name(kind) and len(alphabet(value[-1])) > 1 else "abcdefghijklmnopqrstuvwxyz"
         added = "".join(pool[self._draw(tweak, i, len(pool))] for i in range(more))
-        if kind == "email":
-            local, domain = value.rsplit("@", 1)
-            return f"{local}{added}@{domain}"
         return added + value if kind == "secret" else value + added
 
-    def _email(self, value: str, tweak: str) -> str:
-        local, domain = value.lower().rsplit("@", 1)
-        host, last = domain.rsplit(".", 1)
-        plain = f"{self._chars(local, f'{tweak}/local')}@{self._chars(host, f'{tweak}/host')}.{last}"
-        return "".join(p.upper() if v != v.lower() and len(p.upper()) == 1 else p for p, v in zip(plain, value, strict=True)) if len(plain) == len(value) else plain
-
     def _secret(self, value: str, tweak: str) -> str:
         return self._chars(value, tweak, hexadecimal=bool(re.fullmatch("[0-9a-f]+", value)))
 
@@ -254,13 +345,6 @@ class Surrogates:
         it = iter(f"{plain[:2]}{98 - _iban_rest(plain[:2] + '00' + body):02d}{body}")
         return "".join(c if c == " " else next(it) for c in value)
 
-    def _name(self, value: str, tweak: str) -> str:
-        out = []
-        for word in value.split(" "):
-            pool = _POOLS[_POOL_OF[word]] if word in _POOL_OF and word != value else None
-            out.append(pool[self.permute([pool.index(word)], [len(pool)], f"{tweak}/{pool[0]}")[0]] if pool else self._chars(word, f"{tweak}/surname"))
-        return " ".join(out)
-
 
 def _fixed_octets(parts: list[int]) -> int:
     """Octets that a range outside the public ones keeps."""
@@ -272,32 +356,44 @@ def _fixed_octets(parts: list[int]) -> int:
     return 0
 
 
+def _is_name(kind: str) -> bool:
+    return kind == "surname" or kind.startswith("given.")
+
+
+def _script(value: str) -> str:
+    """The script that made-up names can take; none for others."""
+    scripts = {"latin" if c < "\u0250" else "cyrillic" if "\u0400" <= c < "\u0530" else "" for c in value if c.isalpha()}
+    return scripts.pop() if len(scripts) == 1 else ""
+
+
 def canonical(kind: str, value: str) -> str:
-    return value.lower() if kind == "email" else value
+    """The form in which parts are compared: case doesn't count in addresses and names."""
+    return value.lower() if kind == "initial" or kind.startswith("email.") or _is_name(kind) else value
 
 
 def replace(text: str | None, surrogates: Surrogates, rounds: dict[tuple[str, str], int]) -> tuple[str | None, list[str]]:
     """The text with surrogates, and the kinds of its entities."""
     out, at, kinds = [], 0, []
     for e in detect(text):
-        out += [text[at : e.start], surrogates.of(e.kind, e.value, rounds.get((e.kind, canonical(e.kind, e.value)), 0))]
-        at = e.end
+        for p in e.parts:
+            out += [text[at : p.start], surrogates.of(p.kind, p.value, rounds.get((p.kind, canonical(p.kind, p.value)), 0))]
+            at = p.end
         kinds.append(e.kind)
     return ("".join(out) + text[at:] if kinds else text), kinds
 
 
-_ENTITY = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("value", pa.string())])
+_ENTITY = pa.schema([("text_key", pa.int64()), ("kind", pa.string()), ("value", pa.string())])
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        rows = sorted({(doc if doc is not None else -1, e.kind, canonical(e.kind, e.value)) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for e in detect(text)})
+        rows = sorted({(key, p.kind, canonical(p.kind, p.value)) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for e in detect(text) for p in e.parts if p.kind != "initial"})
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ENTITY)], schema=_ENTITY)
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, value): entities of each text, in canonical form."""
-    return docs.select("doc_id", "text").mapInArrow(_entities, "doc_id long, kind string, value string")
+    """(text_key, kind, value): parts of the entities of each text, in canonical form; the key is the text's hash."""
+    return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(_entities, "text_key long, kind string, value string")
 
 
 def _surrogate_column(key: bytes):
@@ -306,25 +402,28 @@ def _surrogate_column(key: bytes):
         import pandas as pd
 
         s = Surrogates(key)
-        return pd.Series([s.of(k, v, int(r)) for k, v, r in zip(kind, value, rounds, strict=True)], dtype=object)
+        return pd.Series([s.plain(k, v, int(r)) for k, v, r in zip(kind, value, rounds, strict=True)], dtype=object)
 
     return column
 
 
 def settle(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, rounds) of the distinct entities whose surrogate had to move on.
+    """(kind, value, rounds) of the distinct parts whose surrogate had to move on.
 
-    A surrogate that another entity has too (all but the least value move), or that is itself an
-    entity of the corpus, moves one round; then all are compared again, until none meet.
+    A surrogate that another part has too (all but the least value move), or that is itself a part of
+    the corpus, moves one round; then all are compared again, until none meet.  Given names of all
+    genders are compared with each other.
     """
     every = stored(entities.select("kind", "value").distinct(), "entities")
     surrogate = _surrogate_column(key)
+    family = F.when(F.col("kind").startswith("given."), F.lit("given")).otherwise(F.col("kind"))
     rounds = every.select("kind", "value", F.lit(0).alias("rounds"))
     for _ in range(MOST_ROUNDS):
-        now = stored(rounds.withColumn("surrogate", surrogate("kind", "value", "rounds")), "surrogates")
-        twins = now.groupBy("kind", "surrogate").agg(F.min("value").alias("least"), F.count("*").alias("n")).filter("n > 1")
-        real = now.join(every.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value")
-        clash = now.join(twins, ["kind", "surrogate"]).filter("value <> least").select("kind", "value")
+        now = stored(rounds.withColumn("surrogate", surrogate("kind", "value", "rounds")).withColumn("family", family), "surrogates")
+        twins = now.groupBy("family", "surrogate").agg(F.min(F.struct("value", "kind")).alias("least"), F.count("*").alias("n")).filter("n > 1")
+        own = now.filter("surrogate = value").select("kind", "value")
+        real = now.filter("family <> 'given'").join(every.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value").unionByName(own)
+        clash = now.join(twins, ["family", "surrogate"]).filter("struct(value, kind) <> least").select("kind", "value")
         moving = stored(real.unionByName(clash).distinct(), "moving")
         if not moving.limit(1).count():
             return now.filter("rounds > 0").select("kind", "value", "rounds")
@@ -355,15 +454,20 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if not key:
+        raise ValueError("surrogates need a key")
     found = find_entities(docs)
     moved = stored(settle(found, key), "moved")
     names = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
-    docs = docs.select(*names)
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entity_kinds", T.StringType())])
     count = moved.count()
     if count <= MOST_OVERRIDES:
         rounds = {(r.kind, r.value): r.rounds for r in moved.collect()} if count else {}
         return docs.mapInArrow(_apply(key, to_arrow_schema(schema), rounds), schema)
-    per_doc = found.join(moved, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "rounds")).alias("_rounds"))
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "_doc"), F.coalesce("doc_id", F.lit(-1)) == F.col("_doc"), "left").select(*names, "_rounds")
+    # Beyond, each text brings its own: texts of one hash share what any of them needs.
+    per_text = found.join(moved, ["kind", "value"]).groupBy("text_key").agg(F.collect_set(F.struct("kind", "value", "rounds")).alias("own"))
+    mine, keyed = (next(f"_{w}{i}" for i in range(len(names) + 1) if f"_{w}{i}" not in names) for w in ("rounds", "key"))
+    per_text = per_text.select(F.col("text_key").alias(keyed), F.col("own").alias(mine))
+    joined = docs.join(per_text, F.xxhash64("text") == F.col(keyed), "left").select(*[F.col(f"`{c}`") for c in [*names, mine]])
     return joined.mapInArrow(_apply(key, to_arrow_schema(schema), None), schema)

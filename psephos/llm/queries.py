@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,9 +16,16 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: For the registered queries over synthetic tables alone: whoever reads this can undo these surrogates.
+TEST_KEY = "for synthetic tables only"
+
+
 def pii_key(spark: SparkSession) -> bytes:
-    """The key of surrogates; a deployment sets its own in the session."""
-    return spark.conf.get("spark.psephos.pii.key", "psephos").encode()
+    """The key of surrogates, from the session; without one, the test key and a warning."""
+    key = spark.conf.get("spark.psephos.pii.key", "")
+    if not key:
+        warnings.warn("spark.psephos.pii.key isn't set: surrogates under the public test key can be undone", stacklevel=2)
+    return (key or TEST_KEY).encode()
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
