@@ -11,8 +11,8 @@ the member's place and says which bytes of the content are lost.  Of a cut membe
 is read likewise; of one that is broken otherwise only records are kept that their own digest proves.
 
 Null html counts as empty, a null url as an empty one.  Repeated rows of the smallest page_id are all
-responses; a row without page_id revisits the group's response if there is one.  Extra columns are
-ignored; an empty table gives no archive, no record and no gap.
+responses; a row without page_id revisits the group's response if there is one.  A very long payload is
+one record.  Extra columns are ignored; an empty table gives no archive, no record and no gap.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from psephos.llm.common import slices, stored
 
+#: Up to so many repeated payloads are sent to every executor (some 100 bytes each); beyond, they are joined.
+MOST_BROADCAST_DIGESTS = 200_000
 DATE = "2020-01-01T00:00:00Z"
 LEAST_REVISIT, ARCHIVE_BYTES = 100, 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -260,14 +262,20 @@ def salvage(data: bytes | None) -> tuple[list[Record], list[Gap]]:
 def plan_revisits(pages: DataFrame) -> DataFrame:
     """pages with digest, payload_bytes, refers_to and is_revisit.
 
-    Smallest ids are found by a partial aggregation over digests alone.  The join that brings them
-    back is a plain one on the digest, which adaptive execution splits where a payload is very common.
+    Smallest ids are found by a partial aggregation over digests alone.  Only payloads of several pages
+    are looked up: few of them are broadcast, so no html is shuffled.  Many are joined on the digest, where
+    every payload that has no part in this has a key of its own and adaptive execution splits common ones.
     """
     payload = F.coalesce("html", F.lit(""))
     hashed = pages.select("page_id", "url", "html", F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    first = hashed.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    first = hashed.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    first = stored(first.select(F.col("digest").alias("key"), "first_id"), "warc-repeated")
+    if first.count() <= MOST_BROADCAST_DIGESTS:
+        first, key = F.broadcast(first), F.when(F.col("payload_bytes") >= LEAST_REVISIT, F.col("digest"))
+    else:
+        key = F.when(F.col("payload_bytes") >= LEAST_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("alone "), F.xxhash64("page_id", "url").cast("string")))
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.lit(False))
-    return hashed.join(first, "digest", "left").select("page_id", "url", "html", "digest", revisit.alias("is_revisit"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    return hashed.withColumn("key", key).join(first, "key", "left").select("page_id", "url", "html", "digest", revisit.alias("is_revisit"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
 _ARCHIVE = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("content", pa.binary())])
@@ -305,13 +313,16 @@ def _rows(fields: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _read(with_payload: bool):
+def _read(with_payload: bool, whole: bool):
     fields = _FIELDS if with_payload else _FIELDS[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=1):
             name, content = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
-            found = [(name, *r) for r in salvage(content)[0]]
+            records, gaps = salvage(content)
+            if whole and (gaps or len(records) != batch.column(2)[0].as_py()):
+                raise ValueError(f"{name}: {len(records)} records read, gaps {gaps[:3]}")
+            found = [(name, *r) for r in records]
             for i in range(0, len(found), 256):
                 yield _rows(fields, found[i : i + 256])
 
@@ -324,10 +335,13 @@ def _log(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(_GAPS, [(name, *g) for g in salvage(content)[1]])
 
 
-def read_archives(found: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of (archive, content), salvaged; one task an archive, whole archives in memory."""
+def read_archives(found: DataFrame, with_payload: bool = True, whole: bool = False) -> DataFrame:
+    """Records of (archive, content), salvaged; one task an archive, whole archives in memory.
+
+    ``whole`` is for archives of this writer, with their number of records: a gap or a missing one is an error.
+    """
     schema = "archive string, offset long, size long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long"
-    return found.select("archive", "content").mapInArrow(_read(with_payload), schema + ", payload binary" * with_payload)
+    return found.select("archive", "content", *["records"] * whole).mapInArrow(_read(with_payload, whole), schema + ", payload binary" * with_payload)
 
 
 def quarantine_log(found: DataFrame) -> DataFrame:
@@ -336,6 +350,6 @@ def quarantine_log(found: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write every page, read the archives back: what each record says of its payload."""
-    back = read_archives(stored(archives(pages), "warc"), with_payload=False)
+    """Write every page, read the archives back: what each record says of its payload.  A gap is an error."""
+    back = read_archives(stored(archives(pages), "warc"), with_payload=False, whole=True)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
