@@ -11,8 +11,9 @@ words stand to them, capitals, punctuation, and obfuscation (words that become l
 digits and signs are read as letters, letters with signs between them, stretched letters), and
 length.  Neither labels nor lang, source or doc_id are features.
 
-Null and empty texts have zero features and are scored as such.  Repeated rows are scored each.
-Without labelled rows, or with one class only, the score is the class's share (0 where no label is).
+Null and empty texts have zero features and are scored as such; very long ones are read whole.
+Repeated rows are scored each; in learning, equal rows count once, and where a doc_id has several labels
+toxic holds.  Extra columns are ignored; an empty table gives no rows.  Without labelled rows, or with one class only, the score is the class's share (0 where no label is).
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 from psephos.llm.common import slices
 
 MOST_TRAINING = 20_000
-#: Lexicon entries of the most toxic documents that are kept; a bound of the model's size.
-MOST_ENTRIES = 20_000
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 
@@ -112,8 +111,8 @@ def _half() -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> DataFrame:
     """(doc_id, text, toxic, half) of at most ``most`` labelled rows that may be learned from."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
-    taken = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").withColumn("half", _half())
+    taken = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("half", _half())
 
 
 _COUNT = pa.schema([("word", pa.string()), ("half", pa.int64()), ("toxic", pa.int64()), ("n", pa.int64())])
@@ -133,7 +132,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicons(rows: DataFrame) -> tuple[Lexicon, Lexicon, Lexicon]:
     """Lexicons of half 0, of half 1 and of both: words and beginnings whose share of toxic documents
     can't be chance, and the seed words."""
-    totals = {(r.half, r.bad): r.n for r in rows.select("doc_id", "half", (F.col("toxic") == 1).alias("bad")).distinct().groupBy("half", "bad").agg(F.count("*").alias("n")).collect()}
+    totals = {(r.half, r.bad): r.n for r in rows.select("half", (F.col("toxic") == 1).alias("bad")).groupBy("half", "bad").agg(F.count("*").alias("n")).collect()}
     counted = rows.select("text", "toxic", "half").mapInArrow(_count_words, "word string, half long, toxic long, n long")
     of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     bad = F.col("toxic") == 1
@@ -152,7 +151,7 @@ def learn_lexicons(rows: DataFrame) -> tuple[Lexicon, Lexicon, Lexicon]:
         t, n = F.col(f"t{which}"), F.col(f"n{which}")
         passed.append((2 * (part(t, n, share) + part(n - t, n, 1 - share)) >= least) & (10 * t >= 9 * n))
     found = words.select("word", "t0", "t1", "t2", "n0", "n1", "n2", *(p.alias(f"p{i}") for i, p in enumerate(passed))).filter("p0 OR p1 OR p2")
-    found = found.orderBy(F.desc("t2"), "word").limit(MOST_ENTRIES).collect()
+    found = found.collect()  # bounded by the words of the learned rows
     out = []
     for which, share in enumerate(shares):
         prior = math.log(share / (1 - share))
