@@ -1,8 +1,8 @@
 """Pack documents into windows of tokens by non-negative least squares.
 
 Each document gives full windows and a remainder.  The remainder's core, a multiple of QUANTUM,
-belongs to a length class.  All combinations of at most DEPTH classes that fill a window exactly
-are enumerated; NNLS against the class histogram says how often to use each, the counts are rounded
+belongs to a length class.  All combinations that fill a window exactly and are shallow (at most DEPTH
+pieces, or any number of pieces of at most two lengths) are enumerated; NNLS against the class histogram says how often to use each, the counts are rounded
 and limited to what is there, and what is left over is packed greedily: cores from long to short
 and the short tails behind them, in one run that is cut at window ends.
 
@@ -11,7 +11,8 @@ chunk hands less than a window to the next one.  The last tokens of a task go to
 lengths are powers of two, which need no padding.  Sequence ids are unique and ascend within a task:
 the partition's number in the upper bits, a count in the lower 33.
 
-A null or empty text is its end id alone.  Repeated rows are packed each; an empty table gives no rows.
+A null or empty text is its end id alone; a very long one is cut into full windows.  Repeated rows and
+ties are packed each, in the order they come; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,12 @@ WINDOW, QUANTUM, DEPTH, CHUNK = 2048, 32, 3, 1 << 22
 @lru_cache
 def combinations(units: int, depth: int) -> np.ndarray:
     """Rows: multiplicities of the classes 1 to units - 1 in each combination that sums to units."""
-    found = []
+    found = [(a,) * (units // a) for a in range(1, units) if units % a == 0 and units // a > depth]
+    for a in range(1, units):
+        for b in range(a + 1, units):
+            for n in range(1, (units - a) // b + 1):
+                if not (units - n * b) % a and n + (units - n * b) // a > depth:
+                    found.append((a,) * ((units - n * b) // a) + (b,) * n)
     for parts in range(2, depth + 1):
         for head in combinations_with_replacement(range(1, units), parts - 1):
             last = units - sum(head)
@@ -48,12 +54,12 @@ def combinations(units: int, depth: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by active sets on the normal equations."""
-    gram, target = a.T @ a, a.T @ b
+    """x >= 0 that minimises |a x - b|, by active sets."""
+    target = a.T @ b
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     slack = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
-    for _ in range(6 * a.shape[0]):
-        gain = np.where(free, -np.inf, target - gram @ x)
+    for _ in range(100 * (a.shape[0] + a.shape[1])):
+        gain = np.where(free, -np.inf, target - a.T @ (a @ x))
         best = int(gain.argmax())
         if gain[best] <= slack:
             break
@@ -61,7 +67,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         while True:
             own = np.flatnonzero(free)
             trial = np.zeros_like(x)
-            trial[own] = np.linalg.lstsq(gram[np.ix_(own, own)], target[own], rcond=None)[0]
+            trial[own] = np.linalg.lstsq(a[:, own], b, rcond=None)[0]
             low = own[trial[own] <= 0]
             if not len(low):
                 x = trial
@@ -72,6 +78,8 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x[~free] = 0
             if not free.any():
                 break
+    else:
+        raise ArithmeticError("no optimum of the least squares was reached")
     return x
 
 
