@@ -4,7 +4,8 @@ Every prefix of a byte string has exactly one valid last token: the token that e
 for itself under the merges, and may follow the last token of what stands before it.  Storing these
 last tokens lets a string grow (or change near its end) without encoding its beginning again.
 
-A null or empty text has no ids.  A vocabulary lists byte strings with ranks; ranks are the ids.
+A null or empty text has no ids; a very long one is encoded whole, match by match.  Repeated rows and ties
+are encoded each; extra columns are ignored; an empty table gives no rows.  A vocabulary lists byte strings with ranks; ranks are the ids.
 """
 
 from __future__ import annotations

@@ -25,7 +25,9 @@ _RECENT = re.compile("[鼀-\U0010ffff]")
 _SIGN_RUN = re.compile(r",(?<=[\W_],)(?=\s)"), re.compile(r"\.(?<=[\W_]\.)(?=\s)")
 #: A line end with more white space beside it.
 _LINE_RUN = re.compile(r"\n(?:\s|(?<=\s\n))")
-MOST_CACHED = 450_000
+#: Units and pieces that each generation of the cache holds, and characters of the longest that is kept:
+#: with its ids such a one takes less than a kilobyte, words of ten characters some 200 bytes.
+MOST_CACHED, MOST_CHARS = 450_000, 64
 
 
 class _Cache(dict):
@@ -45,6 +47,8 @@ class _Cache(dict):
             else:
                 pieces = self.split(unit)
                 ids = self.encode(unit) if len(pieces) == 1 else b"".join([self[p] for p in pieces])
+        if len(unit) > MOST_CHARS:
+            return ids
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

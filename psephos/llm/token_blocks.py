@@ -6,7 +6,8 @@ percentile of them needs, and keeps the upper bits of the outliers in an excepti
 of block starts allows reading any block alone.
 
 Rows of nothing: a null or empty text has no ids but its end id.  Null doc_ids sort first; repeated
-rows each keep their own place (ties are ordered by text).  An empty table gives no segments and no rows.
+rows each keep their own place (ties are ordered by text).  A very long text lies whole in one segment.
+Extra columns are ignored.  An empty table gives no segments and no rows.
 """
 
 from __future__ import annotations
