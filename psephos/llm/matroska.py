@@ -5,8 +5,13 @@ BlockGroups, undoes all three lacings, and gives every frame its track, timestam
 besides the cue points.  What is cut off or malformed ends the walk; what stood before is kept and
 ``error`` says where it ended.
 
+A block of a BlockGroup is a key frame unless it has a ReferenceBlock.  Laces follow in time by their
+track's DefaultDuration, else by the group's BlockDuration in equal parts, else by the samples in 8-bit
+mono PCM; without any of these all have the block's time.
+
 ``mux_payload`` stores bytes as 8-bit mono PCM.  Equal payloads make equal files: nothing in a file
-depends on time, place or id.  Null text counts as empty.
+depends on time, place or id.  Null text counts as empty; a very long one makes many clusters.  Repeated
+rows and ties are stored each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+REFERENCE_BLOCK, BLOCK_DURATION, DEFAULT_DURATION = 0xFB, 0x9B, 0x23E383
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, TRACKS, TRACK_ENTRY, AUDIO, INFO}
 TOP_LEVEL = {CLUSTER, CUES, TRACKS, INFO}
@@ -175,7 +181,7 @@ def parse(data: bytes | None) -> Media:
     """Packets, cues and tracks of a file."""
     data = data or b""
     packets, cues, tracks = [], [], []
-    state = {"scale": 1_000_000, "time": 0, "cluster": -1, "block": 0, "segment": 0, "cue": [0, 0, 0], "track": [0, 0, "", 0.0]}
+    state = {"scale": 1_000_000, "time": 0, "cluster": -1, "block": 0, "segment": 0, "cue": [0, 0, 0], "track": [0, 0, "", 0.0, 0, 0, 1], "group": [0, False, 0]}
 
     def block(at: int, end: int, simple: bool) -> None:
         begin = at
@@ -185,13 +191,23 @@ def parse(data: bytes | None) -> Media:
         relative, flags = struct.unpack_from(">hB", data, at)
         laces = _frames(data, at + 3, end, flags >> 1 & 3)
         start = (state["time"] + relative) * state["scale"]
-        rate = next((t[3] for t in tracks if t[0] == track and t[1] == 2 and t[2].startswith("A_PCM/INT") and t[3]), 0)
+        _, kind, codec, rate, every, depth, channels = next((t for t in tracks if t[0] == track), (track, 0, "", 0.0, 0, 0, 1))
+        if not (kind == 2 and codec.startswith("A_PCM/INT") and depth == 8 and channels == 1):
+            rate = 0  # only there is a byte a sample
         for i, (offset, size) in enumerate(laces):
-            # a byte is a sample in the 8-bit tracks that this module writes: laces follow in time
-            time = start + ((offset - laces[0][0]) * 1_000_000_000 // int(rate) if rate else 0)
+            time = start + (i * every if every else (offset - laces[0][0]) * 1_000_000_000 // int(rate) if rate else 0)
             packets.append(Packet(track, time, state["cluster"], state["block"], i, bool(flags & 0x80) if simple else True, offset, size))
         state["block"] += 1
 
+    def grouped() -> None:
+        """What the elements around a block, in any order, say of its frames."""
+        first, refers, duration = state["group"]
+        laces = packets[first:]
+        timed = any(p.timestamp_ns != laces[0].timestamp_ns for p in laces)
+        for i, p in enumerate(laces):
+            time = p.timestamp_ns + (0 if timed else i * duration * state["scale"] // len(laces))
+            packets[first + i] = p._replace(keyframe=not refers, timestamp_ns=time)
+
     def walk(at: int, end: int, parent: int) -> int:
         while at < end:
             start = at
@@ -210,8 +226,12 @@ def parse(data: bytes | None) -> Media:
                 elif tag == CUE_POINT:
                     state["cue"] = [0, 0, 0]
                 elif tag == TRACK_ENTRY:
-                    state["track"] = [0, 0, "", 0.0]
+                    state["track"] = [0, 0, "", 0.0, 0, 0, 1]
+                elif tag == BLOCK_GROUP:
+                    state["group"] = [len(packets), False, 0]
                 at = walk(at, stop, tag)
+                if tag == BLOCK_GROUP:
+                    grouped()
                 if tag == CUE_POINT:
                     cues.append(tuple(state["cue"]))
                 elif tag == TRACK_ENTRY:
@@ -234,6 +254,16 @@ def parse(data: bytes | None) -> Media:
                     state["track"][2] = data[at:stop].decode("latin-1").rstrip("\0")
                 elif tag == SAMPLING:
                     state["track"][3] = struct.unpack(">d" if stop - at == 8 else ">f", data[at:stop])[0] if stop - at in (4, 8) else 0.0
+                elif tag == DEFAULT_DURATION:
+                    state["track"][4] = number()
+                elif tag == BIT_DEPTH:
+                    state["track"][5] = number()
+                elif tag == CHANNELS:
+                    state["track"][6] = number()
+                elif tag == REFERENCE_BLOCK:
+                    state["group"][1] = True
+                elif tag == BLOCK_DURATION:
+                    state["group"][2] = number()
                 elif tag == CUE_TIME:
                     state["cue"][0] = number()
                 elif tag == CUE_TRACK:
