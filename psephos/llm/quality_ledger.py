@@ -4,8 +4,9 @@ Every rule is evaluated once for each document; the ledger stores the measuremen
 bit for each rule.  A policy is a versioned mask over those bits: applying another version, or
 leaving a rule out (ablation), reads the ledger and never the texts.
 
-Null and empty texts have no words and no lines.  Repeated rows are judged each alone; an empty
-table gives an empty ledger.  There is no shuffle and no join: a document is measured in its own row.
+Null and empty texts have no words and no lines; very long ones are measured whole.  Repeated rows and
+ties are judged each alone; extra columns are ignored (``passing`` keeps them, whatever their names); an
+empty table gives an empty ledger.  There is no shuffle and no join: a document is measured in its own row.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ def _let(value: str, name: str, body: str) -> str:
 
 _WORDS = f"CASE WHEN trim(BOTH {_SPACE} FROM text) = '' THEN array() ELSE split(trim(BOTH {_SPACE} FROM text), '[\\\\x20\\\\x09-\\\\x0D]+') END"
 
-# Windows of three words as (hash, place) in order of the hash: equal windows are neighbours.  The
-# places of windows that have an equal neighbour are put in order; each covers three words, less
+# Windows of three words as (hash, words, place) in order: equal windows are neighbours, and the words
+# decide where hashes are equal.  The places of windows that have an equal neighbour are put in order; each covers three words, less
 # what the next one covers too.
+_SAME = "(get(s, i {0} 1).g = x.g AND get(s, i {0} 1).a = x.a AND get(s, i {0} 1).b = x.b AND get(s, i {0} 1).c = x.c)"
 _REPEATS = _let(
-    "transform(words, w -> xxhash64(w))", "h",
+    "words", "v",
     _let(
-        "sort_array(transform(slice(h, 1, greatest(size(h) - 2, 0)), (x, i) -> struct(xxhash64(x, get(h, i + 1), get(h, i + 2)) AS g, i AS i)))", "s",
+        "sort_array(transform(slice(v, 1, greatest(size(v) - 2, 0)), (x, i) -> struct(xxhash64(x, get(v, i + 1), get(v, i + 2)) AS g, x AS a, get(v, i + 1) AS b, get(v, i + 2) AS c, i AS i)))", "s",
         _let(
-            "sort_array(transform(filter(s, (x, i) -> get(s, i - 1).g = x.g OR get(s, i + 1).g = x.g), x -> x.i))", "p",
+            f"sort_array(transform(filter(s, (x, i) -> {_SAME.format('-')} OR {_SAME.format('+')}), x -> x.i))", "p",
             "aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(3, b - a)), 0L, (n, x) -> n + x)",
         ),
     ),
