@@ -11,8 +11,13 @@ suffice (position).  The filters lose nothing, so the join finds every block ove
 
 Besides, the base phrases are counted where their words stand in a row.
 
-Null and empty texts have no words and no labels.  Repeated rows are scanned each; an empty table
-gives no rows.  Counting the tokens sends one row for each template token and task, a bounded table.
+A short template has words that name its license; with most of the template around another name it
+isn't that license's.  So a block gives its template's label only if it holds all the naming words too
+(``named``); blocks and score are by containment alone.
+
+Null and empty texts have no words and no labels; very long ones are scanned whole.  Repeated rows and
+ties are scanned each; extra columns are ignored; an empty table gives no rows.  Counting the tokens sends
+one row for each template token and task, a bounded table.
 """
 
 from __future__ import annotations
@@ -26,22 +31,22 @@ from pyspark.sql import functions as F
 
 from psephos.llm.common import slices
 
-# The base phrases of the contract, and sentences of public licenses.
+# The base phrases of the contract; sentences of public licenses with their labels and, last, the words that name the license.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = {
-    "mit-notice": ("mit", "Released under the MIT License"),
+    "mit-notice": ("mit", "Released under the MIT License", "mit"),
     "mit-grant": ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    "apache-notice": ("apache", "Licensed under the Apache License, Version 2.0"),
-    "apache-header": ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "gpl-notice": ("gpl", "licensed under the GNU General Public License, version 3"),
-    "gpl-header": ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    "cc-by-nc-notice": ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    "cc-by-notice": ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "apache-notice": ("apache", "Licensed under the Apache License, Version 2.0", "apache"),
+    "apache-header": ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    "gpl-notice": ("gpl", "licensed under the GNU General Public License, version 3", "gnu general public"),
+    "gpl-header": ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public"),
+    "cc-by-nc-notice": ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc"),
+    "cc-by-notice": ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
     "bsd-terms": ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "isc-grant": ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    "mpl-header": ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    "unlicense": ("unlicense", "This is free and unencumbered software released into the public domain"),
-    "proprietary": ("proprietary", "All rights reserved. No part of this publication may be reproduced without prior written permission"),
+    "mpl-header": ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla"),
+    "unlicense": ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
+    "proprietary": ("proprietary", "All rights reserved. No part of this publication may be reproduced without prior written permission", "reserved publication reproduced"),
 }
 THRESHOLD = 0.8
 
@@ -54,9 +59,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Template:
-    def __init__(self, name: str, label: str, text: str, frequency: dict[bytes, int], threshold: float):
+    def __init__(self, name: str, frequency: dict[bytes, int], threshold: float, label: str, text: str, naming: str = ""):
         words = words_of(text)
-        self.name, self.label = name, label
+        self.name, self.label, self.naming = name, label, frozenset(words_of(naming))
         self.tokens = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
         self.need = max(1, math.ceil(threshold * len(self.tokens) - 1e-9))
         self.prefix = self.tokens[: len(self.tokens) - self.need + 1]
@@ -76,15 +81,15 @@ class Template:
 
 
 class Scanner:
-    def __init__(self, frequency: dict[bytes, int], templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
-        self.templates = [Template(n, label, text, frequency, threshold) for n, (label, text) in templates.items()]
+    def __init__(self, frequency: dict[bytes, int], templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD):
+        self.templates = [Template(n, frequency, threshold, *of) for n, of in templates.items()]
         self.by_prefix: dict[bytes, list[int]] = {}
         for i, t in enumerate(self.templates):
             for token in t.prefix:
                 self.by_prefix.setdefault(token, []).append(i)
 
-    def blocks(self, words: list[bytes]) -> list[tuple[str, str, int, int, float]]:
-        """(template, label, first word, words, containment) of every block over the threshold."""
+    def blocks(self, words: list[bytes]) -> list[tuple[str, str, int, int, float, bool]]:
+        """(template, label, first word, words, containment, named) of every block over the threshold."""
         if self.by_prefix.keys().isdisjoint(words):
             return []
         candidates = set()
@@ -96,9 +101,10 @@ class Scanner:
         for i, first in sorted(candidates):
             t = self.templates[i]
             block = words[first : first + 2 * t.size]
-            shared = t.shared(set(block))
+            held = set(block)
+            shared = t.shared(held)
             if shared >= t.need:
-                out.append((t.name, t.label, first, len(block), shared / len(t.tokens)))
+                out.append((t.name, t.label, first, len(block), shared / len(t.tokens), t.naming <= held))
         return out
 
 
@@ -131,9 +137,9 @@ def _count(tokens: frozenset[bytes]):
     return run
 
 
-def token_frequency(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES) -> dict[bytes, int]:
+def token_frequency(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> dict[bytes, int]:
     """Documents that hold each template token, over all documents; at most as many rows as there are such tokens."""
-    tokens = frozenset(w for _, text in templates.values() for w in words_of(text))
+    tokens = frozenset(w for _, text, *_ in templates.values() for w in words_of(text))
     counted = docs.select("text").mapInArrow(_count(tokens), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {bytes(r.token): r.n for r in counted.collect()}
 
@@ -152,20 +158,20 @@ def _scan(frequency, templates, threshold):
                 base = {label for _, label in places}
                 starts = [at for at, _ in places]
                 best = max([1.0 if places else 0.0, *(b[4] for b in blocks)])
-                rows.append((doc, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {b[1] for b in blocks})), best, len(blocks)))
+                rows.append((doc, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {b[1] for b in blocks if b[5]})), best, len(blocks)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCAN)], schema=_SCAN)
 
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: its words, base places and labels, and its best containment."""
     frequency = token_frequency(docs, templates)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long"
     return docs.select("doc_id", "text").mapInArrow(_scan(frequency, templates, threshold), schema)
 
 
-_BLOCKS = [("doc_id", pa.int64()), ("template", pa.string()), ("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]
+_BLOCKS = [("doc_id", pa.int64()), ("template", pa.string()), ("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("named", pa.bool_())]
 
 
 def _matches(frequency, templates, threshold):
@@ -178,7 +184,7 @@ def _matches(frequency, templates, threshold):
     return run
 
 
-def matching_blocks(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def matching_blocks(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Every block that meets a template, with its place and containment."""
     frequency = token_frequency(docs, templates)
-    return docs.select("doc_id", "text").mapInArrow(_matches(frequency, templates, threshold), "doc_id long, template string, label string, first_word long, n_words long, containment double")
+    return docs.select("doc_id", "text").mapInArrow(_matches(frequency, templates, threshold), "doc_id long, template string, label string, first_word long, n_words long, containment double, named boolean")

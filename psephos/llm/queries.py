@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from psephos.llm import byte_bpe, license_scan, matroska, near_dedup, packing, pii, quality_ledger, token_blocks, toxicity, warc
 from psephos.llm.common import ship, table
+from psephos.llm.oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -84,31 +87,3 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: _shipped(f) for f in (op1_token_blocks, op2_toxicity, op3_pii_surrogates, op4_license_scan, op5_warc, op6_packing, op7_quality_ledger, op8_byte_bpe, op9_near_dedup, op10_matroska)}
-
-
-# The rules in SQL: words by one pattern, three-word windows by their places.
-_QUALITY = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
-p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
-g AS (SELECT doc_id, i, word || chr(10) || lead(word) OVER o || chr(10) || lead(word, 2) OVER o AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g WHERE g IS NOT NULL) WHERE c > 1),
-c AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM r, range(3) x(d) GROUP BY 1),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
-k AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
-m AS (SELECT w.doc_id, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims
-  FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)),
-f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (10 * n_dup_lines > 6 * n_lines)::BIGINT
-  + 16 * (word_chars < 2 * n_words OR word_chars > 16 * n_words)::BIGINT + 32 * (4 * n_exclaims > n_words)::BIGINT AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_exclaims, failures, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept FROM f"""
-
-_WARC = """
-WITH h AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM h)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
-
-
-def oracle_sql() -> dict[str, str]:
-    """SQL where it can say the whole result; the other operators are tested against plain Python."""
-    return {"op5_warc": _WARC, "op7_quality_ledger": _QUALITY}
