@@ -44,6 +44,28 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_many_repeated_payloads(spark, monkeypatch):
+    """The join by a shuffle gives what the broadcast gives; the longest ids survive."""
+    ids = [2**63 - 1, -(2**63), 10**18, 5, 7]
+    rows = [(i, "u", "<p>" + "x" * 200 * (1 + n % 2)) for n, i in enumerate(ids)] + [(100 + i, None, "s") for i in range(50)] + [(None, "u", "s"), (None, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit(1), "digest": F.lit("d"), "n": F.lit(2)}).repartition(3)
+    few = sorted(map(str, warc.archive_round_trip(df).collect()))
+    monkeypatch.setattr(warc, "MOST_BROADCAST_DIGESTS", 0)
+    assert sorted(map(str, warc.archive_round_trip(df).collect())) == few
+    got = {r.page_id: r for r in warc.archive_round_trip(df).collect() if r.page_id is not None}
+    # the odd places hold the longer payload: their least is -2**63; of the others it is 7
+    assert (got[5].refers_to, got[10**18].refers_to, got[2**63 - 1].refers_to, got[7].refers_to) == (-(2**63), 7, 7, None)
+    assert set(ids) <= set(got) and len(few) == len(rows)
+
+
+def test_lost_records_are_errors(spark):
+    table = warc.archives(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))
+    broken = table.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="records read"):
+        warc.read_archives(broken, whole=True).collect()
+    assert warc.read_archives(broken).count() == 1
+
+
 def archive(n=12):
     parts = []
     for i in range(n):
@@ -452,6 +474,61 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scores(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
+def test_contradicting_labels_and_repeated_rows(spark):
+    rows, labels = toxic_rows(200)
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string").repartition(5)
+    known = [(d, t) for d, t in labels] + [(d, 0) for d, t in labels if t]
+    got = []
+    for order in (known, known[::-1]):
+        taken = toxicity.training_rows(docs, spark.createDataFrame(order, "doc_id long, toxic int")).collect()
+        got.append(sorted((r.doc_id, r.toxic) for r in taken))
+    assert got[0] == got[1] == sorted((d, t) for d, t in labels if zlib.crc32(str(d).encode()) % 3 != 1)
+
+
+def best_split(x, g, h, depth, penalty=1.0, least=1.0):
+    """A regression tree by trying every cut of every feature."""
+    value = -g.sum() / (h.sum() + penalty)
+    if not depth or h.sum() < 2 * least:
+        return [value]
+    score = lambda own: g[own].sum() ** 2 / (h[own].sum() + penalty)
+    cuts = []
+    for f in range(x.shape[1]):
+        for cut in range(x.max()):
+            left = x[:, f] <= cut
+            if h[left].sum() >= least and h[~left].sum() >= least:
+                cuts.append((score(left) + score(~left) - score(np.ones(len(x), bool)), f, cut))
+    if not cuts or max(c[0] for c in cuts) <= 1e-6:
+        return [value]
+    gain, f, cut = max(cuts, key=lambda c: (round(c[0], 9), -c[1], -c[2]))
+    left = x[:, f] <= cut
+    return [f, cut, best_split(x[left], g[left], h[left], depth - 1), best_split(x[~left], g[~left], h[~left], depth - 1)]
+
+
+def leaf(tree, row):
+    while len(tree) > 1:
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree[0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_by_brute_force(seed):
+    r = np.random.default_rng(seed)
+    x, y = r.integers(0, 7, (120, 4)), r.integers(0, 2, 120).astype(float)
+    y[x[:, 1] > 4] = 1
+    p = np.full(120, y.mean())
+    tree, plain = toxicity.grow(x, p - y, p * (1 - p), 3), best_split(x, p - y, p * (1 - p), 3)
+    assert toxicity.apply_tree(tree, x) == pytest.approx(np.array([leaf(plain, row) for row in x]))
+    # boosting is the sum of its trees, each grown on what the ones before left over
+    boosted = toxicity.Boosted(x.astype(float), y, trees=4, depth=2, rate=0.3, bins=64)
+    margin, binned = np.full(120, boosted.base), boosted.bin(x.astype(float))
+    for grown in boosted.trees:
+        p = 1 / (1 + np.exp(-margin))
+        plain = best_split(binned, p - y, p * (1 - p), 2)
+        assert toxicity.apply_tree(grown, binned) == pytest.approx(np.array([leaf(plain, row) for row in binned]))
+        margin = margin + 0.3 * np.array([leaf(plain, row) for row in binned])
+    assert boosted.margin(x.astype(float)) == pytest.approx(margin)
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4, 5, 6] * 40), np.array([0, 0, 1, 0, 1, 1] * 40, float)
     knots, values = toxicity.isotonic(x, y)
@@ -479,3 +556,30 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, base)
         assert docs.columns == columns
     assert "a@b.example.org" not in docs.filter("doc_id IN (8, 2000)").first().text
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, long ones, repeated rows, null ids, extra columns with clashing names, empty tables."""
+    import corpus_pipeline
+
+    rows, labels = toxic_rows(60)
+    rows = [(d, t) for d, t in rows] + [rows[1], (None, rows[2][1]), (500, None), (501, ""), (502, "word " * 30_000), (503, " ".join(prose(77, 30_000)))]
+    base = f"{tmp_path}/sf"
+    spark.createDataFrame([(d, 1, t) for d, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    table = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = table.withColumns({c: F.lit(1) for c in ("score", "toxic", "node", "bands", "failures", "words", "kind", "n_entities", "class_id", "ids", "_row")}).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (extra, extra.limit(0)):
+            got = stage(spark, docs, base)
+            n = got.count()
+            if name == "packing":
+                lengths = {r.doc_id: r.doc_tokens for r in got.collect()}
+                assert n == 0 or lengths[500] == lengths[501] == 1 and set(lengths) == {d for d, _ in rows}
+            else:
+                assert got.columns == table.columns and (n > 0) == (docs is extra)
+    quality = {r.doc_id for r in corpus_pipeline.quality(spark, extra, base).collect()}
+    assert not quality & {500, 501, 502} and {503, None} <= quality
+    deduped = [r.doc_id for r in corpus_pipeline.dedup(spark, extra, base).collect()]
+    assert sorted(map(str, deduped)) == sorted([*(str(d) for d, _ in rows if d not in (None, 1, 501)), "1", "None"])
+    private = {str(r.doc_id): r for r in corpus_pipeline.private(spark, extra, base).collect()}
+    assert private["500"].text is None and private["501"].text == "" and len(private["503"].text) == private["503"].n_chars

@@ -122,6 +122,24 @@ def test_packing(docs, library):
     assert short <= 3 * 11
 
 
+def test_short_remainders_are_planned():
+    """A histogram of short remainders goes into combinations of many pieces, not into the run."""
+    r = np.random.default_rng(1)
+    histogram = np.bincount(np.clip(r.geometric(1 / 8, 20_000), 1, 63), minlength=64)[1:]
+    planned = sum(sum(classes) * times for classes, times in packing.plan(histogram, 64))
+    assert planned > 0.95 * (histogram * np.arange(1, 64)).sum()
+    table = packing.combinations(64, 3)
+    assert (table @ np.arange(1, 64) == 64).all() and len({tuple(x) for x in table.tolist()}) == len(table)
+    assert all((x > 0).sum() <= 2 or x.sum() <= 3 for x in table)
+
+
+def test_long_units_are_not_cached(library):
+    encoder = pieces.library_encoder(BYTE_BPE)
+    x = "漢字" * 5000 + " " + "Zq9" * 4000
+    assert np.frombuffer(encoder.encode(x), "<u4").tolist() == library(x)
+    assert max(map(len, encoder.ids)) <= pieces.MOST_CHARS
+
+
 def test_nnls_and_plan():
     a = np.array([[1.0, 0, 1], [0, 1, 1]])
     assert np.allclose(a @ packing.nnls(a, np.array([3.0, 1.0])), [3, 1])
@@ -201,6 +219,35 @@ def test_lacings_and_unknown_sizes():
     assert matroska.parse(None).packets == [] and matroska.parse(b"\0junk").error
 
 
+def test_block_groups():
+    m, e, u = matroska, matroska._element, matroska._uint
+    track = lambda n, *more: e(m.TRACK_ENTRY, u(m.TRACK_NUMBER, n) + u(m.TRACK_TYPE, 1) + e(m.CODEC_ID, b"V_X") + b"".join(more))
+    xiph = bytes([2, 2, 1]) + b"aabcc"
+    group = lambda n, *more: e(m.BLOCK_GROUP, b"".join([*more[:1], e(m.BLOCK, bytes([0x80 | n]) + b"\x00\x07\x02" + xiph), *more[1:]]))
+    cluster = e(m.CLUSTER, u(m.TIMESTAMP, 1000) + group(1) + group(1, e(m.REFERENCE_BLOCK, b"\xff")) + group(2, b"", u(m.BLOCK_DURATION, 30)) + group(3, u(m.BLOCK_DURATION, 30), e(m.REFERENCE_BLOCK, b"\x01")))
+    data = m._HEAD + e(m.SEGMENT, m._INFO + e(m.TRACKS, track(1) + track(2) + track(3, u(m.DEFAULT_DURATION, 40_000_000))) + cluster)
+    media = m.parse(data)
+    assert media.error is None and [p.keyframe for p in media.packets] == [True] * 3 + [False] * 3 + [True] * 3 + [False] * 3
+    ms = [p.timestamp_ns // 1_000_000 - 1007 for p in media.packets]
+    assert ms == [0] * 6 + [0, 10, 20] + [0, 40, 80]
+    assert [data[p.offset : p.offset + p.size] for p in media.packets[:3]] == [b"aa", b"b", b"cc"]
+
+
+def test_media_features(docs):
+    """The feature of every document, from its bytes alone."""
+    for r in matroska.media_digests(docs).collect():
+        t = next(t or "" for d, t in ROWS if d == r.doc_id)
+        payload = t.encode() + bytes(-len(t.encode()) % 64 or (0 if t else 64))
+        n, high = len(payload), [b >= 128 for b in payload]
+        blocks, clusters = -(-n // 2048), -(-n // 32768)
+        last = (n - 1) // 256 * 256
+        expected = {
+            "clusters": clusters, "blocks": blocks, "packets": -(-n // 256), "cues": clusters, "ms": last * 1000 // 8000 + (n - last) * 1000 // 8000,
+            "sum": sum(payload), "energy": sum(b * b for b in payload), "crossings": sum(a != b for a, b in zip(high, high[1:], strict=False)), "largest": min(n, 256),
+        }
+        assert r.feature == ";".join(f"{k}={v}" for k, v in expected.items()) and r.payload_bytes == n
+
+
 def test_licenses(spark, docs):
     rows = [(1, "Released under the MIT License."), (2, "x " * 300 + "Licensed, under the apache-license VERSION 2.0 mit license " + "y " * 300), (3, "clean words"), (4, None), (5, "Licensed under CC BY-NC 4.0."), (6, "permission is granted free of charge to any person obtaining a copy of this software and documentation files the software to deal in the software without restriction")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -215,7 +262,7 @@ def test_licenses(spark, docs):
 def test_license_join_is_exact(spark):
     """Every window against every template, without filters."""
     r = random.Random(3)
-    vocabulary = sorted({w.decode() for _, t in license_scan.TEMPLATES.values() for w in license_scan.words_of(t)}) + ["foo", "bar", "baz"] * 9
+    vocabulary = sorted({w.decode() for _, t, *_ in license_scan.TEMPLATES.values() for w in license_scan.words_of(t)}) + ["foo", "bar", "baz"] * 9
     rows = []
     for i in range(60):
         words = [r.choice(vocabulary) for _ in range(r.randrange(150))]
@@ -227,7 +274,7 @@ def test_license_join_is_exact(spark):
     expected = set()
     for i, t in rows:
         words = license_scan.words_of(t)
-        for name, (_, template) in license_scan.TEMPLATES.items():
+        for name, (_, template, *_) in license_scan.TEMPLATES.items():
             own = license_scan.words_of(template)
             c = next(c for c in (8, 16, 32, 64) if len(own) <= c)
             for first in range(0, max(1, len(words)), c):
@@ -236,6 +283,23 @@ def test_license_join_is_exact(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("name", [n for n, t in license_scan.TEMPLATES.items() if len(t) > 2])
+def test_licenses_need_their_naming_words(name):
+    label, template, naming = license_scan.TEMPLATES[name]
+    scanner = license_scan.Scanner({})
+    words = license_scan.words_of(template)
+    assert any(b[0] == name and b[5] for b in scanner.blocks(words))
+    for word in license_scan.words_of(naming):
+        other = [b"other" if w == word else w for w in words]
+        assert not any(b[1] == label and b[5] for b in scanner.blocks(other))
+
+
+def test_licenses_that_look_alike(spark):
+    rows = list(enumerate(["Licensed under CC BY 4.0", "Released under the Apache License", "Released under the BSD License", "Licensed under CC BY-NC 4.0", "Released under the MIT License"]))
+    got = {r.doc_id: (r.labels, r.n_blocks) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(5)] == ["", "apache", "", "cc-by-nc", "mit"] and all(n for _, n in got.values())
+
+
 def plain_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
