@@ -1,14 +1,15 @@
 """Page layout of ballots: boxes (ballot, ord, x, y, w, h) and row bands (ballot, r, y1, y2).
 
-Everything happens inside a ballot, so every window and join has the ballot as its equi-key and one
-shuffle on it serves them all.
+A page has few boxes, bands and separator lines.  What looks at several of them together gathers each
+kind into one ordered array a ballot (``gathered``: one shuffle, or none where the rows lie by ballot
+already) and works inside the row with higher-order functions, so nothing is joined or sorted again
+between steps.  What looks at one kind in order uses a window on the ballot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -16,12 +17,60 @@ from pyspark.sql.window import WindowSpec
 from psephos.functions.geometry import clamp, overlap
 
 KEY = "ballot"
+BOX, BAND = ("ord", "x", "y", "w", "h"), ("r", "y1", "y2")
+_BANDS = "array<struct<r:bigint,y1:bigint,y2:bigint>>"
 
 
 def _all() -> WindowSpec:
     return Window.partitionBy(KEY)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def median(values: Column) -> Column:
+    """Of an array: the middle value, or the mean of the two; null if it is empty."""
+    at = lambda s, k: F.get(s, ((F.size(s) - k) / 2).cast("int"))
+    return let(F.array_sort(values), lambda s: (at(s, 1) + at(s, 0)) / 2)
+
+
+def field(rows: Column, name: str) -> Column:
+    return F.transform(rows, lambda x: x[name])
+
+
+def long(x: Column) -> Column:
+    return x.cast("long")
+
+
+def ordered(columns: list[str], order: str) -> Column:
+    """Rows of a group as an array in order."""
+    return F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
+
+
+def gathered(how: str = "full", **kinds: tuple[DataFrame, tuple[str, ...]]) -> DataFrame:
+    """One row a ballot with an ordered array of each kind (name=(rows, columns), the first one orders)."""
+    out = None
+    for name, (rows, columns) in kinds.items():
+        one = rows.groupBy(KEY).agg(ordered(list(columns), columns[0]).alias(name))
+        out = one if out is None else out.join(one, KEY, how)
+    return out
+
+
+def _page(boxes: DataFrame, bands: DataFrame, how: str = "full") -> DataFrame:
+    return gathered(how, boxes=(boxes, BOX), bands=(bands, BAND)).select(KEY, *[F.coalesce(c, F.array()).alias(c) for c in ("boxes", "bands")])
+
+
+def _spread(page: DataFrame, bands: Column) -> DataFrame:
+    """Bands of an array as rows (ballot, r, y1, y2)."""
+    return page.select(KEY, F.explode(bands).alias("b")).select(KEY, *[long(F.col(f"b.{c}")).alias(c) for c in BAND])
+
+
+def _part(box: Column, band: Column) -> Column:
+    return overlap(band.y1, band.y2, box.y, box.h)
+
+
 def gap_clusters(df: DataFrame, value: str, tolerance: Column | float, keep: list[str] | None = None) -> DataFrame:
     """df with cluster: it counts up wherever the gap to the value before exceeds the tolerance."""
     w = Window.partitionBy(KEY).orderBy(value, *(keep or []))
@@ -33,12 +82,33 @@ def truncated_median(column: str) -> Column:
     return F.median(column).cast("long")
 
 
-def dedupe_boxes(boxes: DataFrame, tolerance: float = 0.35) -> DataFrame:
+def clustered(values: Column, key: Callable[[Column], Column], tolerance: Column, kind: str) -> Column:
+    """Runs of an ordered array: a new one wherever the gap to the value before exceeds the tolerance."""
+
+    def step(runs: Column, value: Column) -> Column:
+        last = F.element_at(runs, -1)
+        grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.concat(last, F.array(value))))
+        near = F.when(F.size(runs) > 0, key(value) - key(F.element_at(F.element_at(F.when(F.size(runs) > 0, runs), -1), -1)) <= tolerance)
+        return F.when(F.coalesce(near, F.lit(False)), grown).otherwise(F.concat(runs, F.array(F.array(value))))
+
+    return F.reduce(values, F.array().cast(f"array<array<{kind}>>"), step)
+
+
+_CENTRED = "struct<cy:double,ord:bigint,x:bigint,y:bigint,w:bigint,h:bigint>"
+
+
+def _deduped(boxes: Column) -> Column:
+    """Clusters of an array of boxes: truncated medians of their sides, and how many there are."""
+    rows = F.array_sort(F.transform(boxes, lambda b: F.struct((b.y + b.h / 2).alias("cy"), b.ord.alias("ord"), *[b[c].alias(c) for c in "xywh"])))
+    limit = 0.35 * F.greatest(F.lit(1.0), median(field(boxes, "h")))
+    runs = let(F.struct(rows.alias("rows"), limit.alias("limit")), lambda s: clustered(s.rows, lambda b: b.cy, s.limit, _CENTRED))
+    return F.transform(runs, lambda run: F.struct(*[long(median(field(run, c))).alias(c) for c in "xywh"], long(F.size(run)).alias("n")))
+
+
+def dedupe_boxes(boxes: DataFrame) -> DataFrame:
     """Boxes of one row (centres within a part of the median height) become their median box."""
-    limit = tolerance * F.greatest(F.lit(1.0), F.median("h").over(_all()))
-    rows = boxes.withColumn("cy", F.col("y") + F.col("h") / 2).withColumn("limit", limit)
-    grouped = gap_clusters(rows, "cy", F.col("limit"), ["ord"]).groupBy(KEY, "cluster")
-    return grouped.agg(*[truncated_median(c).alias(c) for c in ("x", "y", "w", "h")], F.count("*").alias("n"))
+    page = gathered(boxes=(boxes, BOX))
+    return page.select(KEY, F.posexplode(_deduped(F.col("boxes"))).alias("cluster", "b")).select(KEY, long(F.col("cluster")).alias("cluster"), "b.*")
 
 
 def header_cut(height: int, fraction: float = 0.05) -> int:
@@ -53,43 +123,54 @@ def body_bands(bands: DataFrame, height: int) -> DataFrame:
     return bands.filter(F.col("y2") > header_cut(height))
 
 
-def ordered(columns: list[str], order: str) -> Column:
-    """Rows of a group as an array in order."""
-    return F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
+def _gaps(values: Column) -> Column:
+    n = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), lambda a, b: b - a)
 
 
 def rows_from_boxes(boxes: DataFrame, height: int, expected: int | None = None) -> DataFrame:
     """Row bands around deduplicated box centres: (ballot, r, y1, y2).
 
     Bands end midway between centres and half a usual gap beyond the outer ones; a first box far
-    above the rest is taken for a header.  The last step carries each band's bottom to the next
-    band, which is a fold over the ballot's ordered array.
+    above the rest is taken for a header.  The last step carries each band's bottom to the next one.
     """
     cut = header_cut(height)
-    stats = boxes.groupBy(KEY).agg(F.median("h").alias("med_h"))
-    centres = dedupe_boxes(boxes).select(KEY, (F.col("y") + F.col("h") / 2).alias("cy"))
-    w = Window.partitionBy(KEY).orderBy("cy")
-    c = centres.join(stats, KEY).withColumn("n_all", F.count("*").over(_all())).withColumn("gap", F.lead("cy").over(w) - F.col("cy"))
-    c = c.withColumn("usual", F.median(F.when(F.col("gap") > 1, F.col("gap"))).over(_all()))
-    trimmed = F.median(F.when((F.col("gap") > 1) & (F.col("gap") < 3 * F.col("usual")), F.col("gap"))).over(_all())
-    c = c.withColumn("med_gap", F.coalesce(trimmed, F.col("usual"), 2.2 * F.col("med_h")))
-    single = c.filter("n_all = 1").select(KEY, F.lit(1).cast("long").alias("r"), *_single_band(F.col("cy"), F.col("med_h"), cut, height))
-    c = c.filter(f"n_all > 1 AND cy >= {cut}").withColumn("next", F.lead("cy").over(w))
-    header = F.coalesce((F.col("next") - F.col("cy") > 1.8 * F.col("med_gap")) & (F.col("cy") < cut + 1.2 * F.col("med_gap")), F.lit(False))
-    c = c.filter(~header)
-    if expected:
-        c = c.withColumn("from_end", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("cy")))).filter(F.col("from_end") <= expected)
-    pad = 0.55 * F.col("med_gap")
-    top = F.coalesce(0.5 * (F.lag("cy").over(w) + F.col("cy")), F.greatest(F.lit(float(cut)), F.col("cy") - pad))
-    bottom = F.coalesce(0.5 * (F.lead("cy").over(w) + F.col("cy")), F.least(F.lit(height - 1.0), F.col("cy") + pad))
-    least = F.greatest(F.lit(10.0), 0.6 * F.col("med_h")).cast("long")
-    c = c.withColumns({"least": least, "y1": F.greatest(F.lit(0), F.floor(top)), "y2": F.least(F.lit(height - 1), F.ceil(bottom)), "r": F.row_number().over(w).cast("long")})
-    small = F.col("y2") - F.col("y1") < F.col("least")
-    y1 = F.when(small, F.greatest(F.lit(0.0), F.col("cy") - 0.5 * F.col("least")).cast("long")).otherwise(F.col("y1"))
-    c = c.withColumn("a", y1).withColumn("b", F.when(small, F.least(F.lit(height - 1), F.col("a") + F.col("least"))).otherwise(F.col("y2")))
-    folded = c.groupBy(KEY).agg(ordered(["r", "a", "b", "least"], "r").alias("bands")).withColumn("bands", _monotone(F.col("bands"), height))
-    many = folded.select(KEY, F.explode("bands").alias("band")).select(KEY, "band.r", "band.y1", "band.y2")
-    return single.unionByName(many)
+    page = gathered(boxes=(boxes, BOX))
+    page = page.select(KEY, median(field(F.col("boxes"), "h")).alias("med_h"), F.array_sort(F.transform(_deduped(F.col("boxes")), lambda b: b.y + b.h / 2)).alias("c"))
+
+    def usual_gap(gaps: Column) -> Column:
+        usual = median(F.filter(gaps, lambda g: g > 1))
+        return let(usual, lambda u: F.coalesce(median(F.filter(gaps, lambda g: (g > 1) & (g < 3 * u))), u))
+
+    page = page.withColumn("gap", F.coalesce(let(_gaps(F.col("c")), usual_gap), 2.2 * F.col("med_h")))
+    gap, med_h = F.col("gap"), F.col("med_h")
+
+    def inner(centres: Column) -> Column:
+        """Without a header, and the last ones if their number is known."""
+        header = lambda v, i: F.coalesce((F.get(centres, i + 1) - v > 1.8 * gap) & (v < cut + 1.2 * gap), F.lit(False))
+        return F.filter(centres, lambda v, i: ~header(v, i))
+
+    def bands(centres: Column) -> Column:
+        least = long(F.greatest(F.lit(10.0), 0.6 * med_h))
+
+        def band(v: Column, i: Column) -> Column:
+            top = F.coalesce(0.5 * (F.get(centres, i - 1) + v), F.greatest(F.lit(float(cut)), v - 0.55 * gap))
+            bottom = F.coalesce(0.5 * (F.get(centres, i + 1) + v), F.least(F.lit(height - 1.0), v + 0.55 * gap))
+            ends = F.struct(F.greatest(F.lit(0), F.floor(top)).alias("y1"), F.least(F.lit(height - 1), F.ceil(bottom)).alias("y2"))
+
+            def wide(e: Column) -> Column:
+                small = e.y2 - e.y1 < least
+                a = F.when(small, long(F.greatest(F.lit(0.0), v - 0.5 * least))).otherwise(e.y1)
+                return F.struct(long(i + 1).alias("r"), long(a).alias("a"), long(F.when(small, F.least(F.lit(height - 1), a + least)).otherwise(e.y2)).alias("b"), least.alias("least"))
+
+            return let(ends, wide)
+
+        return _monotone(F.transform(centres, band), height)
+
+    last = (lambda k: F.slice(k, F.greatest(F.lit(1), F.size(k) - expected + 1), expected)) if expected else (lambda k: k)
+    many = let(F.filter("c", lambda v: v >= cut), lambda k: let(inner(k), lambda m: let(last(m), bands)))
+    single = F.array(F.struct(F.lit(1).cast("long").alias("r"), *_single_band(F.get("c", F.lit(0)), med_h, cut, height)))
+    return _spread(page, F.when(F.size("c") == 1, single).otherwise(many))
 
 
 def _single_band(cy: Column, med_h: Column, cut: int, height: int) -> list[Column]:
@@ -101,7 +182,7 @@ def _single_band(cy: Column, med_h: Column, cut: int, height: int) -> list[Colum
 
 def _monotone(bands: Column, height: int) -> Column:
     """Each band starts no higher than the one before ends and keeps its least height."""
-    start = F.struct(F.lit(0).cast("long").alias("bottom"), F.array().cast("array<struct<r:bigint,y1:bigint,y2:bigint>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("bottom"), F.array().cast(_BANDS).alias("out"))
 
     def step(state: Column, band: Column) -> Column:
         y1 = F.greatest(band.a, state.bottom)
@@ -111,50 +192,80 @@ def _monotone(bands: Column, height: int) -> Column:
     return F.aggregate(bands, start, step, lambda s: s.out)
 
 
-def overlaps(boxes: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs of a ballot's boxes and bands that meet, with the part of the box inside."""
-    pairs = boxes.join(bands, KEY).withColumn("part", overlap(F.col("y1"), F.col("y2"), F.col("y"), F.col("h")))
-    return pairs.filter("part > 0")
+def _taken(boxes: Column, bands: Column, least: float) -> Column:
+    """Bands of an array with the box that each gets (null if none) and the part of it inside.
+
+    Each box goes to the band with most of it, the earlier one if equal, if that is enough; of a band's
+    boxes the right-most stays, the first if equal.
+    """
+
+    def best(box: Column) -> Column:
+        return F.array_max(F.transform(bands, lambda band: F.struct(_part(box, band).alias("part"), (-band.r).alias("first"))))
+
+    mine = F.filter(F.transform(boxes, lambda box: F.struct(best(box).alias("at"), box.alias("box"))), lambda t: (t.at.part > 0) & (t.at.part >= least))
+
+    def of_band(taken: Column) -> Column:
+        def right(band: Column) -> Column:
+            own = F.filter(taken, lambda t: -t["at"]["first"] == band.r)
+            return F.array_max(F.transform(own, lambda t: F.struct(t.box.x.alias("x"), (-t.box.ord).alias("first"), t.at.part.alias("part"), t.box.alias("box"))))
+
+        return F.transform(bands, lambda band: F.struct(*[band[c].alias(c) for c in BAND], right(band).alias("best")))
+
+    return let(mine, of_band)
 
 
 def assign_boxes(boxes: DataFrame, bands: DataFrame, least: float = 0.5) -> DataFrame:
     """Each box goes to the band with most of it (the earlier one if equal), if that is enough; of a
     band's boxes the right-most stays (the first if equal)."""
-    best = Window.partitionBy(KEY, "ord").orderBy(F.desc("part"), "r")
-    right = Window.partitionBy(KEY, "r").orderBy(F.desc("x"), "ord")
-    taken = overlaps(boxes, bands).withColumn("k", F.row_number().over(best)).filter((F.col("k") == 1) & (F.col("part") >= least))
-    return taken.withColumn("k", F.row_number().over(right)).filter("k = 1").select(KEY, "r", "ord", "x", "y", "w", "h")
+    page = _page(boxes, bands, "inner")
+    rows = page.select(KEY, F.explode(_taken(F.col("boxes"), F.col("bands"), least)).alias("b")).filter("b.best IS NOT NULL")
+    return rows.select(KEY, "b.r", *[f"b.best.box.{c}" for c in BOX])
+
+
+def _touched(boxes: Column, bands: Column, least: float) -> Column:
+    """Bands of an array, and whether some box lies in them far enough."""
+    hit = lambda band: F.exists(boxes, lambda box: (_part(box, band) > 0) & (_part(box, band) >= least))
+    return F.transform(bands, lambda band: F.struct(*[band[c].alias(c) for c in BAND], hit(band).alias("hit"), F.greatest(F.lit(1), band.y2 - band.y1).alias("height")))
 
 
 def bands_with_box(boxes: DataFrame, bands: DataFrame, least: float = 0.3) -> DataFrame:
     """Bands that some box lies in far enough."""
-    return bands.join(overlaps(boxes, bands).filter(F.col("part") >= least).select(KEY, "r").distinct(), [KEY, "r"], "left_semi")
+    page = _page(boxes, bands, "inner")
+    return _spread(page, F.filter(_touched(F.col("boxes"), F.col("bands"), least), lambda b: b.hit))
 
 
 def repair_boxes(boxes: DataFrame, bands: DataFrame, width: int, height: int) -> DataFrame:
     """Every band's box: the assigned one, else a median box centred on the band.  Ballots without boxes give none."""
-    medians = boxes.groupBy(KEY).agg(*[truncated_median(c).alias(f"m{c}") for c in ("x", "w", "h")])
-    rows = bands.join(medians, KEY).join(assign_boxes(boxes, bands), [KEY, "r"], "left")
-    centre = F.floor((F.col("y1") + F.col("y2")) / 2)
+    page = _page(boxes, bands, "inner")
+    medians = [long(median(field(F.col("boxes"), c))).alias(f"m{c}") for c in "xwh"]
+    rows = page.select(KEY, *medians, F.explode(_taken(F.col("boxes"), F.col("bands"), 0.5)).alias("b"))
+    missing = F.col("b.best").isNull()
+    centre = F.floor((F.col("b.y1") + F.col("b.y2")) / 2)
     x = clamp(F.col("mx"), F.lit(0), width - F.col("mw") - 1)
     y = clamp(centre - F.floor(F.col("mh") / 2), F.lit(0), height - F.col("mh") - 1)
-    missing = F.col("ord").isNull()
-    return rows.select(KEY, "r", *[F.when(missing, m).otherwise(F.col(c)).cast("long").alias(c) for c, m in (("x", x), ("y", y), ("w", F.col("mw")), ("h", F.col("mh")))], missing.alias("repaired"))
+    usual = (("x", x), ("y", y), ("w", F.col("mw")), ("h", F.col("mh")))
+    return rows.select(KEY, "b.r", *[long(F.when(missing, m).otherwise(F.col(f"b.best.box.{c}"))).alias(c) for c, m in usual], missing.alias("repaired"))
 
 
 def split_by_centres(boxes: DataFrame, bands: DataFrame, height: int) -> DataFrame:
     """Bands that hold several box centres are cut midway between them: (ballot, y1, y2)."""
-    centres = boxes.select(KEY, (F.col("y") + F.col("h") / 2).alias("cy"))
-    least = boxes.groupBy(KEY).agg(F.greatest(F.lit(10.0), 0.6 * F.median("h")).cast("long").alias("least"))
-    body = body_bands(bands, height)
-    inside = body.join(centres, KEY).filter("cy >= y1 AND cy < y2")
-    w = Window.partitionBy(KEY, "r").orderBy("cy")
-    cuts = inside.withColumn("y1", F.coalesce((0.5 * (F.lag("cy").over(w) + F.col("cy"))).cast("long"), F.col("y1"))).withColumn("end", F.coalesce((0.5 * (F.lead("cy").over(w) + F.col("cy"))).cast("long"), F.col("y2")))
-    many = F.count("*").over(Window.partitionBy(KEY, "r"))
-    cuts = cuts.withColumn("many", many).join(least, KEY)
-    split = cuts.filter("many > 1").select(KEY, "y1", F.when(F.col("end") - F.col("y1") >= F.col("least"), F.col("end")).otherwise(F.col("y1") + F.col("least")).alias("y2"))
-    whole = body.join(cuts.filter("many > 1").select(KEY, "r").distinct(), [KEY, "r"], "left_anti").select(KEY, "y1", "y2")
-    return whole.unionByName(split)
+    page = gathered("left", bands=(body_bands(bands, height), BAND), boxes=(boxes, BOX)).withColumn("boxes", F.coalesce("boxes", F.array()))
+    page = page.select(KEY, "bands", long(F.greatest(F.lit(10.0), 0.6 * median(field(F.col("boxes"), "h")))).alias("least"), F.array_sort(F.transform("boxes", lambda b: b.y + b.h / 2)).alias("centres"))
+    least = F.col("least")
+
+    def pieces(band: Column) -> Column:
+        def split(inside: Column) -> Column:
+            def piece(v: Column, i: Column) -> Column:
+                a = F.coalesce(long(0.5 * (F.get(inside, i - 1) + v)), band.y1)
+                b = F.coalesce(long(0.5 * (F.get(inside, i + 1) + v)), band.y2)
+                return F.struct(long(i).alias("r"), a.alias("y1"), F.when(b - a >= least, b).otherwise(a + least).alias("y2"))
+
+            whole = F.array(F.struct(F.lit(0).cast("long").alias("r"), band.y1.alias("y1"), band.y2.alias("y2")))
+            return F.when(F.size(inside) > 1, F.transform(inside, piece)).otherwise(whole)
+
+        return let(F.filter("centres", lambda v: (v >= band.y1) & (v < band.y2)), split)
+
+    return _spread(page, F.flatten(F.transform("bands", pieces))).drop("r")
 
 
 def uniform_rows(boxes: DataFrame, bands: DataFrame, expected: int, height: int) -> DataFrame:
@@ -186,38 +297,50 @@ def best_block(boxes: DataFrame, bands: DataFrame, expected: int, least: float =
 
     Ballots with no more bands than that keep theirs.
     """
-    counted = bands.withColumn("n", F.count("*").over(_all())).withColumn("r", F.row_number().over(Window.partitionBy(KEY).orderBy("r")).cast("long"))
-    short, long = counted.filter(F.col("n") <= expected).select(KEY, "r", "y1", "y2"), counted.filter(F.col("n") > expected)
-    first = F.explode(F.sequence(F.greatest(F.lit(1), F.col("r") - (expected - 1)), F.least(F.col("r"), F.col("n") - (expected - 1)))).alias("start")
-    member = long.select(KEY, "r", "y1", "y2", first)
-    shape = member.groupBy(KEY, "start").agg(F.round(F.stddev_pop(F.col("y2") - F.col("y1")), 6).alias("spread"), F.min("y1").alias("top"))
-    hit = overlaps(boxes, long.select(KEY, "r", "y1", "y2")).filter(F.col("part") >= least).select(KEY, "r", "ord")
-    score = member.select(KEY, "r", "start").join(hit, [KEY, "r"]).groupBy(KEY, "start").agg(F.count_distinct("ord").alias("score"))
-    ranked = shape.join(score, [KEY, "start"], "left").withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(F.coalesce("score", F.lit(0))), "spread", "top", "start")))
-    return short.unionByName(member.join(ranked.filter("k = 1").select(KEY, "start"), [KEY, "start"], "left_semi").select(KEY, "r", "y1", "y2"))
+    page = gathered("left", bands=(bands, BAND), boxes=(boxes, BOX)).withColumn("boxes", F.coalesce("boxes", F.array()))
+    page = page.withColumn("bands", F.transform("bands", lambda b, i: F.struct(long(i + 1).alias("r"), b.y1.alias("y1"), b.y2.alias("y2"))))
+
+    def rank(start: Column) -> Column:
+        def of(block: Column) -> Column:
+            score = F.size(F.filter("boxes", lambda box: F.exists(block, lambda band: (_part(box, band) > 0) & (_part(box, band) >= least))))
+            mean = F.reduce(block, F.lit(0.0), lambda a, b: a + (b.y2 - b.y1)) / expected
+            spread = let(mean, lambda m: F.sqrt(F.reduce(block, F.lit(0.0), lambda a, b: a + (b.y2 - b.y1 - m) * (b.y2 - b.y1 - m)) / expected))
+            return F.struct(score.alias("score"), (-F.round(spread, 6)).alias("even"), (-F.array_min(field(block, "y1"))).alias("high"), (-start).alias("first"), block.alias("block"))
+
+        return let(F.slice("bands", start, expected), of)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("bands") - (expected - 1)))
+    best = F.array_max(F.transform(starts, rank)).block
+    return _spread(page, F.when(F.size("bands") <= expected, F.col("bands")).otherwise(best))
 
 
 def trim_rows(boxes: DataFrame, bands: DataFrame, least: float = 0.3) -> DataFrame:
     """Bands from the first with a box to the last, and beyond while their height is usual."""
-    touching = bands_with_box(boxes, bands, least).select(KEY, "r", F.lit(True).alias("hit"))
-    rows = bands.join(touching, [KEY, "r"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    rows = rows.withColumns({"height": F.greatest(F.lit(1), F.col("y2") - F.col("y1")), "first": F.min(F.when(F.col("hit"), F.col("r"))).over(_all()), "last": F.max(F.when(F.col("hit"), F.col("r"))).over(_all())})
-    med = F.median("height").over(_all())
-    rows = rows.withColumn("odd", ~F.col("hit") & ~F.col("height").between(0.7 * med, 1.35 * med))
-    start = F.coalesce(F.max(F.when(F.col("odd") & (F.col("r") < F.col("first")), F.col("r"))).over(_all()), F.lit(-1))
-    end = F.coalesce(F.min(F.when(F.col("odd") & (F.col("r") > F.col("last")), F.col("r"))).over(_all()), F.lit(1 << 40))
-    rows = rows.withColumns({"start": start, "end": end})
-    return rows.filter("first IS NULL OR (r > start AND r < end)").select(KEY, "r", "y1", "y2")
+    page = gathered("left", bands=(bands, BAND), boxes=(boxes, BOX)).withColumn("boxes", F.coalesce("boxes", F.array()))
+
+    def trimmed(rows: Column) -> Column:
+        hits = field(F.filter(rows, lambda b: b.hit), "r")
+
+        def within(s: Column) -> Column:
+            odd = field(F.filter(rows, lambda b: ~b.hit & ~b.height.between(0.7 * s.usual, 1.35 * s.usual)), "r")
+            start = F.array_max(F.filter(odd, lambda r: r < s.low))
+            end = F.array_min(F.filter(odd, lambda r: r > s.high))
+            return F.filter(rows, lambda b: s.low.isNull() | ((b.r > F.coalesce(start, F.lit(-1))) & (b.r < F.coalesce(end, F.lit(1 << 40)))))
+
+        return let(F.struct(median(field(rows, "height")).alias("usual"), F.array_min(hits).alias("low"), F.array_max(hits).alias("high")), within)
+
+    return _spread(page, let(_touched(F.col("boxes"), F.col("bands"), least), trimmed))
 
 
 def drop_slivers(boxes: DataFrame, bands: DataFrame, expected: int | None = None, part: float = 0.6, least: float = 0.3) -> DataFrame:
     """Drop short bands without a box, unless that leaves one fewer than expected."""
-    touching = bands_with_box(boxes, bands, least).select(KEY, "r", F.lit(True).alias("hit"))
-    height = F.greatest(F.lit(1), F.col("y2") - F.col("y1"))
-    rows = bands.join(touching, [KEY, "r"], "left").withColumn("stays", F.coalesce("hit", F.lit(False)) | (height >= part * F.median(height).over(_all())))
-    rows = rows.withColumn("kept", F.sum(F.col("stays").cast("int")).over(_all()))
-    guard = F.lit(False) if expected is None else F.col("kept") == expected - 1
-    return rows.filter(F.col("stays") | guard).select(KEY, "r", "y1", "y2")
+    page = gathered("left", bands=(bands, BAND), boxes=(boxes, BOX)).withColumn("boxes", F.coalesce("boxes", F.array()))
+
+    def without(rows: Column) -> Column:
+        kept = let(part * median(field(rows, "height")), lambda m: F.filter(rows, lambda b: b.hit | (b.height >= m)))
+        return kept if expected is None else let(kept, lambda k: F.when(F.size(k) == expected - 1, rows).otherwise(k))
+
+    return _spread(page, let(_touched(F.col("boxes"), F.col("bands"), least), without))
 
 
 def longest_missing(rows: DataFrame, missing: Column) -> DataFrame:
@@ -255,33 +378,35 @@ def top_boxes(boxes: DataFrame, expected: int, width: int) -> DataFrame:
 def layout_score(boxes: DataFrame, bands: DataFrame, expected: int, width: int, height: int) -> DataFrame:
     """Boxes found and near the expected number, bands that cover the body, boxes in one column."""
     cut = header_cut(height)
-    b = body_boxes(boxes, height).groupBy(KEY).agg(F.count("*").alias("n"), F.stddev_pop("x").alias("scatter"))
-    rows = body_bands(bands, height).withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy("r"))).filter(F.col("k") <= expected)
-    span = rows.groupBy(KEY).agg(F.greatest(F.lit(cut), F.min_by("y1", "r")).alias("top"), F.max_by("y2", "r").alias("bottom"))
-    both = b.join(span, KEY, "full").na.fill(0, ["n"])
-    cover = F.coalesce(5.0 * F.greatest(F.lit(0), F.col("bottom") - F.col("top")) / float(height - cut), F.lit(0.0))
-    scatter = F.when(F.col("n") >= 4, 2.0 * F.col("scatter") / width).otherwise(0.0)
-    return both.select(KEY, (F.col("n") - 2.0 * F.abs(F.col("n") - expected) + cover - scatter).alias("score"))
+    page = _page(body_boxes(boxes, height), body_bands(bands, height))
+    rows, xs, n = F.slice("bands", 1, expected), field(F.col("boxes"), "x"), F.size("boxes")
+    top, bottom = F.greatest(F.lit(cut), F.get(rows, F.lit(0)).y1), F.get(rows, F.size(rows) - 1).y2
+    cover = F.coalesce(5.0 * F.greatest(F.lit(0), bottom - top) / float(height - cut), F.lit(0.0))
+    mean = F.reduce(xs, F.lit(0.0), lambda a, x: a + x) / n
+    scatter = let(mean, lambda m: F.sqrt(F.reduce(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n))
+    return page.select(KEY, (n - 2.0 * F.abs(n - expected) + cover - F.when(n >= 4, 2.0 * scatter / width).otherwise(0.0)).alias("score"))
 
 
 def needs_fallback(boxes: DataFrame, bands: DataFrame, expected: int, width: int, height: int) -> DataFrame:
     """Whether a layout is too doubtful to use, from everything but pixels: (ballot, fallback)."""
-    b = body_boxes(boxes, height)
-    stats = b.groupBy(KEY).agg(F.count("*").alias("n"), F.median((F.col("x") + F.col("w")) / width).alias("right"), F.median(F.col("w") / width).alias("mw"), F.median(F.col("h") / height).alias("mh"))
-    rows = body_bands(bands, height).withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy("r"))).filter(F.col("k") <= expected).select(KEY, "r", "y1", "y2")
-    seen = rows.join(assign_boxes(b, rows).select(KEY, "r", "ord"), [KEY, "r"], "left")
-    gaps = seen.groupBy(KEY).agg(F.count("*").alias("rows"), F.count_if(F.col("ord").isNull()).alias("missing"))
-    runs = longest_missing(seen, F.col("ord").isNull())
-    loose = rows.join(assign_boxes(b, rows, 0.10).select(KEY, "r", F.col("y"), F.col("h")), [KEY, "r"], "left")
-    parts = loose.groupBy(KEY).agg(F.median(F.coalesce(overlap(F.col("y1"), F.col("y2"), F.col("y"), F.col("h")), F.lit(0.0))).alias("part"))
-    every = bands.select(KEY).distinct().join(stats, KEY, "left").join(gaps, KEY, "left").join(runs, KEY, "left").join(parts, KEY, "left")
-    has = F.coalesce(F.col("n") > 0, F.lit(False))
+    cut = header_cut(height)
+    page = gathered("left", bands=(bands, BAND), boxes=(boxes, BOX))
+    body = F.filter(F.coalesce("boxes", F.array()), lambda b: b.y + b.h / 2 >= cut)
+    page = page.select(KEY, F.slice(F.filter("bands", lambda b: b.y2 > cut), 1, expected).alias("bands"), body.alias("boxes"))
+    box, band = F.col("boxes"), F.col("bands")
+    seen = F.transform(_taken(box, band, 0.5), lambda b: b.best.isNull())
+    part = median(F.transform(_taken(box, band, 0.10), lambda b: F.coalesce(b.best.part, F.lit(0.0))))
+    run = lambda gone: F.reduce(gone, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, g: F.when(g, F.struct((s.now + 1).alias("now"), F.greatest(s.most, s.now + 1).alias("most"))).otherwise(F.struct(F.lit(0).alias("now"), s.most.alias("most"))), lambda s: s.most)
+    gaps = let(seen, lambda g: F.struct(F.size(F.filter(g, lambda x: x)).alias("missing"), run(g).alias("longest")))
+    ratio = lambda f: median(F.transform(box, f))
+    page = page.select(KEY, F.size(box).alias("n"), F.size(band).alias("rows"), gaps.alias("gaps"), part.alias("part"), ratio(lambda b: (b.x + b.w) / width).alias("right"), ratio(lambda b: b.w / width).alias("mw"), ratio(lambda b: b.h / height).alias("mh"))
+    has, some = F.col("n") > 0, F.col("rows") > 0
     doubt = (
-        (F.coalesce("n", F.lit(0)) < max(3, int(0.7 * expected)))
+        (F.col("n") < max(3, int(0.7 * expected)))
         | (has & ((F.col("right") < 0.92) | (1 - F.col("right") > 0.08) | (F.col("mw") > 0.20) | (F.col("mh") > 0.10)))
-        | (has & F.coalesce((F.col("missing") / F.col("rows") >= 0.30) | (F.col("longest") >= 3) | (F.col("part") < 0.35), F.lit(False)))
+        | (has & some & F.coalesce((F.col("gaps.missing") >= 0.30 * F.col("rows")) | (F.col("gaps.longest") >= 3) | (F.col("part") < 0.35), F.lit(False)))
     )
-    return every.select(KEY, F.coalesce(doubt, F.lit(True)).alias("fallback"))
+    return page.select(KEY, F.coalesce(doubt, F.lit(True)).alias("fallback"))
 
 
 def local_maxima(profile: DataFrame, value: str, least: Column | float, first: int, stop: int) -> DataFrame:
@@ -301,10 +426,16 @@ def peak_threshold(value: str) -> Column:
     return F.greatest(F.percentile(value, F.lit(0.92)), F.lit(0.12))
 
 
+def _nearest(y: Column, lines: Column) -> Column:
+    return F.array_min(F.transform(lines, lambda s: F.struct(F.abs(s - y).alias("distance"), s.alias("nearest"))))
+
+
 def nearest(boundaries: DataFrame, separators: DataFrame) -> DataFrame:
     """Each boundary (ballot, r, y) with its nearest separator (ballot, s), the smaller one if equal."""
-    pairs = boundaries.join(separators, KEY)
-    return pairs.groupBy(KEY, "r", "y").agg(F.min(F.struct(F.abs(F.col("s") - F.col("y")).alias("distance"), F.col("s").alias("nearest"))).alias("m")).select(KEY, "r", "y", "m.nearest", "m.distance")
+    page = gathered("inner", edges=(boundaries, ("r", "y")), lines=(separators, ("s",)))
+    lines = field(F.col("lines"), "s")
+    rows = page.select(KEY, F.explode(let(lines, lambda s: F.transform("edges", lambda e: F.struct(e.r.alias("r"), e.y.alias("y"), _nearest(e.y, s).alias("m"))))).alias("e"))
+    return rows.select(KEY, "e.r", "e.y", "e.m.nearest", "e.m.distance")
 
 
 def snap_bands(bands: DataFrame, separators: DataFrame) -> DataFrame:
@@ -312,66 +443,92 @@ def snap_bands(bands: DataFrame, separators: DataFrame) -> DataFrame:
 
     Whether a boundary may move depends on where the one before went: a fold over the ordered array.
     """
-    w = Window.partitionBy(KEY).orderBy("r")
-    b = bands.withColumns({"centre_gap": (F.lead(F.col("y1") + F.col("y2")).over(w) - F.col("y1") - F.col("y2")) / 2, "height": F.col("y2") - F.col("y1"), "next": F.lead("y2").over(w)})
-    stats = b.groupBy(KEY).agg(F.coalesce(F.median("centre_gap"), F.lit(60.0)).alias("gap"), F.greatest(F.lit(10.0), 0.6 * F.median("height")).cast("long").alias("least"), F.min_by("y1", "r").alias("y0"))
-    close = nearest(b.filter("next IS NOT NULL").select(KEY, "r", F.col("y2").alias("y")), separators)
-    rows = b.join(stats, KEY).join(close.select(KEY, "r", "nearest", "distance"), [KEY, "r"], "left")
-    rows = rows.withColumn("wish", F.when((F.col("distance") <= 0.12 * F.col("gap")) & (F.col("next") - F.col("nearest") >= F.col("least")), F.col("nearest")))
-    packed = rows.groupBy(KEY).agg(F.first("y0").alias("y0"), ordered(["r", "y2", "wish", "least"], "r").alias("bands"))
-    start = F.struct(F.col("y0").cast("long").alias("top"), F.array().cast("array<struct<r:bigint,y1:bigint,y2:bigint>>").alias("out"))
-
-    def step(state: Column, band: Column) -> Column:
-        end = F.when(band.wish - state.top >= band.least, band.wish).otherwise(band.y2).cast("long")
-        height = F.greatest(end - state.top, band.least)
-        return F.struct(end.alias("top"), F.concat(state.out, F.array(F.struct(band.r.alias("r"), state.top.alias("y1"), (state.top + height).alias("y2")))).alias("out"))
+    page = gathered("left", bands=(bands, BAND), lines=(separators, ("s",)))
+    lines, rows = field(F.coalesce("lines", F.array()), "s"), F.col("bands")
+    gap = F.coalesce(median(F.transform(_gaps(F.transform(rows, lambda b: b.y1 + b.y2)), lambda g: g / 2)), F.lit(60.0))
+    least = long(F.greatest(F.lit(10.0), 0.6 * median(F.transform(rows, lambda b: b.y2 - b.y1))))
+    page = page.select(KEY, "bands", lines.alias("lines"), gap.alias("gap"), least.alias("least"))
+    least = F.col("least")
 
-    out = packed.select(KEY, F.explode(F.aggregate("bands", start, step, lambda s: s.out)).alias("b"))
-    return out.select(KEY, "b.r", "b.y1", "b.y2")
+    def wish(band: Column, i: Column) -> Column:
+        following = F.get("bands", i + 1).y2
+        moved = let(_nearest(band.y2, F.col("lines")), lambda m: F.when((m.distance <= 0.12 * F.col("gap")) & (following - m.nearest >= least), m.nearest))
+        return F.struct(band.r.alias("r"), band.y2.alias("y2"), F.when(following.isNotNull(), moved).alias("wish"))
 
+    start = F.struct(long(F.get("bands", F.lit(0)).y1).alias("top"), F.array().cast(_BANDS).alias("out"))
 
-def _recover(expected: int, height: int, least: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        bands = sorted(zip(frame["y1"].tolist(), frame["y2"].tolist(), strict=True))
-        usual = float(pd.Series([b - a for a, b in bands]).median()) or max(least, height / expected)
-        while len(bands) < expected:
-            tallest = max(bands, key=lambda band: band[1] - band[0])
-            size = tallest[1] - tallest[0]
-            pieces = max(2, min(expected - len(bands) + 1, round(size / usual)))
-            cuts = [int(tallest[0] + j * size / pieces) for j in range(pieces)] + [tallest[1]]
-            strips = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b - a >= least]
-            if size < 2 * least or len(strips) < 2:
-                break
-            bands = sorted([band for band in bands if band is not tallest] + strips)
-        bands = bands[:expected] if len(frame) < expected else bands
-        return pd.DataFrame({KEY: frame[KEY].iloc[0], "r": range(1, len(bands) + 1), "y1": [a for a, _ in bands], "y2": [b for _, b in bands]})
+    def step(state: Column, band: Column) -> Column:
+        end = F.when(band.wish - state.top >= least, band.wish).otherwise(band.y2).cast("long")
+        height = F.greatest(end - state.top, least)
+        return F.struct(end.alias("top"), F.concat(state.out, F.array(F.struct(band.r.alias("r"), state.top.alias("y1"), (state.top + height).alias("y2")))).alias("out"))
 
-    return run
+    return _spread(page, F.aggregate(F.transform("bands", wish), start, step, lambda s: s.out))
 
 
 def recover_missing(bands: DataFrame, expected: int, height: int, least: int = 10) -> DataFrame:
     """Ballots with too few bands: the tallest is cut into strips of the usual height, again and again.
 
-    Each cut depends on the last, so a ballot's few bands go through a grouped-map function.
+    Each cut depends on the last: a fold over as many steps as bands may be missing.
     """
-    return bands.select(KEY, "y1", "y2").groupBy(KEY).applyInPandas(_recover(expected, height, least), f"{KEY} long, r long, y1 long, y2 long")
+    page = gathered(bands=(bands.select(KEY, "y1", "y2"), ("y1", "y2")))
+    heights = F.transform("bands", lambda b: b.y2 - b.y1)
+    usual = median(heights)
+    page = page.withColumn("usual", F.when(usual > 0, usual).otherwise(float(max(least, height / expected))))
+
+    def cut(rows: Column) -> Column:
+        tallest = F.reduce(rows, F.get(rows, F.lit(0)), lambda a, b: F.when(b.y2 - b.y1 > a.y2 - a.y1, b).otherwise(a))
+
+        def strips(t: Column) -> Column:
+            size = t.y2 - t.y1
+            pieces = F.greatest(F.lit(2), F.least(expected - F.size(rows) + 1, F.bround(size / F.col("usual"), 0).cast("int")))
+
+            def parts(n: Column) -> Column:
+                at = lambda j: F.when(j == n, t.y2).otherwise(long(t.y1 + j * size / n))
+                every = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(at(j).alias("y1"), at(j + 1).alias("y2")))
+                good = F.filter(every, lambda s: s.y2 - s.y1 >= least)
+                others = F.filter(rows, lambda b: ~((b.y1 == t.y1) & (b.y2 == t.y2)))
+                copies = F.array_repeat(t, F.size(rows) - F.size(others) - 1)
+                return let(good, lambda g: F.when((size < 2 * least) | (F.size(g) < 2), rows).otherwise(F.array_sort(F.concat(others, copies, g))))
 
+            return let(pieces, parts)
 
-def bands_from_separators(separators: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Bands between clustered separator lines (ballot, s), with outer ones a usual gap away where the
-    page leaves room; bands under 0.45 of the usual gap fall away."""
-    lines = gap_clusters(separators, "s", F.lit(tolerance)).groupBy(KEY, "cluster").agg(truncated_median("s").alias("s"))
-    w = Window.partitionBy(KEY).orderBy("s")
-    pairs = lines.withColumn("next", F.lead("s").over(w)).filter("next IS NOT NULL").withColumn("gap", F.col("next") - F.col("s"))
-    pairs = pairs.withColumn("usual", F.median("gap").over(_all())).filter("gap >= 0.45 * usual")
-    return pairs.select(KEY, F.row_number().over(w).cast("long").alias("r"), F.col("s").alias("y1"), F.col("next").alias("y2"))
+        return let(tallest, strips)
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, expected)))
+    kind = "array<struct<y1:bigint,y2:bigint>>"
+    done = F.reduce(steps, F.col("bands").cast(kind), lambda rows, _: F.when(F.size(rows) < expected, cut(rows)).otherwise(rows).cast(kind))
+    out = F.when(F.size("bands") < expected, F.slice(done, 1, expected)).otherwise(F.col("bands").cast(kind))
+    return page.select(KEY, F.posexplode(out).alias("i", "b")).select(KEY, long(F.col("i") + 1).alias("r"), "b.y1", "b.y2")
+
+
+def bands_from_separators(separators: DataFrame, height: int, tolerance: int | None = None) -> DataFrame:
+    """Bands between clustered separator lines (ballot, s) below the header.
+
+    Outer boundaries a usual gap away are added where the page leaves room for more than 0.35 of one;
+    bands under 0.45 of the usual gap, or ten pixels, fall away.
+    """
+    cut, tolerance = header_cut(height), max(4, int(0.008 * height)) if tolerance is None else tolerance
+    merged = lambda lines: F.transform(clustered(F.array_sort(lines), lambda v: v, F.lit(tolerance), "bigint"), lambda run: long(median(run)))
+    page = gathered(lines=(separators, ("s",))).select(KEY, merged(F.transform("lines", lambda x: long(x.s))).alias("lines"))
+    gap = long(median(F.filter(_gaps(F.col("lines")), lambda g: g > 0)))
+    page = page.select(KEY, F.filter("lines", lambda s: s >= cut).alias("lines"), F.coalesce(gap, F.lit(int(0.06 * height))).alias("gap"))
+    some = F.size("lines") > 0
+    first, last, room = F.array_min("lines"), F.array_max("lines"), long(0.35 * F.col("gap"))
+    top, bottom = F.greatest(F.lit(cut), first - F.col("gap")), F.least(F.lit(height - 1), last + F.col("gap"))
+    more = F.concat(F.when(some & (top < first - room), F.array(long(top))).otherwise(F.array()), F.col("lines"), F.when(some & (bottom > last + room), F.array(long(bottom))).otherwise(F.array()))
+    page = page.select(KEY, "gap", merged(more).alias("lines"))
+    least = F.greatest(F.lit(10), long(0.45 * F.col("gap")))
+    n = F.greatest(F.size("lines") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("lines", 1, n), F.slice("lines", 2, n), lambda a, b: F.struct(a.alias("y1"), b.alias("y2")))
+    high = F.filter(pairs, lambda p: p.y2 - p.y1 >= least)
+    return _spread(page, F.transform(high, lambda p, i: F.struct(long(i + 1).alias("r"), p.y1.alias("y1"), p.y2.alias("y2"))))
 
 
 def aligned(bands: DataFrame, boxes: DataFrame) -> DataFrame:
     """Bands and boxes by ordinal; where one side is shorter its columns are null."""
-    left = bands.withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy("r")))
-    right = boxes.withColumn("k", F.row_number().over(Window.partitionBy(KEY).orderBy("y", "ord")))
-    return left.join(right.select(KEY, "k", "x", "y", "w", "h"), [KEY, "k"], "left").drop("k")
+    page = _page(boxes, bands).withColumn("boxes", F.array_sort(F.transform("boxes", lambda b: F.struct(b.y.alias("y"), b.ord.alias("ord"), b.x.alias("x"), b.w.alias("w"), b.h.alias("h")))))
+    both = page.select(KEY, F.explode(F.zip_with("bands", "boxes", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    return both.select(KEY, *[f"p.a.{c}" for c in BAND], *[f"p.b.{c}" for c in "xywh"])
 
 
 def bands_of(frames: Iterator[DataFrame]) -> DataFrame:

@@ -108,7 +108,7 @@ def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands between the separators of two detectors."""
     lines = t.separators(spark, sf_dir)
     both = layout.bands_of(iter((lines, lines.filter("s % 3 = 0").select("ballot", (F.col("s") + 1).alias("s")))))
-    return layout.bands_from_separators(both)
+    return layout.bands_from_separators(both, _H)
 
 
 def recover_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,9 +233,15 @@ f AS (SELECT ballot, r, y0 AS top, CASE WHEN wish - y0 >= m THEN wish ELSE y2 EN
  UNION ALL SELECT z.ballot, z.r, f.e, CASE WHEN wish - f.e >= z.m THEN wish ELSE z.y2 END, z.m FROM f JOIN z ON z.ballot = f.ballot AND z.r = f.r + 1)
 SELECT ballot, CAST(r AS BIGINT) AS r, CAST(top AS BIGINT) AS y1, CAST(top + greatest(e - top, m) AS BIGINT) AS y2 FROM f"""
 _BANDS = f"""{_BASE}, u AS (SELECT ballot, s FROM lines UNION ALL SELECT ballot, s + 1 FROM lines WHERE s % 3 = 0),
-c AS (SELECT ballot, {_MED.format('s')} AS s FROM ({_CLUSTER.format('s', 's', '3', 'u')}) GROUP BY ballot, cluster),
-p AS (SELECT *, lead(s) OVER (PARTITION BY ballot ORDER BY s) AS nxt FROM c), q AS (SELECT *, median(nxt - s) OVER (PARTITION BY ballot) AS usual FROM p WHERE nxt IS NOT NULL)
-SELECT ballot, row_number() OVER (PARTITION BY ballot ORDER BY s) AS r, s AS y1, nxt AS y2 FROM q WHERE nxt - s >= 0.45 * usual"""
+c AS (SELECT ballot, {_MED.format('s')} AS s FROM ({_CLUSTER.format('s', 's', '8', 'u')}) GROUP BY ballot, cluster),
+g AS (SELECT ballot, {_MED.format('d')} AS gap FROM (SELECT ballot, lead(s) OVER (PARTITION BY ballot ORDER BY s) - s AS d FROM c) WHERE d > 0 GROUP BY 1),
+b AS (SELECT c.ballot, s, coalesce(gap, 60) AS gap FROM c LEFT JOIN g USING (ballot) WHERE s >= 50),
+o AS (SELECT ballot, gap, min(s) AS lo, max(s) AS hi FROM b GROUP BY 1, 2),
+v AS (SELECT ballot, gap, s FROM b UNION ALL SELECT ballot, gap, greatest(50, lo - gap) FROM o WHERE greatest(50, lo - gap) < lo - CAST(trunc(0.35 * gap) AS BIGINT)
+ UNION ALL SELECT ballot, gap, least(999, hi + gap) FROM o WHERE least(999, hi + gap) > hi + CAST(trunc(0.35 * gap) AS BIGINT)),
+m AS (SELECT ballot, any_value(gap) AS gap, {_MED.format('s')} AS s FROM ({_CLUSTER.format('s', 's', '8', 'v')}) GROUP BY ballot, cluster),
+p AS (SELECT *, lead(s) OVER (PARTITION BY ballot ORDER BY s) AS nxt FROM m)
+SELECT ballot, row_number() OVER (PARTITION BY ballot ORDER BY s) AS r, s AS y1, nxt AS y2 FROM p WHERE nxt - s >= greatest(10, trunc(0.45 * gap))"""
 _FALLBACK = f"""{_BASE}, bb AS MATERIALIZED (SELECT * FROM boxes WHERE y + h / 2 >= 50), s AS (SELECT ballot, count(*) AS n, median((x + w) / 1000) AS rt, median(w / 1000) AS mw, median(h / 1000) AS mh FROM bb GROUP BY 1),
 rw AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY r) AS k FROM bands WHERE y2 > 50) WHERE k <= 5),
 pp AS (SELECT b.ballot, ord, x, y, h, r, y1, y2, greatest(0, least(y2, y + h) - greatest(y1, y)) / (h + 1e-6) AS part FROM bb b JOIN rw USING (ballot)),
@@ -246,7 +252,17 @@ rn AS (SELECT ballot, max(c) AS longest FROM (SELECT ballot, g, count(*) FILTER
 lp AS (SELECT rw.ballot, median(coalesce(a1.part, 0)) AS part FROM rw LEFT JOIN a1 ON a1.ballot = rw.ballot AND a1.r = rw.r GROUP BY 1)
 SELECT e.ballot, coalesce(n, 0) < 3 OR coalesce(rt < 0.92 OR 1 - rt > 0.08 OR mw > 0.20 OR mh > 0.10, false) OR (coalesce(n, 0) > 0 AND coalesce(missing / n_rows >= 0.30 OR longest >= 3 OR part < 0.35, false)) AS fallback
 FROM (SELECT DISTINCT ballot FROM bands) e LEFT JOIN s USING (ballot) LEFT JOIN gp USING (ballot) LEFT JOIN rn USING (ballot) LEFT JOIN lp USING (ballot)"""
+_CUT = "CAST(CASE WHEN {0} = p THEN t.y2 ELSE trunc(t.y1 + {0} * (t.y2 - t.y1) / p) END AS BIGINT)"
+_RECOVER = f"""{_BASE}, z AS (SELECT ballot, list_sort(list(struct_pack(y1 := y1, y2 := y2))) AS b, count(*) AS n, CASE WHEN median(y2 - y1) > 0 THEN median(y2 - y1) ELSE 200 END AS u, false AS done FROM bands GROUP BY 1
+ UNION ALL SELECT ballot, CASE WHEN ok THEN list_sort(list_concat([x FOR x IN b IF NOT (x.y1 = t.y1 AND x.y2 = t.y2)], good)) ELSE b END, n, u, NOT ok
+ FROM (SELECT *, t.y2 - t.y1 >= 20 AND len(good) >= 2 AS ok FROM (SELECT *, [x FOR x IN strips IF x.y2 - x.y1 >= 10] AS good
+ FROM (SELECT *, [struct_pack(y1 := {_CUT.format('j')}, y2 := {_CUT.format('(j + 1)')}) FOR j IN range(p)] AS strips
+ FROM (SELECT *, greatest(2, least(6 - len(b), CAST(round_even((t.y2 - t.y1) / u, 0) AS BIGINT))) AS p
+ FROM (SELECT *, list_sort([struct_pack(k := x.y1 - x.y2, y1 := x.y1, y2 := x.y2) FOR x IN b])[1] AS t FROM z WHERE NOT done AND len(b) < 5)))))),
+l AS (SELECT ballot, CASE WHEN n < 5 THEN b[1:5] ELSE b END AS b FROM z WHERE done OR len(b) >= 5)
+SELECT ballot, r, x.y1 AS y1, x.y2 AS y2 FROM (SELECT ballot, unnest(b) AS x, generate_subscripts(b, 1) AS r FROM l)"""
 ORACLES = {
+    "recover_missing_rows": _RECOVER,
     "gap_clusters": f"{_BASE} SELECT ballot, CAST(cluster AS BIGINT) AS cluster, {_MED.format('y')} AS centre, count(*) AS n FROM ({_CLUSTER.format('y', 'y', '50', 'boxes')}) GROUP BY ballot, cluster",
     "box_dedupe": f"{_BASE} {_DEDUPE}",
     "rows_from_boxes": _ROWS,
@@ -267,7 +283,7 @@ ORACLES = {
     "nearest_separator": f"{_BASE} SELECT ballot, r, y, q.s AS nearest, q.d AS distance FROM (SELECT ballot, r, y2 AS y, min(struct_pack(d := abs(s - y2), s := s)) AS q FROM bands JOIN lines USING (ballot) GROUP BY 1, 2, 3)",
     "snapped_rows": _SNAP,
     "row_bands": _BANDS,
-    "aligned_boxes": f"{_BASE} SELECT b.ballot, b.r, b.y1, b.y2, x, y, w, h FROM (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY r) AS k FROM bands) b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY y, ord) AS k FROM boxes) x ON x.ballot = b.ballot AND x.k = b.k",
+    "aligned_boxes": f"{_BASE} SELECT coalesce(b.ballot, x.ballot) AS ballot, b.r, b.y1, b.y2, x, y, w, h FROM (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY r) AS k FROM bands) b FULL JOIN (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY y, ord) AS k FROM boxes) x ON x.ballot = b.ballot AND x.k = b.k",
     "local_maxima": f"{_BASE} SELECT ballot, row_num AS pos, v FROM (SELECT ballot, row_num, p % 100 AS v, lag(p % 100) OVER w AS a, lead(p % 100) OVER w AS b FROM d WINDOW w AS (PARTITION BY ballot ORDER BY row_num)) WHERE v > 12 AND v >= a AND v >= b AND row_num >= 2 AND row_num < 12",
     "smoothed_profile": f"{_BASE} SELECT ballot, row_num AS pos, round(avg(p % 100) OVER (PARTITION BY ballot ORDER BY row_num ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 9) AS smooth FROM d",
     "peak_thresholds": f"{_BASE} SELECT ballot, round(greatest(quantile_cont((p % 100) / 100, 0.92), 0.12::DOUBLE), 9) AS least FROM d GROUP BY 1",
