@@ -5,7 +5,9 @@ Rows have score, geometry_ok, decision and truth (booleans where they are flags)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.operators.decisions import VALID, Thresholds, false_negative_cause
@@ -29,28 +31,49 @@ def confusion(rows: DataFrame) -> DataFrame:
     return _rates(rows.agg(F.count("*").alias("evaluated"), *_counts(F.col("decision") == VALID)))
 
 
-def grid(spark, steps: int, first: float, last: float, name: str) -> DataFrame:
+class Grid(NamedTuple):
     """Evenly spaced thresholds, both ends included."""
-    return spark.range(steps).select((F.lit(first) + F.col("id") * ((last - first) / (steps - 1))).alias(name))
+
+    steps: int
+    first: float
+    last: float
+
+    def values(self) -> list[float]:
+        width = (self.last - self.first) / (self.steps - 1)
+        return [self.first + i * width for i in range(self.steps)]
+
+    def reached(self, score: Column) -> Column:
+        """How many thresholds a score reaches (null and NaN: none), without looking through them."""
+        at = F.array(*[F.lit(v) for v in self.values()])
+        guess = F.floor((score - F.lit(self.first)) / F.lit((self.last - self.first) / (self.steps - 1)))
+        guess = F.greatest(F.lit(0), F.least(F.lit(self.steps - 1), guess.cast("int")))
+        # rounding puts the guess one place beside the right one at most
+        near = F.when(score < F.get(at, guess), guess).when(score < F.get(at, guess + 1), guess + 1).otherwise(F.least(guess + 2, F.lit(self.steps)))
+        return F.when(F.isnan(score), 0).otherwise(F.coalesce(near, F.lit(0)))
 
 
-def sweep(rows: DataFrame, valid: DataFrame, review: DataFrame) -> DataFrame:
+#: The usual sweep.
+VALID_GRID, REVIEW_GRID = Grid(181, 0.05, 0.95), Grid(10, 0.05, 0.50)
+
+
+def sweep(rows: DataFrame, valid: Grid = VALID_GRID, review: Grid = REVIEW_GRID) -> DataFrame:
     """Counts for every pair of thresholds with review <= valid.
 
-    Scores are aggregated to one row for each distinct (score, geometry, truth) first, and the valid
-    grid (181 rows) is applied to those; the review threshold changes only how many rows fall
-    between, so it is joined to aggregates, never to rows.
+    A row counts by how many thresholds of each grid its score reaches, so the rows shrink to some
+    hundred counts in their first aggregation whatever the scores are; they become one array, and the
+    pairs of thresholds sum that array up.  Unknown geometry doesn't pass, unknown truth is false.
     """
-    cells = rows.groupBy("score", "geometry_ok", "truth").agg(F.count("*").alias("n"))
-    both = cells.crossJoin(F.broadcast(valid))
-    predicted = F.col("geometry_ok") & (F.col("score") >= F.col("score_valid"))
-    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    truth = F.col("truth")
-    metrics = both.groupBy("score_valid").agg(total(predicted & truth).alias("tp"), total(predicted & ~truth).alias("fp"), total(~predicted & ~truth).alias("tn"), total(~predicted & truth).alias("fn"), total(predicted).alias("above"))
-    passing = cells.filter("geometry_ok").groupBy("score").agg(F.sum("n").alias("n"))
-    reached = passing.crossJoin(F.broadcast(review)).groupBy("score_review").agg(F.sum(F.when(F.col("score") >= F.col("score_review"), F.col("n")).otherwise(0)).alias("reached"))
-    pairs = metrics.crossJoin(F.broadcast(reached)).filter("score_review <= score_valid")
-    return _rates(pairs.select("score_valid", "score_review", "tp", "fp", "tn", "fn", (F.col("reached") - F.col("above")).alias("review")))
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("geometry_ok", "truth")]
+    cells = rows.select(valid.reached(F.col("score")).alias("v"), review.reached(F.col("score")).alias("r"), *flags).groupBy("v", "r", "geometry_ok", "truth").agg(F.count("*").alias("n"))
+    counts = cells.agg(F.collect_list(F.struct("v", "r", "geometry_ok", "truth", "n")).alias("c")).filter("size(c) > 0")
+    total = lambda of: F.reduce(F.filter("c", of), F.lit(0).cast("long"), lambda a, x: a + x.n)
+    pairs = counts.select("c", F.posexplode(F.array(*[F.lit(x) for x in valid.values()])).alias("i", "score_valid"))
+    above = lambda x: x.geometry_ok & (x.v > F.col("i"))
+    cases = {"tp": lambda x: above(x) & x.truth, "fp": lambda x: above(x) & ~x.truth, "tn": lambda x: ~above(x) & ~x.truth, "fn": lambda x: ~above(x) & x.truth}
+    pairs = pairs.select("c", "score_valid", *[total(case).alias(name) for name, case in cases.items()])
+    pairs = pairs.select("*", F.posexplode(F.array(*[F.lit(x) for x in review.values()])).alias("j", "score_review")).filter("score_review <= score_valid")
+    reached = total(lambda x: x.geometry_ok & (x.r > F.col("j")))
+    return _rates(pairs.select("score_valid", "score_review", "tp", "fp", "tn", "fn", (reached - F.col("tp") - F.col("fp")).alias("review")))
 
 
 def best(metrics: DataFrame, most_fpr: float = 0.002) -> DataFrame:

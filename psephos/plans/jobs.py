@@ -67,8 +67,7 @@ def evaluate(manifest: DataFrame, truth: DataFrame, targets: DataFrame | None =
 
 def calibrate(spark: SparkSession, rows: DataFrame, most_fpr: float = 0.002) -> DataFrame:
     """The best pair of thresholds over the usual grids."""
-    valid, review = evaluation.grid(spark, 181, 0.05, 0.95, "score_valid"), evaluation.grid(spark, 10, 0.05, 0.50, "score_review")
-    return evaluation.best(evaluation.sweep(rows, valid, review), most_fpr)
+    return evaluation.best(evaluation.sweep(rows), most_fpr)
 
 
 def run_summary(ballots: DataFrame) -> DataFrame:

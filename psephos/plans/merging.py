@@ -106,8 +106,7 @@ _CONFUSION = f"SELECT *, {_RATES} FROM (SELECT count(*) AS evaluated, {_CELLS.fo
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, review = evaluation.grid(spark, 181, 0.05, 0.95, "score_valid"), evaluation.grid(spark, 10, 0.05, 0.50, "score_review")
-    return evaluation.sweep(t.detections(spark, sf_dir), valid, review)
+    return evaluation.sweep(t.detections(spark, sf_dir))
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
