@@ -29,13 +29,17 @@ _WORDS = f"CASE WHEN trim(BOTH {_SPACE} FROM text) = '' THEN array() ELSE split(
 # decide where hashes are equal.  The places of windows that have an equal neighbour are put in order; each covers three words, less
 # what the next one covers too.
 _SAME = "(get(s, i {0} 1).g = x.g AND get(s, i {0} 1).a = x.a AND get(s, i {0} 1).b = x.b AND get(s, i {0} 1).c = x.c)"
+_WINDOW = "struct(xxhash64(get(h, i), get(h, i + 1), get(h, i + 2)) AS g, x AS a, get(v, i + 1) AS b, get(v, i + 2) AS c, i AS i)"
 _REPEATS = _let(
     "words", "v",
     _let(
-        "sort_array(transform(slice(v, 1, greatest(size(v) - 2, 0)), (x, i) -> struct(xxhash64(x, get(v, i + 1), get(v, i + 2)) AS g, x AS a, get(v, i + 1) AS b, get(v, i + 2) AS c, i AS i)))", "s",
+        "transform(v, w -> xxhash64(w))", "h",
         _let(
-            f"sort_array(transform(filter(s, (x, i) -> {_SAME.format('-')} OR {_SAME.format('+')}), x -> x.i))", "p",
-            "aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(3, b - a)), 0L, (n, x) -> n + x)",
+            f"sort_array(transform(slice(v, 1, greatest(size(v) - 2, 0)), (x, i) -> {_WINDOW}))", "s",
+            _let(
+                f"sort_array(transform(filter(s, (x, i) -> {_SAME.format('-')} OR {_SAME.format('+')}), x -> x.i))", "p",
+                "aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(3, b - a)), 0L, (n, x) -> n + x)",
+            ),
         ),
     ),
 )
