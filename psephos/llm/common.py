@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from psephos.session import remove_path, ship
 from psephos.session import shared_path as scratch
-from psephos.session import ship
 
-__all__ = ["one_thread", "scratch", "ship", "slices", "stored", "table"]
+__all__ = ["discard", "one_thread", "scratch", "ship", "slices", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,7 +23,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove stored tables once all that was made of them is stored itself; others go with the application."""
+    for table in tables:
+        if table is not None and (path := vars(table).get("_stored_at")):
+            remove_path(table.sparkSession, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import slices, stored
+from psephos.llm.common import discard, slices, stored
 
 #: Up to so many entities that need a later round are sent to every task; beyond, they are joined.
 MOST_OVERRIDES = 50_000
@@ -418,8 +418,11 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
     surrogate = _surrogate_column(key)
     family = F.when(F.col("kind").startswith("given."), F.lit("given")).otherwise(F.col("kind"))
     rounds = every.select("kind", "value", F.lit(0).alias("rounds"))
+    last = moving = None
     for _ in range(MOST_ROUNDS):
         now = stored(rounds.withColumn("surrogate", surrogate("kind", "value", "rounds")).withColumn("family", family), "surrogates")
+        discard(last, moving)
+        last = now
         twins = now.groupBy("family", "surrogate").agg(F.min(F.struct("value", "kind")).alias("least"), F.count("*").alias("n")).filter("n > 1")
         own = now.filter("surrogate = value").select("kind", "value")
         real = now.filter("family <> 'given'").join(every.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value").unionByName(own)
