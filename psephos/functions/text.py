@@ -58,3 +58,22 @@ def joined_key(prefix: Column, path: Column) -> Column:
 def first_filled(*columns: Column) -> Column:
     """The first value that is neither null nor blank."""
     return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in columns])
+
+
+def html_escaped(text: Column) -> Column:
+    """Text safe inside HTML, quotes included."""
+    out = text
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def numbered_filename(name: Column, number: Column) -> Column:
+    """The name itself as the first of its kind (0), then with ``_1``, ``_2``... before its extension."""
+    extension = F.substring(name, F.length(stem(name)) + 1, F.length(name))
+    return F.when(number == 0, name).otherwise(F.concat(stem(name), F.lit("_"), number.cast("string"), extension))
+
+
+def byte_matches(content: Column, pattern: str) -> Column:
+    """How often a pattern occurs in bytes, each byte as the character of its number."""
+    return F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(pattern)).cast("long")

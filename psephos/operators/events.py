@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,27 +19,64 @@ def newest(events: DataFrame, order: Column, groups: list[str]) -> DataFrame:
     return events.groupBy(*groups).agg(best.alias("_e")).select(*groups, "_e.*")
 
 
-def claims(events: DataFrame, key: str, time: str, status: str, stale: int = STALE_SECONDS) -> DataFrame:
+class Claim(NamedTuple):
+    """What is known of a key: the status and time of its last claim, and how many there were."""
+
+    status: str | None = None
+    since: int = 0
+    claims: int = 0
+
+    def free(self, micros: int, stale: int, ttl_days: int) -> bool:
+        """Whether an event may claim the key: none holds it, the last claim failed, expired, or is stale."""
+        waited = micros - self.since
+        stale_now = self.status == "IN_PROGRESS" and waited >= stale * 1_000_000
+        return self.status is None or self.status == "FAILED" or stale_now or waited >= ttl_days * 86_400_000_000
+
+
+def _replay(stale: int, ttl_days: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, claim = object(), Claim()
+        for batch in batches:
+            rows = []
+            for key, micros, event, status in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    last, claim = key, Claim()
+                free = claim.free(micros, stale, ttl_days)
+                if free:
+                    claim = Claim(status, micros, claim.claims + 1)
+                rows.append((key, event, "claimed" if free else "duplicate", claim.claims))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "event_id", "outcome", "claims"])
+
+    return run
+
+
+def claims(events: DataFrame, key: str, time: str, status: str, stale: int = STALE_SECONDS, ttl_days: int = TTL_DAYS) -> DataFrame:
     """Replay of claims in time order: outcome of each event (claimed or duplicate).
 
-    An event claims its key if there is none, if the last claim failed, or if that claim is still in
-    progress and stale.  Each outcome depends on the last claim: a fold over the key's ordered
-    events.  Keys are versions of objects, with few events each.
+    Each outcome depends on the last claim of its key.  Events are dealt out by key and sorted, and one
+    claim is carried from row to row, so a key's history is never held in memory however long it is.
+    """
+    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), "event_id", F.col(status).alias("s"))
+    outcomes = rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInArrow(_replay(stale, ttl_days), "key string, event_id long, outcome string, claims long")
+    return outcomes.withColumnRenamed("key", key)
+
+
+def transitions(held: DataFrame, changes: DataFrame) -> DataFrame:
+    """Claims (claim_key, status, created_at, updated_at, ttl, details) after changes (claim_key, status, at, details).
+
+    The last change of a key sets its status and time; details stay where a change has none, and the
+    expiry stays that of the claim.  A change of a key that isn't held makes a row without claim times.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col("event_id"), F.col(status).alias("s"))))
-    folded = events.groupBy(key).agg(ordered.alias("e"))
-    kind = "array<struct<event_id:bigint,outcome:string,claims:bigint>>"
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("long").alias("since"), F.lit(0).cast("long").alias("claims"), F.array().cast(kind).alias("out"))
+    latest = changes.groupBy("claim_key").agg(F.max_by(F.struct("status", "at"), "at").alias("c"), F.max_by("details", F.when(F.col("details").isNotNull(), F.col("at"))).alias("told"))
+    both = held.join(latest, "claim_key", "full")
+    changed = F.col("c").isNotNull()
+    return both.select("claim_key", F.when(changed, F.col("c.status")).otherwise(F.col("status")).alias("status"), "created_at", F.when(changed, F.col("c.at")).otherwise(F.col("updated_at")).alias("updated_at"), "ttl", F.coalesce("told", "details").alias("details"))
 
-    def step(a: Column, e: Column) -> Column:
-        waited = e.t - a.since
-        free = a.state.isNull() | (a.state == "FAILED") | ((a.state == "IN_PROGRESS") & (waited >= stale * 1_000_000))
-        free = F.coalesce(free, F.lit(True))
-        count = a.claims + free.cast("long")
-        done = F.struct(e.event_id.alias("event_id"), F.when(free, "claimed").otherwise("duplicate").alias("outcome"), count.alias("claims"))
-        return F.struct(F.when(free, e.s).otherwise(a.state).alias("state"), F.when(free, e.t).otherwise(a.since).alias("since"), count.alias("claims"), F.concat(a.out, F.array(done)).alias("out"))
 
-    return folded.select(key, F.explode(F.aggregate("e", start, step, lambda a: a.out)).alias("o")).select(key, "o.*")
+def response(records: Column, outcome: Column) -> Column:
+    """What a batch answers: ignored without a record, duplicate, or ok."""
+    return F.when(F.coalesce(records, F.lit(0)) == 0, "ignored").when(outcome == "duplicate", "duplicate").otherwise("ok")
 
 
 def pending(listed: DataFrame, processed: DataFrame, key: str) -> DataFrame:
@@ -54,10 +95,15 @@ def created_at(text: Column) -> Column:
 def box_as_of(ballots: DataFrame, history: DataFrame, time: str) -> DataFrame:
     """Each ballot with the box location that held at its time, from the history of changes.
 
-    Both sides go into one stream in time order, and the last change before each ballot is carried on:
-    one shuffle on site, no join of intervals.
+    Rows are taken together by site and day, in time order; what held before a day comes from the last
+    change of each earlier one, of which a site has one a day.  So a busy site is many small groups.
     """
     a = ballots.select("site", F.col(time).alias("t"), F.lit(1).alias("kind"), "ballot", F.lit(None).cast("string").alias("box"))
     b = history.select("site", F.col("updated_at").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("ballot"), "box")
-    w = Window.partitionBy("site").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("box", F.last("box", ignorenulls=True).over(w)).filter("kind = 1").select("site", "ballot", F.col("t").alias(time), "box")
+    rows = a.unionByName(b).withColumn("day", F.date_trunc("day", "t"))
+    days = rows.groupBy("site", "day").agg(F.max_by("box", F.when(F.col("kind") == 0, F.col("t"))).alias("last"))
+    earlier = Window.partitionBy("site").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("site", "day", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    w = Window.partitionBy("site", "day").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("box", F.last("box", ignorenulls=True).over(w)).filter("kind = 1")
+    return held.join(days, ["site", "day"]).select("site", "ballot", F.col("t").alias(time), F.coalesce("box", "before").alias("box"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.functions.text import stem
@@ -26,16 +26,13 @@ def merged(manifest: DataFrame, digits: DataFrame) -> DataFrame:
     return out.withColumn("ballot_state", decisions.ballot_state(F.col("stamp_label"), F.col("digit_sequence_ok")))
 
 
-def facts(ballots: DataFrame, candidates: DataFrame, election: int, as_of: str, box: str, url_override: str | None = None) -> DataFrame:
+def facts(ballots: DataFrame, candidates: DataFrame, election: int, as_of: str, box: str, url_override: str | None = None, used: DataFrame | None = None) -> DataFrame:
     """Preference facts of merged ballots: one row for each digit that meets a candidate's row.
 
-    Ids follow the rank of the ballot's name; ranks come from counts of name ranges, as in the data set split.
+    Ids follow the rank of the ballot's name; ranks come from counts of name ranges, as in the data set
+    split.  Ids in use (random_ballot_id) aren't given again.
     """
-    hashed = ballots.withColumn("_h", F.xxhash64("name")).withColumn("_bin", F.shiftright("_h", 52))
-    bins = hashed.groupBy("_bin").agg(F.count("*").alias("_n"))
-    start = bins.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_start"))
-    ranked = hashed.join(F.broadcast(start), "_bin").withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy("_bin").orderBy("_h", "name")) - 1)
-    with_ids = merge.allocate_ids(ranked, "_rank")
+    with_ids = merge.allocate_ids(merge.hash_ranked(ballots, "name"), "_rank", used)
     rows = with_ids.select("name", "image", "random_ballot_id", "ballot_state", F.explode("digit_results").alias("r"))
     digits = rows.select("name", "random_ballot_id", "ballot_state", merge.image_url(F.lit(url_override).cast("string"), F.col("image")).alias("image_url"), F.lit(election).alias("election_id"), F.col("r.row").cast("long").alias("row_num"), F.expr("try_cast(nullif(nullif(r.digit, 'NULL'), '') AS int)").alias("preference"))
     dimension = merge.ranked_candidates(candidates.select(F.col("election_id"), F.col("id").alias("candidate_id"), *[c for c in ("name", "candidate_name", "full_name", "display_name") if c in candidates.columns]), "election_id", "candidate_id")
@@ -46,13 +43,17 @@ def facts(ballots: DataFrame, candidates: DataFrame, election: int, as_of: str,
 
 
 def run_merge(spark: SparkSession, manifest_path: str, digits_path: str, candidates: DataFrame, election: int, as_of: str, box: str, out: str) -> DataFrame:
-    """Read, merge and write: merged records as JSON lines, preference facts as CSV and as tables."""
+    """Read, merge and write: merged records as JSON lines, preference facts as CSV and as tables.
+
+    The tables keep what other elections and runs wrote, and their ids; a repeated run (same election and
+    time) replaces its own rows and gives the same ids.
+    """
     ballots = merged(files.manifest(spark, manifest_path), files.digit_folders(spark, digits_path))
-    rows = facts(ballots, candidates, election, as_of, box)
+    rows = facts(ballots, candidates, election, as_of, box, used=sinks.ids_in_use(spark, f"{out}/tables", election, as_of))
     sinks.json_lines(ballots, f"{out}/merged")
     sinks.preference_csv(rows, f"{out}/preferences")
     papers = rows.select("box_location", "image_url", "random_ballot_id", "ballot_state", "election_id").distinct()
-    sinks.ballots_and_preferences(papers, rows.select("preference", "random_ballot_id", "candidate_id"), f"{out}/tables")
+    sinks.ballots_and_preferences(papers, rows.select("election_id", "preference", "random_ballot_id", "candidate_id"), f"{out}/tables", as_of)
     return rows
 
 

@@ -182,7 +182,7 @@ def _streamed(spark: SparkSession, rows: DataFrame, what: str) -> tuple[str, str
 def stream_idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay as a stream: one state for each key, worked off and stopped."""
     e = t.object_events(spark, sf_dir).select("claim_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id", "status")
-    source, sink, checkpoint = _streamed(spark, e.coalesce(1), "claims")
+    source, sink, checkpoint = _streamed(spark, e.repartition(6, "event_id"), "claims")
     stream = spark.readStream.schema(e.schema).parquet(source)
     watcher.run_once(claims.claim_stream(stream, 14_400), sink, checkpoint)
     return spark.read.schema(claims.OUT).parquet(sink)
@@ -221,7 +221,7 @@ _EVENTS = "SELECT event_id, ts, user_id, event_type, 'bucket::user/' || user_id
 _REPLAY = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY claim_key ORDER BY ts, event_id) AS k FROM ({_EVENTS})),
 f AS (SELECT claim_key, k, event_id, 'claimed' AS outcome, status AS state, ts AS since, 1 AS claims FROM e WHERE k = 1
 UNION ALL SELECT claim_key, k, event_id, CASE WHEN free THEN 'claimed' ELSE 'duplicate' END, CASE WHEN free THEN status ELSE state END, CASE WHEN free THEN ts ELSE since END, claims + free::INT
-FROM (SELECT e.*, f.state, f.since, f.claims, f.state = 'FAILED' OR (f.state = 'IN_PROGRESS' AND epoch_us(e.ts) - epoch_us(f.since) >= 14400000000) AS free FROM f JOIN e ON e.claim_key = f.claim_key AND e.k = f.k + 1))
+FROM (SELECT e.*, f.state, f.since, f.claims, f.state = 'FAILED' OR (f.state = 'IN_PROGRESS' AND epoch_us(e.ts) - epoch_us(f.since) >= 14400000000) OR epoch_us(e.ts) - epoch_us(f.since) >= 604800000000 AS free FROM f JOIN e ON e.claim_key = f.claim_key AND e.k = f.k + 1))
 SELECT claim_key, event_id, outcome, CAST(claims AS BIGINT) AS claims FROM f"""
 ORACLES = {
     "class_prediction": f"{_P} SELECT vec_id, class, round(top, 6) AS confidence, round(margin, 6) AS margin, round(entropy, 6) AS entropy, score FROM v WHERE k = 0",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.request import urlopen
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,40 @@ MANIFEST = (
     "features struct<area_frac:double,circularity:double,ellipse_edge_pct:double,template_ncc:double,blob_count:int,blob_spread:double>, skew_deg double"
 )
 IMAGE_TYPES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
+# Image types by who scans; the last two look at one level only.
+TYPES_OF = {
+    "stamp": ("png", "jpg", "jpeg", "tif", "tiff"),
+    "extraction": ("png", "jpg", "jpeg", "bmp", "tif", "tiff"),
+    "cropper": IMAGE_TYPES,
+    "digits": ("png", "jpg", "jpeg"),
+    "labeler": IMAGE_TYPES,
+}
+FLAT = ("digits", "labeler")
+#: Pairs that a rule file may have.
+MOST_RULES = 1000
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in any file system that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Records of a JSON file, None where there is none."""
+    return spark.read.schema(schema).option("multiLine", True).json(path) if present(spark, path) else None
+
+
+def current_box(spark: SparkSession, path: str, override: str = "") -> str:
+    """The box location: the override, else the file's, else empty."""
+    found = None if override.strip() else optional_json(spark, path, "box_location string")
+    row = found.first() if found is not None else None
+    return override.strip() or (row.box_location or "" if row else "")
+
+
+def exists(table: DataFrame, column: str, value: object) -> bool:
+    """Point lookup: the filter goes down to the scan and one row is enough."""
+    return bool(table.filter(F.col(column) == F.lit(value)).limit(1).count())
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +88,28 @@ def images(spark: SparkSession, path: str, recursive: bool = True, types: tuple[
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
 
 
+def scanned(spark: SparkSession, path: str, use: str) -> DataFrame:
+    """Sorted paths of the images that one of the jobs looks at; contents are pruned."""
+    found = images(spark, path, recursive=use not in FLAT, types=TYPES_OF[use]).select("path", "length")
+    return found if use == "digits" else found.orderBy("path")
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for url in batch.column(0).to_pylist():
+            try:
+                with urlopen(url, timeout=15) as answer:
+                    content = answer.read()
+            except (OSError, ValueError):  # whatever can't be read is null
+                content = None
+            yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([content], pa.binary())], names=["url", "content"])
+
+
+def fetched(urls: DataFrame) -> DataFrame:
+    """(url, content) of http(s) or file URLs, null content where one can't be read."""
+    return urls.select(F.col("url").cast("string")).filter("url IS NOT NULL").mapInArrow(_fetch, "url string, content binary")
+
+
 def image_stems(spark: SparkSession, path: str) -> DataFrame:
     """(stem, path), the last path of a stem; contents are pruned."""
     found = images(spark, path).select(stem(F.col("path")).alias("stem"), "path")
@@ -65,7 +125,10 @@ def rules(spark: SparkSession, path: str) -> dict[str, float]:
     """``key: value`` lines of a small rule file; comments and blanks are skipped."""
     text = spark.read.text(path).select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("v")).filter("v LIKE '%:%'")
     pair = text.select(F.trim(F.split_part("v", F.lit(":"), F.lit(1))).alias("k"), F.expr("try_cast(trim(split_part(v, ':', 2)) AS double)").alias("x"))
-    return {r.k: r.x for r in pair.filter("x IS NOT NULL").limit(1000).collect()}
+    found = pair.filter("x IS NOT NULL").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"{path} has more than {MOST_RULES} rules")
+    return {r.k: r.x for r in found}
 
 
 def object_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
