@@ -45,7 +45,7 @@ def false_negative_csv(missed: DataFrame, path: str) -> None:
     """Missed stamps with their cause first; without any, a header of the cause alone."""
     columns = ["cause", *[c for c in missed.columns if c != "cause"]] if missed.limit(1).count() else ["cause"]
     flat = [F.to_json(c).alias(c) if dict(missed.dtypes)[c].startswith(("array", "struct", "map")) else F.col(c) for c in columns]
-    missed.select(*flat).coalesce(1 if columns == ["cause"] else 1 << 20).write.mode("overwrite").option("header", True).csv(path)
+    missed.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
 def ballots_and_preferences(ballots: DataFrame, preferences: DataFrame, path: str, run: str) -> None:
