@@ -12,10 +12,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from psephos.operators import digit_tiles, layout
 from psephos.operators import kernels as k
+from psephos.operators.pages import crop_page
+from psephos.session import shared_path
 
-TILE = 128
+__all__ = ["crop_page", "cropped", "deskewed", "even_light", "find_boxes", "place_stamp", "read_ballots", "read_digits", "stamp_features", "upright", "vote_boxes"]
+
+#: Boxes and bands of pages of all sizes are laid out on a page of so many units a side.
+UNITS = 1000
 
 
 def to_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -23,55 +30,11 @@ def to_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return image[..., :3] if channels >= 3 else np.repeat(image, 3, axis=2)
 
 
-def paper_mask(image: np.ndarray) -> np.ndarray:
-    """Bright pixels of little colour."""
-    light, spread = image.max(axis=2).astype(int), image.max(axis=2).astype(int) - image.min(axis=2)
-    return (light > k.otsu(light)) & (spread < 60)
-
-
-def page_quad(image: np.ndarray, least_area: float = 0.08, aspects: tuple[float, float] = (1.0, 8.5)) -> np.ndarray | None:
-    """Corners of the largest sheet of paper, from a copy of at most 200 pixels; none if its shape is odd."""
-    step = max(1, -(-max(image.shape[:2]) // 200))
-    labels, found = k.components(paper_mask(image[::step, ::step]))
-    if not found:
-        return None
-    best = max(range(len(found)), key=lambda i: found[i][4])
-    if found[best][4] < least_area * labels.size:
-        return None
-    ys, xs = np.nonzero(labels == best + 1)
-    total, difference = xs + ys, xs - ys
-    picks = [total.argmin(), difference.argmax(), total.argmax(), difference.argmin()]
-    quad = np.array([[xs[i] * step, ys[i] * step] for i in picks], float)
-    w, h = np.hypot(*(quad[1] - quad[0])), np.hypot(*(quad[3] - quad[0]))
-    if min(w, h) < 2 or not aspects[0] <= max(w, h) / min(w, h) <= aspects[1]:
-        return None
-    return quad
-
-
-def trim_border(image: np.ndarray, tolerance: float = 6.0) -> np.ndarray:
-    """Without outer rows and columns of one tone."""
-    g = k.grey(image)
-    rows, columns = np.flatnonzero(g.std(axis=1) > tolerance), np.flatnonzero(g.std(axis=0) > tolerance)
-    if not len(rows) or not len(columns):
-        return image
-    return image[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1]
-
-
-def crop_page(image: np.ndarray) -> tuple[np.ndarray, str]:
-    """The upright page and how it was found; the whole image if no sheet was."""
-    quad = page_quad(image)
-    if quad is None:
-        return image, "full"
-    w = int(max(np.hypot(*(quad[1] - quad[0])), np.hypot(*(quad[2] - quad[3])))) + 1
-    h = int(max(np.hypot(*(quad[3] - quad[0])), np.hypot(*(quad[2] - quad[1])))) + 1
-    page = k.warp(image, quad, w, h)
-    return (np.rot90(page, -1) if w > h else page), "quad"
-
-
-def even_light(gray: np.ndarray, size: int = 51) -> np.ndarray:
-    """Grey values over their background, 0 to 255."""
+def even_light(gray: np.ndarray, size: int = 51, contrast: float = 0.0) -> np.ndarray:
+    """Grey values over their background, 0 to 255; with local contrast brought out if asked."""
     background = np.maximum(k.box_mean(gray, min(size, 2 * (min(gray.shape) // 2) - 1 or 1)), 1)
-    return np.clip(gray / background * 200, 0, 255)
+    even = np.clip(gray / background * 200, 0, 255)
+    return k.local_contrast(even, contrast) if contrast else even
 
 
 def deskewed(image: np.ndarray) -> tuple[np.ndarray, float]:
@@ -81,45 +44,40 @@ def deskewed(image: np.ndarray) -> tuple[np.ndarray, float]:
     return (k.rotate(image, turn) if turn else image), turn
 
 
-def vote_boxes(image: np.ndarray, right: float = 0.55, area: tuple[float, float] = (0.0005, 0.045), aspect: tuple[float, float] = (0.65, 1.55)) -> list[tuple[int, int, int, int]]:
-    """Outlines of squares in the right-hand part: (x, y, w, h) from top to bottom."""
-    g = even_light(k.grey(image))
-    height, width = g.shape
-    left = int(right * width)
-    ink = k.close(k.adaptive_mask(g[:, left:], 25, 12), 3, 3)
+def _squares(gray: np.ndarray, area: tuple[float, float], aspect: tuple[float, float], whole: int) -> list[tuple[int, int, int, int]]:
+    """Outlines of squares: hollow, of plausible size and shape."""
+    ink = k.close(k.adaptive_mask(gray, 25, 12), 3, 3)
     out = []
     for x, y, w, h, n in k.components(ink)[1]:
         hollow = n < 0.75 * w * h and n >= 1.2 * (w + h)
-        if hollow and area[0] <= w * h / (width * height) <= area[1] and aspect[0] <= w / h <= aspect[1]:
-            out.append((x + left, y, w, h))
-    return sorted(out, key=lambda b: b[1])
-
-
-def tile_mask(image: np.ndarray, box: tuple[int, int, int, int], inset: float = 0.12) -> np.ndarray:
-    """Ink inside a box, without its outline, border pieces and specks."""
-    x, y, w, h = box
-    dx, dy = max(1, int(inset * w)), max(1, int(inset * h))
-    inside = k.grey(image[y + dy : y + h - dy, x + dx : x + w - dx])
-    if inside.size == 0:
-        return np.zeros((1, 1), bool)
-    mask = inside <= min(k.otsu(inside), 170)
-    labels, found = k.components(mask)
-    height, width = mask.shape
-    keep = np.zeros(len(found) + 1, bool)
-    for i, (cx, cy, cw, ch, n) in enumerate(found):
-        line = cw >= 0.9 * width and ch <= 0.15 * height or ch >= 0.9 * height and cw <= 0.15 * width
-        sides = (cx == 0) + (cy == 0) + (cx + cw == width) + (cy + ch == height)
-        keep[i + 1] = not line and not (sides >= 2 and n < 0.25 * cw * ch) and n >= max(4, 0.0009 * mask.size)
-    cleaned = keep[labels]
-    return cleaned if cleaned.sum() >= 0.2 * mask.sum() else mask
-
-
-def is_blank(mask: np.ndarray, least: float = 0.0025) -> bool:
-    if mask.sum() < max(4, least * mask.size):
-        return True
-    ys, xs = np.nonzero(mask)
-    width, height = (np.ptp(xs) + 1) / mask.shape[1], (np.ptp(ys) + 1) / mask.shape[0]
-    return bool((width < 0.10 or height < 0.18) and not (height > 0.55 and width / height < 0.3))
+        if hollow and area[0] <= w * h / whole <= area[1] and aspect[0] <= w / h <= aspect[1]:
+            out.append((x, y, w, h))
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def vote_boxes(image: np.ndarray, right: float = 0.55, area: tuple[float, float] = (0.0005, 0.045), aspect: tuple[float, float] = (0.65, 1.55)) -> list[tuple[int, int, int, int]]:
+    """Outlines of squares in the right-hand part, else anywhere: (x, y, w, h) from top to bottom."""
+    g = even_light(k.grey(image))
+    left = int(right * g.shape[1])
+    found = [(x + left, y, w, h) for x, y, w, h in _squares(g[:, left:], area, aspect, g.size)]
+    return found or _squares(g, area, aspect, g.size)
+
+
+def upright(image: np.ndarray, expected: int) -> tuple[np.ndarray, int]:
+    """The image in the quarter turn whose boxes look most like a column of the expected number on the right."""
+
+    def score(page: np.ndarray) -> float:
+        boxes = vote_boxes(page)
+        rows = len({round((y + h / 2) / max(1, h)) for _, y, _, h in boxes})
+        return 200.0 - 40 * abs(rows - expected) + 2 * min(len(boxes), 2 * expected) + (5 * float(np.median([x for x, *_ in boxes])) / page.shape[1] if boxes else 0.0)
+
+    turns = [np.rot90(image, n) for n in range(4)]
+    best = max(range(4), key=lambda n: score(turns[n]))
+    return np.ascontiguousarray(turns[best]), best
+
+
+# What counts as a blob of a stamp (part of the crop, roundness, aspect).
+MOST_BLOB, LEAST_ROUND, BLOB_ASPECT = 0.22, 0.28, (0.35, 2.8)
 
 
 def stamp_features(image: np.ndarray, box: tuple[int, int, int, int], template: np.ndarray | None = None) -> dict[str, float]:
@@ -131,7 +89,7 @@ def stamp_features(image: np.ndarray, box: tuple[int, int, int, int], template:
     if crop.size == 0:
         return out
     mask = crop <= k.otsu(crop)
-    found = [c for c in k.components(mask)[1] if c[4] >= max(4, 0.002 * mask.size)]
+    found = [c for c in k.components(mask)[1] if max(4, 0.002 * mask.size) <= c[4] <= MOST_BLOB * mask.size and 4 * np.pi * c[4] >= LEAST_ROUND * (2 * (c[2] + c[3])) ** 2 and BLOB_ASPECT[0] <= c[2] / c[3] <= BLOB_ASPECT[1]]
     area = float(mask.sum())
     edge = float((mask & ~k.erode(mask, 3, 3)).sum())
     y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
@@ -141,7 +99,7 @@ def stamp_features(image: np.ndarray, box: tuple[int, int, int, int], template:
     return out | {
         "circularity": 4 * np.pi * area / (edge * edge) if edge else 0.0, "ellipse_edge_pct": float((mask & ring).sum() / max(1.0, ring.sum())),
         "template_ncc": 1.0 if template is None or template.shape != crop.shape else k.ncc(crop, template), "blob_count": len(found),
-        "blob_spread": float(np.ptp(centres, axis=0).max() / max(mask.shape)) if len(found) > 1 else 0.0,
+        "blob_spread": float((np.ptp(centres, axis=0) / [mask.shape[1], mask.shape[0]]).max()) if len(found) > 1 else 0.0,
     }
 
 
@@ -177,23 +135,70 @@ def find_boxes(images: DataFrame, crop: bool = False) -> DataFrame:
     return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "image string, ord long, x long, y long, w long, h long")
 
 
-def read_digits(images: DataFrame, classify: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """One row for each vote box: blank or not, and the class of its 28 x 28 tensor.
+def read_digits(images: DataFrame, classify: Callable[[np.ndarray], np.ndarray], temperature: float = 1.0) -> DataFrame:
+    """One row for each vote box: blank or not, its class and the class's score.
 
-    classify takes all tensors of an image at once and gives class probabilities.
+    classify takes the tensors of all variants of an image's boxes at once and gives class probabilities.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, image in _arrays(frames):
-            boxes = vote_boxes(image)
-            masks = [tile_mask(image, b) for b in boxes]
-            blank = [is_blank(m) for m in masks]
-            inked = [k.to_tensor(k.crop_ink(m)) for m, b in zip(masks, blank, strict=True) if not b]
-            classes = iter(classify(np.stack(inked)).argmax(axis=1).tolist() if inked else [])
-            rows = [(name, i + 1, b, None if b else int(next(classes))) for i, b in enumerate(blank)]
-            yield pd.DataFrame(rows, columns=["image", "row", "blank", "digit"]).astype({"row": "Int64", "digit": "Int64"})
-
-    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "image string, row long, blank boolean, digit long")
+            found = digit_tiles.read(image, vote_boxes(image), classify, temperature)
+            rows = [(name, i + 1, *f) for i, f in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["image", "row", "blank", "digit", "score"]).astype({"row": "Int64", "digit": "Int64", "score": "Float64"})
+
+    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "image string, row long, blank boolean, digit long, score double")
+
+
+def _tidied(expected: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, image in _arrays(frames):
+            page, how = crop_page(image)
+            page, quarter = upright(np.ascontiguousarray(page), expected)
+            page, turn = deskewed(page)
+            page = np.ascontiguousarray(page)
+            yield pd.DataFrame([(name, page.shape[0], page.shape[1], 3, page.tobytes(), how, quarter, turn)], columns=["origin", "height", "width", "nChannels", "data", "strategy", "quarter", "turn"])
+
+    return run
+
+
+def tidied(images: DataFrame, expected: int) -> DataFrame:
+    """Pages cut out, upright and level, in the columns of the image source, and how that was done."""
+    schema = "origin string, height int, width int, nChannels int, data binary, strategy string, quarter int, turn double"
+    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(_tidied(expected), schema)
+
+
+def read_ballots(images: DataFrame, classify: Callable[[np.ndarray], np.ndarray], expected: int, temperature: float = 1.0) -> DataFrame:
+    """Whole ballots: (image, row, blank, digit, score, repaired) for each row of the paper.
+
+    Pages are tidied and written once.  Boxes become rows in the layout algebra, on a page of UNITS a side:
+    the vote column, bands around its boxes, bands that are missing, a box for every band.  Each page
+    then gets its few boxes back and its digits are read.  Pages without any box give no rows.
+    """
+    spark = images.sparkSession
+    path = shared_path(spark, "ballot-pages")
+    tidied(images, expected).write.parquet(path)
+    pages = spark.read.parquet(path)
+    scale = lambda c, side: (F.col(c) * UNITS / F.col(side)).cast("long").alias(c)
+    sizes = pages.select(F.col("origin").alias("ballot"), "height", "width")
+    found = find_boxes(pages).filter("ord IS NOT NULL").withColumnRenamed("image", "ballot").join(sizes, "ballot")
+    boxes = layout.vote_column(found.select("ballot", "ord", scale("x", "width"), scale("y", "height"), scale("w", "width"), scale("h", "height")), UNITS)
+    bands = layout.recover_missing(layout.rows_from_boxes(boxes, UNITS, expected), expected, UNITS)
+    rows = layout.repair_boxes(boxes, bands, UNITS, UNITS)
+    per_page = rows.groupBy("ballot").agg(F.array_sort(F.collect_list(F.struct("r", "x", "y", "w", "h", "repaired"))).alias("rows"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for page in frame.itertuples(index=False):
+                image = to_array(page.height, page.width, page.nChannels, page.data)
+                units = np.array([page.width, page.height, page.width, page.height]) / UNITS
+                boxes = [tuple(np.rint(np.array([r["x"], r["y"], r["w"], r["h"]]) * units).astype(int).tolist()) for r in page.rows]
+                read = digit_tiles.read(image, boxes, classify, temperature)
+                out = [(page.origin, r["r"], *f, bool(r["repaired"])) for r, f in zip(page.rows, read, strict=True)]
+                yield pd.DataFrame(out, columns=["image", "row", "blank", "digit", "score", "repaired"]).astype({"row": "Int64", "digit": "Int64", "score": "Float64"})
+
+    ready = pages.join(per_page, pages["origin"] == per_page["ballot"]).select("origin", "height", "width", "nChannels", "data", "rows")
+    return ready.mapInPandas(run, "image string, row long, blank boolean, digit long, score double, repaired boolean")
 
 
 def cropped(images: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ An image is height x width x 3 bytes in blue, green, red order, or height x widt
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,9 +53,20 @@ def median_filter(image: np.ndarray, size: int) -> np.ndarray:
     return np.median(view, axis=(2, 3))
 
 
+def _spread(mask: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Each place with its neighbours along an axis: size in all, the middle one (or the one behind it) included."""
+    before, after = size // 2, size - 1 - size // 2
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (before, after)
+    p, n, out = np.pad(mask, pad), mask.shape[axis], None
+    for k in range(size):
+        part = np.take(p, range(k, k + n), axis=axis)
+        out = part if out is None else out | part
+    return out
+
+
 def dilate(mask: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    p = np.pad(mask, ((rows // 2, rows - 1 - rows // 2), (columns // 2, columns - 1 - columns // 2)))
-    return np.lib.stride_tricks.sliding_window_view(p, (rows, columns)).any(axis=(2, 3))
+    return _spread(_spread(mask, rows, 0), columns, 1)
 
 
 def erode(mask: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -67,25 +77,194 @@ def close(mask: np.ndarray, rows: int, columns: int) -> np.ndarray:
     return erode(dilate(mask, rows, columns), rows, columns)
 
 
+def opened(mask: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    return dilate(erode(mask, rows, columns), rows, columns)
+
+
 def components(mask: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
-    """Labels from 1 of 8-connected ink, in reading order, and (x, y, w, h, area) of each."""
-    labels, found = np.zeros(mask.shape, np.int32), []
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if labels[y, x]:
+    """Labels from 1 of 8-connected ink, in reading order, and (x, y, w, h, area) of each.
+
+    Rows are cut into runs of ink; runs that touch in the next row are joined by passing the least
+    number on until nothing changes.
+    """
+    height, width = mask.shape
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    if not len(y):
+        return np.zeros(mask.shape, np.int32), []
+    line = width + 2
+    low = np.searchsorted(y * line + end, (y + 1) * line + start, "left")
+    high = np.searchsorted(y * line + start, (y + 1) * line + end, "right")
+    many = np.maximum(0, high - low)
+    a = np.repeat(np.arange(len(y)), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    label = np.arange(len(y))
+    while True:
+        least = np.minimum(label[a], label[b])
+        passed = label.copy()
+        for runs in (a, b):
+            np.minimum.at(passed, runs, least)
+            np.minimum.at(passed, label[runs], least)
+        passed = passed[passed]
+        if (passed == label).all():
+            break
+        label = passed
+    _, label = np.unique(label, return_inverse=True)
+    n, sizes = int(label.max()) + 1, end - start
+    x0, y0, x1, y1, area = np.full(n, width), np.full(n, height), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
+    np.minimum.at(x0, label, start)
+    np.minimum.at(y0, label, y)
+    np.maximum.at(x1, label, end)
+    np.maximum.at(y1, label, y + 1)
+    np.add.at(area, label, sizes)
+    labels = np.zeros(height * width, np.int32)
+    labels[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - y * width - start, sizes)] = np.repeat(label + 1, sizes)
+    return labels.reshape(mask.shape), list(zip(x0.tolist(), y0.tolist(), (x1 - x0).tolist(), (y1 - y0).tolist(), area.tolist(), strict=True))
+
+
+def thinned(mask: np.ndarray) -> np.ndarray:
+    """Lines of one pixel: border pixels go, from two sides in turn, as long as nothing comes apart (Zhang and Suen)."""
+    out = np.pad(mask, 1).astype(bool)
+    while True:
+        gone = False
+        for turn in (0, 1):
+            ring = [np.roll(out, shift, (0, 1)) for shift in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]
+            count = sum(r.astype(int) for r in ring)
+            steps = sum((~ring[i] & ring[(i + 1) % 8]).astype(int) for i in range(8))
+            north, east, south, west = ring[0], ring[2], ring[4], ring[6]
+            sides = ~(north & east & south) & ~(east & south & west) if turn == 0 else ~(north & east & west) & ~(north & south & west)
+            drop = out & (count >= 2) & (count <= 6) & (steps == 1) & sides
+            gone |= bool(drop.any())
+            out &= ~drop
+        if not gone:
+            return out[1:-1, 1:-1]
+
+
+def smooth(image: np.ndarray, size: int) -> np.ndarray:
+    """Two box means: close to a Gaussian of the size."""
+    size = max(1, min(size, 2 * (min(image.shape) // 2) - 1)) | 1
+    return box_mean(box_mean(image, size), size)
+
+
+def gradient(gray: np.ndarray) -> np.ndarray:
+    """Steepness of grey values over three pixels."""
+    p = np.pad(gray.astype(np.float64), 1, mode="edge")
+    x = (p[:-2, 2:] - p[:-2, :-2]) + 2 * (p[1:-1, 2:] - p[1:-1, :-2]) + (p[2:, 2:] - p[2:, :-2])
+    y = (p[2:, :-2] - p[:-2, :-2]) + 2 * (p[2:, 1:-1] - p[:-2, 1:-1]) + (p[2:, 2:] - p[:-2, 2:])
+    return np.hypot(x, y)
+
+
+def local_contrast(gray: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Histogram equalisation tile by tile, each histogram clipped, levels blended between tile centres."""
+    h, w = gray.shape
+    tiles = max(1, min(tiles, h // 4, w // 4))
+    g = np.clip(np.rint(gray), 0, 255).astype(int)
+    ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
+    levels = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            part = g[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+            histogram = np.bincount(part.ravel(), minlength=256).astype(float)
+            most = max(1.0, clip * part.size / 256)
+            over = np.maximum(histogram - most, 0).sum()
+            levels[i, j] = np.cumsum(np.minimum(histogram, most) + over / 256) * 255 / max(1, part.size)
+
+    def places(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip(np.interp(np.arange(n) + 0.5, (edges[:-1] + edges[1:]) / 2, np.arange(tiles)), 0, tiles - 1)
+        low = np.minimum(at.astype(int), tiles - 1)
+        return low, np.minimum(low + 1, tiles - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = places(ys, h), places(xs, w)
+    at = lambda a, b: levels[a[:, None], b[None, :], g]
+    fy = fy[:, None]
+    return (at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy
+
+
+def outline(mask: np.ndarray) -> np.ndarray:
+    """Convex hull of a mask's pixels as points (x, y), by the ends of its rows."""
+    ys = np.flatnonzero(mask.any(axis=1))
+    if not len(ys):
+        return np.zeros((0, 2))
+    left, right = mask[ys].argmax(axis=1), mask.shape[1] - 1 - mask[ys][:, ::-1].argmax(axis=1)
+    points = sorted({*zip(left.tolist(), ys.tolist(), strict=True), *zip(right.tolist(), ys.tolist(), strict=True)})
+    chains = []
+    for run in (points, points[::-1]):
+        chain: list[tuple[int, int]] = []
+        for p in run:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        chains += chain[:-1] if len(chain) > 1 else chain
+    return np.array(chains, float)
+
+
+def polygon_area(points: np.ndarray) -> float:
+    x, y = points[:, 0], points[:, 1]
+    return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
+
+
+def four_corners(hull: np.ndarray, most_added: float = 0.08) -> np.ndarray | None:
+    """The quadrilateral around a convex outline; none if that is much larger.
+
+    Sides are left out one by one, the one first whose neighbours meet with the least area added.
+    """
+    if len(hull) < 4:
+        return None
+    points, whole = [tuple(p) for p in hull.tolist()], polygon_area(hull)
+    while len(points) > 4:
+        n, best = len(points), None
+        for i in range(n):
+            (ax, ay), (bx, by), (cx, cy), (dx, dy) = points[i - 1], points[i], points[(i + 1) % n], points[(i + 2) % n]
+            ux, uy, vx, vy = bx - ax, by - ay, cx - dx, cy - dy
+            det = ux * vy - uy * vx
+            if abs(det) < 1e-9:
+                continue
+            t, s = ((dx - ax) * vy - (dy - ay) * vx) / det, ((dx - ax) * uy - (dy - ay) * ux) / det
+            if t < 1 or s < 1:
+                continue
+            x, y = ax + t * ux, ay + t * uy
+            added = abs((cx - bx) * (y - by) - (cy - by) * (x - bx))
+            if best is None or added < best[0]:
+                best = added, i, (x, y)
+        if best is None:
+            return None
+        points[best[1]] = best[2]
+        points.pop((best[1] + 1) % n)
+    quad = np.array(points)
+    return in_order(quad) if whole and polygon_area(quad) <= (1 + most_added) * whole else None
+
+
+def tightest_rectangle(hull: np.ndarray) -> np.ndarray:
+    """The rectangle of least area around an outline; one of its sides lies on a side of the outline."""
+    best = None
+    for edge in np.roll(hull, -1, axis=0) - hull:
+        length = np.hypot(*edge)
+        if not length:
             continue
-        label, queue, ys, xs = len(found) + 1, deque([(y, x)]), [], []
-        labels[y, x] = label
-        while queue:
-            b, a = queue.popleft()
-            ys.append(b)
-            xs.append(a)
-            for v in range(max(0, b - 1), min(mask.shape[0], b + 2)):
-                for u in range(max(0, a - 1), min(mask.shape[1], a + 2)):
-                    if mask[v, u] and not labels[v, u]:
-                        labels[v, u] = label
-                        queue.append((v, u))
-        found.append((int(min(xs)), int(min(ys)), int(max(xs) - min(xs) + 1), int(max(ys) - min(ys) + 1), len(ys)))
-    return labels, found
+        turn = np.array([[edge[0], edge[1]], [-edge[1], edge[0]]]) / length
+        p = hull @ turn.T
+        low, high = p.min(axis=0), p.max(axis=0)
+        area = float(np.prod(high - low))
+        if best is None or area < best[0] - 1e-9:
+            corners = np.array([[low[0], low[1]], [high[0], low[1]], [high[0], high[1]], [low[0], high[1]]])
+            best = area, corners @ turn
+    return in_order(best[1]) if best else np.repeat(hull[:1], 4, axis=0)
+
+
+def in_order(quad: np.ndarray) -> np.ndarray:
+    """Corners as top left, top right, bottom right, bottom left."""
+    total, difference = quad.sum(axis=1), quad[:, 0] - quad[:, 1]
+    return quad[[total.argmin(), difference.argmax(), total.argmax(), difference.argmin()]].astype(float)
+
+
+def is_rectangular(quad: np.ndarray, most: float = 0.35) -> bool:
+    """Whether no corner's cosine is beyond the limit, and all corners differ."""
+    if len({tuple(p) for p in quad.tolist()}) < 4:
+        return False
+    a, c = np.roll(quad, 1, axis=0) - quad, np.roll(quad, -1, axis=0) - quad
+    size = np.hypot(*a.T) * np.hypot(*c.T)
+    return bool((np.abs((a * c).sum(axis=1)) < most * size + 1e-9).all())
 
 
 def skeleton(mask: np.ndarray) -> np.ndarray:
@@ -157,24 +336,39 @@ def crop_ink(mask: np.ndarray, pad: float = 0.06) -> np.ndarray:
     return mask[max(0, ys.min() - py) : ys.max() + 1 + py, max(0, xs.min() - px) : xs.max() + 1 + px]
 
 
-def to_tensor(mask: np.ndarray, side: int = 28, inner: int = 20) -> np.ndarray:
-    """Ink on a side x side field in [0, 1], never enlarged, its centroid moved to the middle by at most 2."""
+def shrunk(mask: np.ndarray, h: int, w: int, nearest: bool = False) -> np.ndarray:
+    """A mask at another, no larger size: shares of ink, or the ink at each place's middle."""
+    rows, columns = mask.shape
+    if nearest:
+        return mask[((np.arange(h) + 0.5) * rows / h).astype(int)][:, ((np.arange(w) + 0.5) * columns / w).astype(int)].astype(float)
+    total = np.pad(mask.astype(float).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    y0, x0 = (np.arange(h) * rows / h).astype(int), (np.arange(w) * columns / w).astype(int)
+    y1, x1 = np.maximum(y0 + 1, (np.arange(1, h + 1) * rows / h).astype(int)), np.maximum(x0 + 1, (np.arange(1, w + 1) * columns / w).astype(int))
+    part = lambda y, x: total[y[:, None], x[None, :]]
+    return (part(y1, x1) - part(y0, x1) - part(y1, x0) + part(y0, x0)) / ((y1 - y0)[:, None] * (x1 - x0)[None, :])
+
+
+def to_tensor(mask: np.ndarray, side: int = 28, inner: int = 20, grow: int = 0, nearest: bool = False, blur: bool = False) -> np.ndarray:
+    """Ink on a side x side field in [0, 1], never enlarged, its centroid moved to the middle by at most 2.
+
+    ``grow`` widens the strokes first, ``nearest`` takes single pixels instead of shares, ``blur`` softens the result.
+    """
+    if grow:
+        mask = dilate(np.pad(mask, grow), 2 * grow + 1, 2 * grow + 1)
     scale = min(1.0, inner / max(1, *mask.shape))
     h, w = max(1, round(mask.shape[0] * scale)), max(1, round(mask.shape[1] * scale))
-    small = np.zeros((h, w))
-    for i in range(h):
-        for j in range(w):
-            a, b = int(i / h * mask.shape[0]), int(j / w * mask.shape[1])
-            small[i, j] = mask[a : max(a + 1, int((i + 1) / h * mask.shape[0])), b : max(b + 1, int((j + 1) / w * mask.shape[1]))].mean()
+    small = shrunk(mask, h, w, nearest)
     out = np.zeros((side, side))
     top, left = (side - h) // 2, (side - w) // 2
     out[top : top + h, left : left + w] = small[:side, :side]
+    if blur:
+        out = box_mean(out, 3) * 0.5 + out * 0.5
     if out.sum():
         y, x = np.mgrid[:side, :side]
         dy = int(np.clip(np.rint((side - 1) / 2 - (out * y).sum() / out.sum()), -2, 2))
         dx = int(np.clip(np.rint((side - 1) / 2 - (out * x).sum() / out.sum()), -2, 2))
         out = np.roll(out, (dy, dx), axis=(0, 1))
-    return out
+    return np.clip(out, 0.0, 1.0)
 
 
 def _mask_of(values, side: int, least: float) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.plans import layouts, merging, objects, round_trips, scores
+from psephos.plans import ballots, layouts, merging, objects, round_trips, scores
 from psephos.session import ship
 
 
@@ -19,8 +19,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shipped(query) for family in (merging, layouts, scores, objects, round_trips) for name, query in family.QUERIES.items()}
+    return {name: _shipped(query) for family in (merging, layouts, scores, objects, round_trips, ballots) for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return merging.ORACLES | layouts.ORACLES | scores.ORACLES | objects.ORACLES | round_trips.ORACLES
+    return merging.ORACLES | layouts.ORACLES | scores.ORACLES | objects.ORACLES | round_trips.ORACLES | ballots.ORACLES
