@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import slices
+from psephos.llm.common import slices, stored
 
 MOST_TRAINING = 20_000
 STEMS = (4, 5, 6, 7)
@@ -260,7 +260,7 @@ def _tree_rows(lexicons: tuple[Lexicon, Lexicon]):
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Model:
     """Learn from at most ``most`` labelled rows; only their features and the lexicon come to the driver."""
-    rows = training_rows(docs, labels, most)
+    rows = stored(training_rows(docs, labels, most), "training")
     *halves, lexicon = learn_lexicons(rows)
     got = rows.select("doc_id", "text", "toxic", "half").mapInArrow(_tree_rows(tuple(halves)), "doc_id long, toxic long, x array<double>").collect()
     got = sorted({(r.doc_id, int(r.toxic == 1), tuple(r.x)) for r in got})
