@@ -1,4 +1,7 @@
-"""Queries of the layout algebra, with their SQL."""
+"""Queries of the layout algebra, with their SQL.
+
+Boxes and bands are stand-ins (see ``tables``): every line has a band, and three quarters of them a box.
+"""
 
 from __future__ import annotations
 

@@ -19,7 +19,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten class probabilities from the first numbers of each vector."""
+    """Ten class probabilities: the first ten of each vector's 64 numbers stand for a classifier's logits; all vectors are read."""
     logits = F.transform(F.slice("v", 1, 10), lambda x: F.round(x * 8, 6))
     return _vectors(spark, sf_dir).select("vec_id", scoring.softmax(logits).alias("p"))
 
@@ -36,7 +36,7 @@ def calibrated_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five variants of each vector: the best of three safe ones; the others may only confirm it."""
+    """Five variants of each vector (ten numbers each, the last 14 of 64 stand for nothing): the best of three safe ones; the others may only confirm it."""
     variants = _vectors(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "v")
     logits = F.transform(F.slice("v", F.col("k") * 10 + 1, F.lit(10)), lambda x: F.round(x * 8, 6))
     scored = variants.select("vec_id", "k", scoring.softmax(logits).alias("p")).select("vec_id", F.col("k").cast("long").alias("k"), scoring.argmax(F.col("p")).cast("long").alias("class"), F.round(scoring.variant_score(F.col("p")), 6).alias("score"))
@@ -223,7 +223,25 @@ f AS (SELECT claim_key, k, event_id, 'claimed' AS outcome, status AS state, ts A
 UNION ALL SELECT claim_key, k, event_id, CASE WHEN free THEN 'claimed' ELSE 'duplicate' END, CASE WHEN free THEN status ELSE state END, CASE WHEN free THEN ts ELSE since END, claims + free::INT
 FROM (SELECT e.*, f.state, f.since, f.claims, f.state = 'FAILED' OR (f.state = 'IN_PROGRESS' AND epoch_us(e.ts) - epoch_us(f.since) >= 14400000000) OR epoch_us(e.ts) - epoch_us(f.since) >= 604800000000 AS free FROM f JOIN e ON e.claim_key = f.claim_key AND e.k = f.k + 1))
 SELECT claim_key, event_id, outcome, CAST(claims AS BIGINT) AS claims FROM f"""
+_COMPONENTS = f"""WITH RECURSIVE ink AS MATERIALIZED (SELECT tile, y * 8 + x AS p, x, y FROM ({_PIX}) WHERE v > 0.05),
+e AS MATERIALIZED (SELECT a.tile, a.p AS a, b.p AS b FROM ink a JOIN ink b ON a.tile = b.tile AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r(tile, a, b) AS (SELECT tile, a, b FROM e UNION SELECT r.tile, r.a, e.b FROM r JOIN e ON r.tile = e.tile AND r.b = e.a),
+l AS (SELECT tile, a AS p, min(b) AS root FROM r GROUP BY 1, 2),
+c AS (SELECT tile, root, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM ink JOIN l USING (tile, p) GROUP BY 1, 2)
+SELECT tile AS vec_id, row_number() OVER (PARTITION BY tile ORDER BY root) - 1 AS k, x, y, w, h, area FROM c"""
+_OTSU = f"""WITH s AS (SELECT tile, v, min(v) OVER t AS low, max(v) OVER t AS high FROM ({_PIX}) WINDOW t AS (PARTITION BY tile)),
+g AS (SELECT tile, CASE WHEN high > low THEN CAST(round_even((v - low) / (high - low) * 255, 0) AS BIGINT) ELSE 0 END AS g FROM s),
+n AS (SELECT tile, g, count(*)::DOUBLE AS n FROM g GROUP BY 1, 2),
+c AS (SELECT tile, g, sum(n) OVER o AS w, sum(n * g) OVER o AS m, sum(n) OVER t AS total, sum(n * g) OVER t AS whole FROM n WINDOW o AS (PARTITION BY tile ORDER BY g), t AS (PARTITION BY tile)),
+b AS (SELECT tile, g, CASE WHEN w < total THEN w * (total - w) * ((m / w - (whole - m) / (total - w)) * (m / w - (whole - m) / (total - w))) ELSE 0 END AS between_classes FROM c)
+SELECT tile AS vec_id, arg_min(g, struct_pack(b := -between_classes, g := g)) AS level FROM b GROUP BY 1"""
+_NCC = """WITH v AS (SELECT vec_id, label, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) t(i)), t AS (SELECT label, i, avg(x) AS t FROM v GROUP BY 1, 2),
+p AS (SELECT vec_id, x - avg(x) OVER w AS a, t - avg(t) OVER w AS b FROM v JOIN t USING (label, i) WINDOW w AS (PARTITION BY vec_id))
+SELECT vec_id, round(CASE WHEN sum(a * a) * sum(b * b) > 0 THEN sum(a * b) / sqrt(sum(a * a) * sum(b * b)) ELSE 0 END, 6) AS ncc FROM p GROUP BY 1"""
 ORACLES = {
+    "tile_components": _COMPONENTS,
+    "tile_otsu": _OTSU,
+    "tile_ncc": _NCC,
     "class_prediction": f"{_P} SELECT vec_id, class, round(top, 6) AS confidence, round(margin, 6) AS margin, round(entropy, 6) AS entropy, score FROM v WHERE k = 0",
     "calibrated_probs": f"{_P}, w AS (SELECT vec_id, i, pow(greatest(p, 1e-12), 1 / 1.7::DOUBLE) AS w FROM p WHERE k = 0) SELECT vec_id, i AS class, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM w",
     "variant_choice": f"{_P}, sf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, k) AS n FROM v WHERE k < 3) WHERE n = 1), bd AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY v.vec_id ORDER BY v.score DESC, v.k) AS n FROM v JOIN sf ON sf.vec_id = v.vec_id WHERE v.k >= 3 AND v.class = sf.class AND v.score > sf.score) WHERE n = 1) SELECT sf.vec_id, coalesce(bd.k, sf.k) AS variant, coalesce(bd.class, sf.class) AS class, coalesce(bd.score, sf.score) AS score FROM sf LEFT JOIN bd ON bd.vec_id = sf.vec_id",

@@ -31,7 +31,10 @@ def digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box for most lines; some ballots have several in a row, some none."""
+    """A box for most lines; some ballots have several in a row, some none.
+
+    Lines of a part number divisible by four stand for rows whose box wasn't found, so they have a band and no box.
+    """
     d = digits(spark, sf_dir).filter("p % 4 <> 0")
     long = lambda e: F.expr(e).cast("long")
     return d.select("ballot", F.col("row_num").alias("ord"), long("850 + p % 37").alias("x"), long("60 * (row_num - 1) + s % 29").alias("y"), long("36 + s % 15").alias("w"), long("30 + p % 13").alias("h"))
@@ -50,7 +53,10 @@ def separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as detections: score of the length, geometry of toxicity, truth of quality."""
+    """Labelled documents as detections: score of the length, geometry of toxicity, truth of quality.
+
+    Truth and geometry come from the labels, so documents without labels aren't detections.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
     known = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     rows = docs.join(known, "doc_id")
