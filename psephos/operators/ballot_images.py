@@ -76,6 +76,17 @@ def upright(image: np.ndarray, expected: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(turns[best]), best
 
 
+def template_match(crop: np.ndarray, template: np.ndarray) -> float:
+    """The best correlation of a grey template, scaled to the crop's shorter side, at any place of the crop."""
+    scale = max(8, min(crop.shape)) / max(template.shape)
+    h, w = (max(1, int(n * scale)) for n in template.shape)
+    if crop.shape[0] < h or crop.shape[1] < w:
+        return 0.0
+    rows, columns = (((np.arange(n) + 0.5) * size / n).astype(int) for n, size in zip((h, w), template.shape, strict=True))
+    small = template[rows][:, columns]
+    return max(k.ncc(crop[y : y + h, x : x + w], small) for y in range(crop.shape[0] - h + 1) for x in range(crop.shape[1] - w + 1))
+
+
 # What counts as a blob of a stamp (part of the crop, roundness, aspect).
 MOST_BLOB, LEAST_ROUND, BLOB_ASPECT = 0.22, 0.28, (0.35, 2.8)
 
@@ -89,16 +100,17 @@ def stamp_features(image: np.ndarray, box: tuple[int, int, int, int], template:
     if crop.size == 0:
         return out
     mask = crop <= k.otsu(crop)
-    found = [c for c in k.components(mask)[1] if max(4, 0.002 * mask.size) <= c[4] <= MOST_BLOB * mask.size and 4 * np.pi * c[4] >= LEAST_ROUND * (2 * (c[2] + c[3])) ** 2 and BLOB_ASPECT[0] <= c[2] / c[3] <= BLOB_ASPECT[1]]
-    area = float(mask.sum())
-    edge = float((mask & ~k.erode(mask, 3, 3)).sum())
+    labels, every = k.components(mask)
+    found = [c for c in every if max(4, 0.002 * mask.size) <= c[4] <= MOST_BLOB * mask.size and 4 * np.pi * c[4] >= LEAST_ROUND * (2 * (c[2] + c[3])) ** 2 and BLOB_ASPECT[0] <= c[2] / c[3] <= BLOB_ASPECT[1]]
+    largest = labels == 1 + max(range(len(every)), key=lambda i: every[i][4]) if every else mask
+    area, edge = float(largest.sum()), float((largest & ~k.erode(largest, 3, 3)).sum())
     y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
     r = np.hypot((x - (mask.shape[1] - 1) / 2) / max(1, mask.shape[1] / 2), (y - (mask.shape[0] - 1) / 2) / max(1, mask.shape[0] / 2))
     ring = (r > 0.8) & (r < 1.05)
     centres = np.array([[c[0] + c[2] / 2, c[1] + c[3] / 2] for c in found]).reshape(-1, 2)
     return out | {
         "circularity": 4 * np.pi * area / (edge * edge) if edge else 0.0, "ellipse_edge_pct": float((mask & ring).sum() / max(1.0, ring.sum())),
-        "template_ncc": 1.0 if template is None or template.shape != crop.shape else k.ncc(crop, template), "blob_count": len(found),
+        "template_ncc": 1.0 if template is None else template_match(crop, k.grey(template)), "blob_count": len(found),
         "blob_spread": float((np.ptp(centres, axis=0) / [mask.shape[1], mask.shape[0]]).max()) if len(found) > 1 else 0.0,
     }
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.operators import ballot_images
+from psephos.operators import ballot_images, stamps, synthesis
 from psephos.plans import tables as t
 
 ROWS, PITCH, BOX = 6, 70, 40
@@ -81,8 +81,78 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("origin", "quarter", "strategy").join(boxes, F.col("origin") == F.col("image")).select(_id("origin"), "boxes", (F.col("strategy") == "full").alias("whole"))
 
 
-QUERIES = {f.__name__: f for f in (ballot_digits, page_boxes)}
+def stamp_image() -> np.ndarray:
+    """A round stamp of dots in blue: blue, green, red, alpha."""
+    y, x = np.mgrid[:96, :96] - 47.5
+    out = np.zeros((96, 96, 4), np.uint8)
+    for i in range(12):
+        cx, cy = 34 * np.cos(i * np.pi / 6), 34 * np.sin(i * np.pi / 6)
+        out[(x - cx) ** 2 + (y - cy) ** 2 <= 49] = (190, 40, 30, 255)
+    out[x**2 + y**2 <= 144] = (190, 40, 30, 255)
+    return out
+
+
+def blue(image: np.ndarray) -> list[tuple[float, int, int, int, int]]:
+    """A detector for drawn stamps: the box of all that is clearly bluer than red."""
+    mask = image[..., 0].astype(int) - image[..., 2] > 25
+    if mask.sum() < 25:
+        return []
+    ys, xs = np.nonzero(mask)
+    return [(0.9, int(xs.min()) - 1, int(ys.min()) - 1, int(xs.max()) + 2, int(ys.max()) + 2)]
+
+
+_WIDTH, _HEIGHT = 300, 420
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = t.read(spark, sf_dir, "pages").select("page_id")
+    return synthesis.plan(ids, "page_id", F.lit(_WIDTH), F.lit(_HEIGHT), F.lit(96))
+
+
+def _blank(planned: DataFrame) -> DataFrame:
+    data = F.unhex(F.repeat(F.lit("F5F5F5"), _WIDTH * _HEIGHT))
+    source = {"origin": F.concat(F.lit("page_"), F.col("page_id").cast("string")), "height": F.lit(_HEIGHT), "width": F.lit(_WIDTH), "nChannels": F.lit(3), "data": data}
+    return planned.repartition(planned.sparkSession.sparkContext.defaultParallelism).withColumns(source)
+
+
+def synthetic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is drawn for each page: stamp or not, pen marks, size, angle, opacity, placement and place."""
+    return _planned(spark, sf_dir).select("page_id", "has_stamp", "decoys", "size", F.round("angle", 9).alias("angle"), F.round("opacity", 9).alias("opacity"), "place", "x", "y")
+
+
+def synthetic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as planned, and whether their labels lie where the plan put the stamp."""
+    made = synthesis.composed(_blank(_planned(spark, sf_dir)), stamp_image())
+    lines = synthesis.label_lines(made).withColumn("p", F.split("line", " "))
+    plan = _planned(spark, sf_dir).select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("origin"), "page_id", "size", F.col("x").alias("px"), F.col("y").alias("py"))
+    near = lambda i, at, side: F.abs(F.col("p")[i].cast("double") * side - (F.col(at) + F.col("size") / 2)) <= F.col("size") / 4 + 2
+    both = lines.join(plan, "origin")
+    return both.select("page_id", (F.col("line") != "").alias("has_stamp"), F.when(F.col("line") != "", near(1, "px", _WIDTH) & near(2, "py", _HEIGHT)).alias("in_place"))
+
+
+def stamp_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the synthetic pages under a detector for their colour: a decision for each."""
+    made = synthesis.composed(_blank(_planned(spark, sf_dir)), stamp_image())
+    found = stamps.predict(made, blue)
+    return found.select(_id("image"), "decision", "geo_ok", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (ballot_digits, page_boxes, synthetic_plan, synthetic_labels, stamp_manifest)}
+
+_F = lambda seed: f"(('0x' || substr(md5('42 {seed}:' || page_id), 1, 8))::BIGINT / 4294967296)"
+_TRY = "[struct_pack(x := CAST(floor(('0x' || substr(md5('42 x' || i || ':' || page_id), 1, 8))::BIGINT / 4294967296 * (300 - size + 1)) AS BIGINT), y := CAST(floor(('0x' || substr(md5('42 y' || i || ':' || page_id), 1, 8))::BIGINT / 4294967296 * (420 - size + 1)) AS BIGINT)) FOR i IN range(100)]"
+_PLAN = f"""WITH p AS (SELECT page_id, {_F('negative')} >= 0.3 AS has_stamp, CASE WHEN {_F('decoy')} < 0.7 THEN CAST(floor({_F('decoys')} * 6) AS BIGINT) ELSE 0 END AS decoys,
+greatest(1, CAST(floor(96 * (0.05::DOUBLE + {_F('scale')} * (0.12::DOUBLE - 0.05::DOUBLE)) * 420 / 96) AS BIGINT)) AS size, round(-25 + {_F('angle')} * 50, 9) AS angle, round(0.55::DOUBLE + {_F('opacity')} * (1 - 0.55::DOUBLE), 9) AS opacity,
+CASE WHEN {_F('place')} < 0.35 THEN 'border' WHEN {_F('place')} < 0.35 + 0.25 THEN 'anywhere' WHEN {_F('place')} < 0.35 + 0.25 + 0.25 THEN 'top' ELSE 'right_column' END AS place FROM pages),
+q AS (SELECT *, {_TRY} AS tries FROM p),
+b AS (SELECT *, [t FOR t IN tries IF t.x + size / 2 <= 72 OR t.x + size / 2 >= 228 OR t.y + size / 2 <= 100 OR t.y + size / 2 >= 320] AS good FROM q)
+SELECT page_id, has_stamp, decoys, size, angle, opacity, place,
+CASE place WHEN 'border' THEN coalesce(good[1].x, tries[100].x) WHEN 'right_column' THEN 210 + CAST(floor({_F('x0')} * (300 - size - 210 + 1)) AS BIGINT) ELSE tries[1].x END AS x,
+CASE place WHEN 'border' THEN coalesce(good[1].y, tries[100].y) WHEN 'top' THEN CAST(floor({_F('y0')} * (92 - size + 1)) AS BIGINT) ELSE tries[1].y END AS y FROM b"""
 ORACLES = {
+    "synthetic_plan": _PLAN,
+    "synthetic_labels": f"SELECT page_id, has_stamp, CASE WHEN has_stamp THEN true END AS in_place FROM ({_PLAN})",
+    "stamp_manifest": f"SELECT page_id, CASE WHEN has_stamp THEN 'VALID STAMP' ELSE 'NO STAMP' END AS decision, has_stamp AS geo_ok, CASE WHEN has_stamp THEN 0.9::DOUBLE ELSE 0 END AS score FROM ({_PLAN})",
     "ballot_digits": "SELECT page_id, i + 1 AS row, (page_id + i) % 4 = 0 OR (page_id % 7 = 0 AND i = 3) AS blank, CASE WHEN (page_id + i) % 4 <> 0 AND NOT (page_id % 7 = 0 AND i = 3) THEN (page_id + i) % 4 END AS digit, page_id % 7 = 0 AND i = 3 AS repaired FROM pages, range(6) t(i)",
     "page_boxes": "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 5 ELSE 6 END AS boxes, page_id % 2 = 1 AS whole FROM pages",
 }

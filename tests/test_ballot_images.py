@@ -11,7 +11,7 @@ import pytest
 from psephos.operators import ballot_images as b
 from psephos.operators import digit_tiles as d
 from psephos.operators import kernels as k
-from psephos.operators import pages
+from psephos.operators import pages, stamps
 from psephos.sources import files
 
 
@@ -181,3 +181,22 @@ def test_stamps():
     dots[70:74, 10:60] = 20  # a line is none either
     f = b.stamp_features(dots, (0, 0, 100, 100))
     assert f["blob_count"] == 3 and abs(f["blob_spread"] - 0.4) < 1e-9
+
+
+def test_template_match():
+    r = np.random.default_rng(3)
+    template = r.integers(0, 255, (12, 12)).astype(float)
+    crop = np.full((12, 30), 100.0)
+    crop[:, 9:21] = template
+    assert b.template_match(crop, template) == pytest.approx(1.0) and b.template_match(crop[:4, :4], template) == 0.0
+
+
+def test_annotated(spark):
+    page = np.full((60, 80, 3), 240, np.uint8)
+    images = spark.createDataFrame([(n, 60, 80, 3, page.tobytes()) for n in ("a", "b")], "origin string, height int, width int, nChannels int, data binary")
+    manifest = spark.createDataFrame([("a", "VALID STAMP", [50, 40, 100, 55]), ("b", "NO STAMP", None)], "image string, decision string, bbox array<int>")
+    got = {r.origin: r for r in stamps.annotated(images, manifest).collect()}
+    a = np.frombuffer(got["a"].data, np.uint8).reshape(60, 80, 3)
+    assert (a[41, 60] == (0, 255, 0)).all() and (got["a"].crop_height, got["a"].crop_width) == (15, 30) and len(got["b"].crop) == 0
+    none = stamps.predict(images, lambda image: []).collect()
+    assert [(r.decision, r.bbox, r.score) for r in none] == [("NO STAMP", None, 0.0)] * 2
