@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from psephos.operators import events, merge
 from psephos.plans import jobs
-from psephos.sources import files, sinks
+from psephos.sources import files, paged, sinks
 from psephos.streaming import claims, watcher
 
 
@@ -146,3 +146,34 @@ def test_box_as_of_over_days(spark):
     history = spark.createDataFrame([(1, 100, "a"), (1, 3 * DAY, "b"), (2, 5, "z")], "site int, s long, box string").select("site", F.timestamp_seconds("s").alias("updated_at"), "box")
     ballots = spark.createDataFrame([(1, 99, 0), (1, 100, 1), (1, 2 * DAY, 2), (1, 3 * DAY + 1, 3), (1, 9 * DAY, 4), (3, 7, 5)], "site int, s long, ballot long").select("site", F.timestamp_seconds("s").alias("t"), "ballot")
     assert {r.ballot: r.box for r in events.box_as_of(ballots, history, "t").collect()} == {0: None, 1: "a", 2: "a", 3: "b", 4: "b", 5: None}
+
+
+def server():
+    """What a server would answer; it must not be asked for more than is needed."""
+    table = [{"id": i, "election": i % 3, "name": f"n{i}", "secret": "x"} for i in range(1037)]
+
+    def served(request):
+        assert "secret" not in request.columns
+        rows = [r for r in table if all(r[c] == v for c, v in request.filters)]
+        rows = sorted(rows, key=lambda r: r[request.order])[request.offset : request.offset + request.limit]
+        return [{c: r[c] for c in request.columns} for r in rows]
+
+    return served
+
+
+@pytest.mark.parametrize(("page", "tasks"), [(1000, 4), (10, 3), (7, 1), (346, 2), (2000, 2)])
+def test_paged_tables(spark, page, tasks):
+    served = server()
+    got = paged.paged(spark, served, "id long, name string", "id", {"election": 1}, page, tasks)
+    assert sorted(r.id for r in got.collect()) == [i for i in range(1037) if i % 3 == 1]
+    assert paged.paged(spark, served, "id long", "id", {"election": 9}, page, tasks).count() == 0
+
+
+def test_paged_lookups(spark):
+    served = server()
+    assert paged.known(served, "id", 5) and not paged.known(served, "id", -5)
+    with pytest.raises(LookupError, match="no rows"):
+        paged.paged(spark, served, "id long", "id", {"election": 9}, required=True)
+    keys = [{"key": k, "size": i} for i, k in enumerate(["in/", "in/a.png", "in/b/", "in/b/c.png", "out/d.png"])]
+    listing = lambda q: [k for k in keys if k["key"].startswith(dict(q.filters)["prefix"])][q.offset : q.offset + q.limit]
+    assert [r.key for r in paged.listed(spark, listing, "in/", page=2).collect()] == ["in/a.png", "in/b/c.png"]
