@@ -74,9 +74,11 @@ class PieceEncoder:
             return self.whole(text)
         if "\0" in text or _INSIDE_RUN.search(text):
             return b"".join(map(self.ids.__getitem__, self.ids.split(text)))
+        # The marks behind a sign come with the next cuts where those follow, so that no unit is empty.
+        lines = "\n" in text and not _LINE_RUN.search(text)
         if not (_SIGN_RUN[0].search(text) or _SIGN_RUN[1].search(text)):
-            text = text.replace(", ", "\0,\0 ").replace(". ", "\0.\0 ").replace(".\n", "\0.\0\n")
-        if "\n" in text and not _LINE_RUN.search(text):
+            text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(".\n", "\0.\n" if lines else "\0.\0\n")
+        if lines:
             text = text.replace("\n", "\0\n\0")
         return b"".join(map(self.ids.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
@@ -107,8 +109,14 @@ def library_encoder(path: str) -> PieceEncoder:
         tokenizer = Tokenizer.from_file(path)
         model, alphabet = tokenizer.model, byte_alphabet()
 
+        blank, ids = alphabet[32], [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size() + 1)]
+
         def piece(text: str) -> bytes:
-            return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(text.encode().decode("latin-1").translate(alphabet))])
+            if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # letters stand for themselves
+                text = blank + text[1:] if text[0] == " " else text
+            else:
+                text = text.encode().decode("latin-1").translate(alphabet)
+            return b"".join([ids[t.id] for t in model.tokenize(text)])
 
         def whole(text: str) -> bytes:
             return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
