@@ -474,6 +474,23 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scores(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_isotonic_by_brute_force(seed):
+    """Values by the max-min formula; rows of one value are a pool, shrunk by two rows of the mean label."""
+    r = np.random.default_rng(seed)
+    x = r.integers(0, 25, 90).astype(float)
+    y = (r.random(90) < x / 30).astype(float)
+    knots = np.unique(x)
+    mean = lambda a, b: y[(x >= a) & (x <= b)].mean()
+    plain = [max(min(mean(a, b) for b in knots if b >= k) for a in knots if a <= k) for k in knots]
+    shrunk = []
+    for v in plain:
+        rows = np.isin(x, [k for k, w in zip(knots, plain, strict=True) if abs(w - v) < 1e-12])
+        shrunk.append((y[rows].sum() + 2 * y.mean()) / (rows.sum() + 2))
+    got = toxicity.isotonic(x, y)
+    assert np.interp(knots, *got) == pytest.approx(np.maximum.accumulate(shrunk))
+
+
 def test_contradicting_labels_and_repeated_rows(spark):
     rows, labels = toxic_rows(200)
     docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string").repartition(5)

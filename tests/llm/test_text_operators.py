@@ -233,6 +233,51 @@ def test_block_groups():
     assert [data[p.offset : p.offset + p.size] for p in media.packets[:3]] == [b"aa", b"b", b"cc"]
 
 
+def walked(data):
+    """The payload and the cues of a file, by its element sizes alone."""
+    payload, cues, clusters, segment = [], [], [], 0
+
+    def number(at, keep=False):
+        width = 9 - data[at].bit_length()
+        value = int.from_bytes(data[at : at + width], "big")
+        return (value if keep else value & (1 << 7 * width) - 1), at + width
+
+    def level(at, end):
+        nonlocal segment
+        while at < end:
+            start = at
+            tag, at = number(at, keep=True)
+            size, at = number(at)
+            if tag == 0x18538067:
+                segment = at
+            if tag == 0x1F43B675:
+                clusters.append(start - segment)
+            if tag in (0x18538067, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7):
+                level(at, at + size)
+            elif tag == 0xF1:
+                cues.append(int.from_bytes(data[at : at + size], "big"))
+            elif tag == 0xA3:
+                body = at + 4
+                lacing = data[at + 3] >> 1 & 3
+                if lacing:
+                    frames, body = data[body] + 1, body + 1
+                    for _ in range(frames - 1 if lacing == 3 else 0):  # sizes, of no matter for the payload
+                        _, body = number(body)
+                payload.append(data[body : at + size])
+            at += size
+
+    level(0, len(data))
+    return b"".join(payload), cues, clusters
+
+
+def test_media_by_another_reader(docs):
+    media = {(r.doc_id, r.n_bytes): bytes(r.media) for r in matroska.mux_documents(docs).collect()}
+    for doc, t in ROWS:
+        data = (t or "").encode()
+        payload, cues, clusters = walked(media[doc, len(data)])
+        assert payload == data + bytes(-len(data) % 64 or (0 if data else 64)) and cues == clusters
+
+
 def test_media_features(docs):
     """The feature of every document, from its bytes alone."""
     for r in matroska.media_digests(docs).collect():
