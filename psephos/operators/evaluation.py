@@ -27,8 +27,9 @@ def _counts(predicted) -> list:
 
 
 def confusion(rows: DataFrame) -> DataFrame:
-    """One row: counts with a valid stamp as the positive, and rates."""
-    return _rates(rows.agg(F.count("*").alias("evaluated"), *_counts(F.col("decision") == VALID)))
+    """One row: images evaluated, with a stamp and without; counts with a valid stamp as the positive, and rates."""
+    totals = [F.count("*").alias("evaluated"), F.count_if("truth").alias("positives"), F.count_if(~F.col("truth")).alias("negatives")]
+    return _rates(rows.agg(*totals, *_counts(F.col("decision") == VALID)))
 
 
 class Grid(NamedTuple):

@@ -228,10 +228,12 @@ def _touched(boxes: Column, bands: Column, least: float) -> Column:
     return F.transform(bands, lambda band: F.struct(*[band[c].alias(c) for c in BAND], hit(band).alias("hit"), F.greatest(F.lit(1), band.y2 - band.y1).alias("height")))
 
 
-def bands_with_box(boxes: DataFrame, bands: DataFrame, least: float = 0.3) -> DataFrame:
-    """Bands that some box lies in far enough."""
-    page = _page(boxes, bands, "inner")
-    return _spread(page, F.filter(_touched(F.col("boxes"), F.col("bands"), least), lambda b: b.hit))
+def bands_with_box(boxes: DataFrame, bands: DataFrame, least: float = 0.3, keep_all: bool = False) -> DataFrame:
+    """Bands that some box lies in far enough; ballots without any such band keep none, or all if asked."""
+    page = gathered("left" if keep_all else "inner", bands=(bands, BAND), boxes=(boxes, BOX)).withColumn("boxes", F.coalesce("boxes", F.array()))
+    touched = lambda rows: F.filter(rows, lambda b: b.hit)
+    either = lambda rows: let(touched(rows), lambda hit: F.when(F.size(hit) > 0, hit).otherwise(rows))
+    return _spread(page, let(_touched(F.col("boxes"), F.col("bands"), least), either if keep_all else touched))
 
 
 def repair_boxes(boxes: DataFrame, bands: DataFrame, width: int, height: int) -> DataFrame:
@@ -388,9 +390,13 @@ def layout_score(boxes: DataFrame, bands: DataFrame, expected: int, width: int,
 
 
 def needs_fallback(boxes: DataFrame, bands: DataFrame, expected: int, width: int, height: int) -> DataFrame:
-    """Whether a layout is too doubtful to use, from everything but pixels: (ballot, fallback)."""
+    """Whether a layout is too doubtful to use: (ballot, fallback).
+
+    Boxes may have ``ink``, the dark part of their inside, of which every n-th box is looked at so that about eight are.
+    """
     cut = header_cut(height)
-    page = gathered("left", bands=(bands, BAND), boxes=(boxes, BOX))
+    inked = "ink" in boxes.columns
+    page = gathered("left", bands=(bands, BAND), boxes=(boxes, (*BOX, "ink") if inked else BOX))
     body = F.filter(F.coalesce("boxes", F.array()), lambda b: b.y + b.h / 2 >= cut)
     page = page.select(KEY, F.slice(F.filter("bands", lambda b: b.y2 > cut), 1, expected).alias("bands"), body.alias("boxes"))
     box, band = F.col("boxes"), F.col("bands")
@@ -399,11 +405,17 @@ def needs_fallback(boxes: DataFrame, bands: DataFrame, expected: int, width: int
     run = lambda gone: F.reduce(gone, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, g: F.when(g, F.struct((s.now + 1).alias("now"), F.greatest(s.most, s.now + 1).alias("most"))).otherwise(F.struct(F.lit(0).alias("now"), s.most.alias("most"))), lambda s: s.most)
     gaps = let(seen, lambda g: F.struct(F.size(F.filter(g, lambda x: x)).alias("missing"), run(g).alias("longest")))
     ratio = lambda f: median(F.transform(box, f))
-    page = page.select(KEY, F.size(box).alias("n"), F.size(band).alias("rows"), gaps.alias("gaps"), part.alias("part"), ratio(lambda b: (b.x + b.w) / width).alias("right"), ratio(lambda b: b.w / width).alias("mw"), ratio(lambda b: b.h / height).alias("mh"))
+    top, bottom = F.greatest(F.lit(cut), F.get(band, F.lit(0)).y1), F.get(band, F.size(band) - 1).y2
+    cover = F.greatest(F.lit(0), bottom - top) / max(1.0, float(height - cut))
+    every = F.greatest(F.lit(1), F.floor(F.size(box) / 8))
+    ink = median(F.transform(F.filter(box, lambda b, i: i % every == 0), lambda b: b.ink)) if inked else F.lit(0.0)
+    page = page.select(KEY, F.size(box).alias("n"), F.size(band).alias("rows"), gaps.alias("gaps"), part.alias("part"), cover.alias("cover"), ink.alias("ink"), ratio(lambda b: (b.x + b.w) / width).alias("right"), ratio(lambda b: b.w / width).alias("mw"), ratio(lambda b: b.h / height).alias("mh"))
     has, some = F.col("n") > 0, F.col("rows") > 0
     doubt = (
         (F.col("n") < max(3, int(0.7 * expected)))
         | (has & ((F.col("right") < 0.92) | (1 - F.col("right") > 0.08) | (F.col("mw") > 0.20) | (F.col("mh") > 0.10)))
+        | ((F.col("rows") >= max(2, int(0.6 * expected))) & (F.col("cover") < 0.70))
+        | (has & F.coalesce(F.col("ink") > 0.18, F.lit(False)))
         | (has & some & F.coalesce((F.col("gaps.missing") >= 0.30 * F.col("rows")) | (F.col("gaps.longest") >= 3) | (F.col("part") < 0.35), F.lit(False)))
     )
     return page.select(KEY, F.coalesce(doubt, F.lit(True)).alias("fallback"))

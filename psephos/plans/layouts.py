@@ -45,6 +45,12 @@ def rows_with_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.bands_with_box(*_both(spark, sf_dir))
 
 
+def rows_with_box_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of every third ballot only, so the others keep all their bands."""
+    boxes, bands = _both(spark, sf_dir)
+    return layout.bands_with_box(boxes.filter("ballot % 3 = 0"), bands, keep_all=True)
+
+
 def rows_split_by_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two bands as one, so that many hold two centres."""
     boxes, bands = _both(spark, sf_dir)
@@ -95,7 +101,9 @@ def layout_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.needs_fallback(*_both(spark, sf_dir), _E, _W, _H)
+    """On pages of 400 units, which some ballots fill."""
+    boxes, bands = _both(spark, sf_dir)
+    return layout.needs_fallback(boxes.withColumn("ink", F.col("w") % 10 / 40), bands, _E, _W, 400)
 
 
 def nearest_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +162,7 @@ def contour_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("ballot", "ord", shape.alias("vote_box"), kept.alias("ink"))
 
 
-QUERIES = {f.__name__: f for f in (gap_clusters, box_dedupe, rows_from_boxes, assign_boxes, repair_boxes, rows_with_box, rows_split_by_centres, uniform_rows, expand_row_tops, best_row_block, trim_rows, drop_slivers, longest_missing_run, column_filter, topk_boxes, layout_score, layout_fallback, nearest_separator, snapped_rows, row_bands, recover_missing_rows, aligned_boxes, local_maxima, smoothed_profile, peak_thresholds, box_geometry, contour_filter)}
+QUERIES = {f.__name__: f for f in (gap_clusters, box_dedupe, rows_from_boxes, assign_boxes, repair_boxes, rows_with_box, rows_with_box_or_all, rows_split_by_centres, uniform_rows, expand_row_tops, best_row_block, trim_rows, drop_slivers, longest_missing_run, column_filter, topk_boxes, layout_score, layout_fallback, nearest_separator, snapped_rows, row_bands, recover_missing_rows, aligned_boxes, local_maxima, smoothed_profile, peak_thresholds, box_geometry, contour_filter)}
 
 _BASE = f"""WITH RECURSIVE d AS MATERIALIZED ({DIGITS}),
 boxes AS MATERIALIZED (SELECT ballot, row_num AS ord, 850 + p % 37 AS x, 60 * (row_num - 1) + s % 29 AS y, 36 + s % 15 AS w, 30 + p % 13 AS h FROM d WHERE p % 4 <> 0),
@@ -245,16 +253,17 @@ v AS (SELECT ballot, gap, s FROM b UNION ALL SELECT ballot, gap, greatest(50, lo
 m AS (SELECT ballot, any_value(gap) AS gap, {_MED.format('s')} AS s FROM ({_CLUSTER.format('s', 's', '8', 'v')}) GROUP BY ballot, cluster),
 p AS (SELECT *, lead(s) OVER (PARTITION BY ballot ORDER BY s) AS nxt FROM m)
 SELECT ballot, row_number() OVER (PARTITION BY ballot ORDER BY s) AS r, s AS y1, nxt AS y2 FROM p WHERE nxt - s >= greatest(10, trunc(0.45 * gap))"""
-_FALLBACK = f"""{_BASE}, bb AS MATERIALIZED (SELECT * FROM boxes WHERE y + h / 2 >= 50), s AS (SELECT ballot, count(*) AS n, median((x + w) / 1000) AS rt, median(w / 1000) AS mw, median(h / 1000) AS mh FROM bb GROUP BY 1),
-rw AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY r) AS k FROM bands WHERE y2 > 50) WHERE k <= 5),
+_FALLBACK = f"""{_BASE}, bb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY ballot) AS n_body FROM boxes WHERE y + h / 2 >= 20), s AS (SELECT ballot, count(*) AS n, median((x + w) / 1000) AS rt, median(w / 1000) AS mw, median(h / 400) AS mh, median((w % 10) / 40) FILTER (i % greatest(1, n_body // 8) = 0) AS ink FROM bb GROUP BY 1),
+rw AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ballot ORDER BY r) AS k FROM bands WHERE y2 > 20) WHERE k <= 5),
+cv AS (SELECT ballot, count(*) >= 3 AND greatest(0, arg_max(y2, r) - greatest(20, arg_min(y1, r))) / 380 < 0.70 AS cramped FROM rw GROUP BY 1),
 pp AS (SELECT b.ballot, ord, x, y, h, r, y1, y2, greatest(0, least(y2, y + h) - greatest(y1, y)) / (h + 1e-6) AS part FROM bb b JOIN rw USING (ballot)),
 tk AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ballot, ord ORDER BY part DESC, r) AS k FROM pp WHERE part > 0) WHERE k = 1),
 a5 AS (SELECT ballot, r, true AS got FROM tk WHERE part >= 0.5 GROUP BY 1, 2), a1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ballot, r ORDER BY x DESC, ord) AS j FROM tk WHERE part >= 0.1) WHERE j = 1),
 sn AS (SELECT rw.ballot, rw.r, got IS NULL AS miss FROM rw LEFT JOIN a5 USING (ballot, r)), gp AS (SELECT ballot, count(*) AS n_rows, count(*) FILTER (miss) AS missing FROM sn GROUP BY 1),
 rn AS (SELECT ballot, max(c) AS longest FROM (SELECT ballot, g, count(*) FILTER (miss) AS c FROM (SELECT *, count(*) FILTER (NOT miss) OVER (PARTITION BY ballot ORDER BY r) AS g FROM sn) GROUP BY 1, 2) GROUP BY 1),
 lp AS (SELECT rw.ballot, median(coalesce(a1.part, 0)) AS part FROM rw LEFT JOIN a1 ON a1.ballot = rw.ballot AND a1.r = rw.r GROUP BY 1)
-SELECT e.ballot, coalesce(n, 0) < 3 OR coalesce(rt < 0.92 OR 1 - rt > 0.08 OR mw > 0.20 OR mh > 0.10, false) OR (coalesce(n, 0) > 0 AND coalesce(missing / n_rows >= 0.30 OR longest >= 3 OR part < 0.35, false)) AS fallback
-FROM (SELECT DISTINCT ballot FROM bands) e LEFT JOIN s USING (ballot) LEFT JOIN gp USING (ballot) LEFT JOIN rn USING (ballot) LEFT JOIN lp USING (ballot)"""
+SELECT e.ballot, coalesce(n, 0) < 3 OR coalesce(rt < 0.92 OR 1 - rt > 0.08 OR mw > 0.20 OR mh > 0.10 OR ink > 0.18, false) OR coalesce(cramped, false) OR (coalesce(n, 0) > 0 AND coalesce(missing / n_rows >= 0.30 OR longest >= 3 OR part < 0.35, false)) AS fallback
+FROM (SELECT DISTINCT ballot FROM bands) e LEFT JOIN s USING (ballot) LEFT JOIN gp USING (ballot) LEFT JOIN rn USING (ballot) LEFT JOIN lp USING (ballot) LEFT JOIN cv USING (ballot)"""
 _CUT = "CAST(CASE WHEN {0} = p THEN t.y2 ELSE trunc(t.y1 + {0} * (t.y2 - t.y1) / p) END AS BIGINT)"
 _RECOVER = f"""{_BASE}, z AS (SELECT ballot, list_sort(list(struct_pack(y1 := y1, y2 := y2))) AS b, count(*) AS n, CASE WHEN median(y2 - y1) > 0 THEN median(y2 - y1) ELSE 200 END AS u, false AS done FROM bands GROUP BY 1
  UNION ALL SELECT ballot, CASE WHEN ok THEN list_sort(list_concat([x FOR x IN b IF NOT (x.y1 = t.y1 AND x.y2 = t.y2)], good)) ELSE b END, n, u, NOT ok
@@ -272,6 +281,7 @@ ORACLES = {
     "assign_boxes": f"{_BASE} SELECT ballot, r, ord, x FROM assigned",
     "repair_boxes": _REPAIR,
     "rows_with_box": f"{_BASE} SELECT b.* FROM bands b JOIN hits USING (ballot, r)",
+    "rows_with_box_or_all": f"{_BASE}, h AS (SELECT * FROM hits WHERE ballot % 3 = 0) SELECT b.* FROM bands b WHERE EXISTS (SELECT 1 FROM h WHERE h.ballot = b.ballot AND h.r = b.r) OR NOT EXISTS (SELECT 1 FROM h WHERE h.ballot = b.ballot)",
     "rows_split_by_centres": _SPLIT,
     "uniform_rows": _UNIFORM,
     "expand_row_tops": _EXPAND,

@@ -96,13 +96,13 @@ def next_ballot_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = [F.round(c, 9).alias(c) for c in ("precision", "recall", "fpr")]
-    return evaluation.confusion(t.detections(spark, sf_dir)).select("evaluated", "tp", "fp", "tn", "fn", *rates)
+    return evaluation.confusion(t.detections(spark, sf_dir)).select("evaluated", "positives", "negatives", "tp", "fp", "tn", "fn", *rates)
 
 
 _CELLS = "count(*) FILTER ({0} AND truth) AS tp, count(*) FILTER ({0} AND NOT truth) AS fp, count(*) FILTER (NOT ({0}) AND NOT truth) AS tn, count(*) FILTER (NOT ({0}) AND truth) AS fn"
 _RATES = "round(tp / (tp + fp + 1e-9), 9) AS precision, round(tp / (tp + fn + 1e-9), 9) AS recall, round(fp / (fp + tn + 1e-9), 9) AS fpr"
 _IS_VALID = "decision = 'VALID STAMP'"
-_CONFUSION = f"SELECT *, {_RATES} FROM (SELECT count(*) AS evaluated, {_CELLS.format(_IS_VALID)} FROM ({_DECIDED}))"
+_CONFUSION = f"SELECT *, {_RATES} FROM (SELECT count(*) AS evaluated, count(*) FILTER (truth) AS positives, count(*) FILTER (NOT truth) AS negatives, {_CELLS.format(_IS_VALID)} FROM ({_DECIDED}))"
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,15 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("stem", F.col("p")[0].cast("int").alias("class"), *[F.col("p")[i + 1].cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"))])
 
 
+def data_sets(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """Boxes of several data sets' label files together: (set, stem, class, cx, cy, w, h)."""
+    out = None
+    for name, path in folders.items():
+        one = labels(spark, path).select(F.lit(name).alias("set"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def images(spark: SparkSession, path: str, recursive: bool = True, types: tuple[str, ...] = IMAGE_TYPES) -> DataFrame:
     """Image files with path, length, time and content, of one shared set of types."""
     pattern = "*.{" + ",".join([*types, *(t.upper() for t in types)]) + "}"

@@ -39,6 +39,15 @@ def test_scans_by_use(spark, tmp_path):
     assert sorted(names("digits")) == ["a.JPG", "b.png"] and names("labeler") == ["a.JPG", "b.png", "c.bmp", "d.webp"]
 
 
+def test_data_sets(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 3)):
+        (tmp_path / name).mkdir()
+        for i in range(n):
+            (tmp_path / name / f"{i}.txt").write_text("0 0.5 0.25 0.1 0.2\n" * i)
+    got = files.data_sets(spark, {"one": str(tmp_path / "a"), "two": str(tmp_path / "b")}).collect()
+    assert sorted((r["set"], r.stem) for r in got) == [("one", "1"), ("two", "1"), ("two", "2"), ("two", "2")]
+
+
 def test_fetched(spark, tmp_path):
     class Answer(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
