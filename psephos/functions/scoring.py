@@ -47,6 +47,7 @@ def variant_score(p: Column) -> Column:
     return 2.2 * margin(p) + F.array_max(p) - 0.35 * F.greatest(F.lit(0.0), entropy(p) - 1.6)
 
 
+# Fixed values in this score: its weights, scales and limits.
 def mask_score(ink: Column, skeleton: Column, components: Column, junctions: Column) -> Column:
     """How digit-like a mask is, from its ink fraction and counts."""
     base = (

@@ -29,6 +29,7 @@ def sizes_agree(stated: Column, found: Column) -> Column:
     return stated == found
 
 
+# Fixed values in this score: all its numbers but the least area, which is a parameter.
 def page_contour_score(area: Column, w: Column, h: Column, sides: Column, offset: Column, sheet: Column, page_area: float, least: float = 0.18) -> Column:
     """How like a sheet a contour is: its area, weighed by how it fills its box and its tightest rectangle
     (of area ``sheet``), by aspect, by sides that touch the border and by its distance from the middle

@@ -15,10 +15,19 @@ import numpy as np
 from psephos.operators import kernels as k
 
 MOST_SIDE = 600
-# Limits of sheets by detector (parts of the page's area, aspects), and of corners.
+# Limits of sheets by detector (parts of the page's area, aspects).
 EDGE_AREA, EDGE_ASPECT = (0.08, 0.90), (1.5, 7.0)
 PAPER_AREA, PAPER_ASPECT = 0.08, (1.4, 8.5)
-REGION_AREA = 0.18
+REGION_AREA, REGION_FILL, WHOLE_PAGE = 0.18, 0.28, (0.95, 0.90)
+# Weights of a quadrilateral among edges (by border sides touched, offset from the middle, lying on its side).
+EDGE_MARGIN, EDGE_BORDER, EDGE_OFFSET, EDGE_LYING = 0.04, (1.0, 1.0, 0.45, 0.2, 0.2), (0.7, 0.3), 0.6
+# Weights of a region (by border sides touched, aspect, offset, tightness of its rectangle).
+REGION_MARGIN, REGION_BORDER, REGION_ASPECT, REGION_OFFSET, REGION_TIGHT = (8, 0.01), (1.0, 0.42, 0.06, 0.06, 0.06), (1.65, 2.3, 0.35), (1.7, 0.2), 0.2
+# Levels and sizes of the four region detectors.
+FRAME_MOST, FRAME_SIZE, FRAME_STEEP = 200, 10, 55
+EDGES_STEEP, EDGES_SIZE = 40, 9
+BRIGHT_MOST, BRIGHT_MORE, BRIGHT_SIZE = 245, 4, 13
+WHITE_LEAST, WHITE_LESS, WHITE_COLOUR, WHITE_SIZE, GLARE = 122, 8, (100.0, 72, 18), 11, (245, 70)
 
 
 class Sheet(NamedTuple):
@@ -75,13 +84,15 @@ def sheet_score(hull: np.ndarray, shape: tuple[int, int], least: float = REGION_
     area, low, high = k.polygon_area(hull), hull.min(axis=0), hull.max(axis=0) + 1
     size = high - low
     fill = area / max(1.0, float(np.prod(size)))
-    if area < least * height * width or fill < 0.28 or area > 0.95 * height * width and fill > 0.90:
+    if area < least * height * width or fill < REGION_FILL or area > WHOLE_PAGE[0] * height * width and fill > WHOLE_PAGE[1]:
         return -1.0
-    border = {0: 1.0, 1: 0.42}.get(_touches(low, high, shape, (max(8, 0.01 * width), max(8, 0.01 * height))), 0.06)
-    aspect = max(0.35, 1.0 - abs(_aspect(size) - 1.65) / 2.3)
+    pixels, part = REGION_MARGIN
+    border = REGION_BORDER[_touches(low, high, shape, (max(pixels, part * width), max(pixels, part * height)))]
+    usual, falls, lowest = REGION_ASPECT
+    aspect = max(lowest, 1.0 - abs(_aspect(size) - usual) / falls)
     offset = np.hypot(*((low + high) / 2 - [width / 2, height / 2])) / max(1.0, np.hypot(width, height))
-    tight = max(0.2, min(1.0, area / max(1.0, k.polygon_area(k.tightest_rectangle(hull)))))
-    return area * fill * aspect * border * max(0.2, 1.0 - offset * 1.7) * tight
+    tight = max(REGION_TIGHT, min(1.0, area / max(1.0, k.polygon_area(k.tightest_rectangle(hull)))))
+    return area * fill * aspect * border * max(REGION_OFFSET[1], 1.0 - offset * REGION_OFFSET[0]) * tight
 
 
 def by_edges(image: np.ndarray) -> np.ndarray | None:
@@ -97,10 +108,10 @@ def by_edges(image: np.ndarray) -> np.ndarray | None:
         sides = np.array([np.hypot(*(quad[1] - quad[0])), np.hypot(*(quad[3] - quad[0]))])
         if not EDGE_AREA[0] <= area / steep.size <= EDGE_AREA[1] or not EDGE_ASPECT[0] <= _aspect(sides) <= EDGE_ASPECT[1]:
             continue
-        margin = 0.04 * max(shape)
-        border = {0: 1.0, 1: 1.0, 2: 0.45}.get(_touches(low, low + size, shape, (margin, margin)), 0.2)
-        offset = np.hypot(*(low + size / 2 - [shape[1] / 2, shape[0] / 2])) / (0.7 * np.hypot(*shape))
-        score = area * border * max(0.3, 1 - offset) * (1.0 if size[1] >= size[0] else 0.6)
+        margin = EDGE_MARGIN * max(shape)
+        border = EDGE_BORDER[_touches(low, low + size, shape, (margin, margin))]
+        offset = np.hypot(*(low + size / 2 - [shape[1] / 2, shape[0] / 2])) / (EDGE_OFFSET[0] * np.hypot(*shape))
+        score = area * border * max(EDGE_OFFSET[1], 1 - offset) * (1.0 if size[1] >= size[0] else EDGE_LYING)
         if score > best[0]:
             best = score, quad
     return best[1]
@@ -134,15 +145,17 @@ def _closed_grey(gray: np.ndarray, size: int) -> np.ndarray:
 def regions(image: np.ndarray) -> dict[str, list[np.ndarray]]:
     """Outlines by detector: the page's frame, edges, brightness, white of little colour."""
     gray = k.grey(image)
-    frame = k.gradient(_closed_grey(np.minimum(even_light(gray, 37), 200), 10)) > 55
-    edges = k.close(k.gradient(k.smooth(even_light(gray, 51), 3)) > 40, 9, 9)
+    frame = k.gradient(_closed_grey(np.minimum(even_light(gray, 37), FRAME_MOST), FRAME_SIZE)) > FRAME_STEEP
+    edges = k.close(k.gradient(k.smooth(even_light(gray, 51), 3)) > EDGES_STEEP, EDGES_SIZE, EDGES_SIZE)
     light = k.smooth(even_light(gray, 51), 5)
-    bright = k.opened(k.close(light > min(245, k.otsu(light) + 4), 13, 13), 13, 13)
+    bright = k.opened(k.close(light > min(BRIGHT_MOST, k.otsu(light) + BRIGHT_MORE), BRIGHT_SIZE, BRIGHT_SIZE), BRIGHT_SIZE, BRIGHT_SIZE)
     value, spread = image.max(axis=2), image.max(axis=2) - image.min(axis=2)
     saturation = np.where(value > 0, spread / np.maximum(value, 1) * 255, 0)
     even = even_light(value, 43)
-    white = (even >= max(122, k.otsu(even) - 8)) & (saturation <= min(100.0, float(np.percentile(saturation, 72)) + 18)) | (value >= 245) & (saturation <= 70)
-    white = k.opened(k.close(white, 11, 11), 11, 11)
+    most, percentile, more = WHITE_COLOUR
+    pale = saturation <= min(most, float(np.percentile(saturation, percentile)) + more)
+    white = (even >= max(WHITE_LEAST, k.otsu(even) - WHITE_LESS)) & pale | (value >= GLARE[0]) & (saturation <= GLARE[1])
+    white = k.opened(k.close(white, WHITE_SIZE, WHITE_SIZE), WHITE_SIZE, WHITE_SIZE)
 
     def rectangles(mask: np.ndarray) -> list[np.ndarray]:
         quads = [(hull, k.four_corners(hull)) for hull in list(_outlines(mask, REGION_AREA, grow=3))[:12]]
