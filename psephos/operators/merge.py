@@ -54,7 +54,8 @@ def allocate_ids(rows: DataFrame, rank: str, used: DataFrame | None = None, mult
     if gcd(multiplier, size) != 1:
         raise ValueError("the multiplier must be coprime to the number of ids")
     key = F.col(rank).cast("long")
-    first = F.lit(FIRST_ID) + F.pmod(F.pmod(key, F.lit(size)) * multiplier + shift, F.lit(size))
+    place = lambda n: F.lit(FIRST_ID) + F.pmod(F.pmod(n, F.lit(size)) * multiplier + shift, F.lit(size))
+    first = place(key)
     if used is None:
         beyond = F.raise_error(F.concat(F.lit(f"{size} ids, and no rank "), key.cast("string"))).cast("long")
         return rows.withColumn("random_ballot_id", F.when((key < 0) | (key >= size), beyond).otherwise(first))
@@ -66,9 +67,13 @@ def allocate_ids(rows: DataFrame, rank: str, used: DataFrame | None = None, mult
     count = moved.count()
     if not count:
         return rows.withColumn("random_ballot_id", first)
-    spread = rows.sparkSession.range(FIRST_ID, LAST_ID + 1).select(F.col("id").alias("_id"))
-    free = spread.join(taken.unionByName(kept.select("_id")), "_id", "left_anti")
-    if count > (left := free.count()):
+    # Ids of ranks from the middle on: some more than are needed, and all if those don't do.
+    for some in sorted({min(size, 2 * count + 1000), size}):
+        spread = rows.sparkSession.range(some).select(place(F.col("id") + size // 2).alias("_id"))
+        free = spread.join(taken.unionByName(kept.select("_id")), "_id", "left_anti")
+        if count <= (left := free.count()):
+            break
+    else:
         raise ValueError(f"{count} more ids are needed, and {left} of {size} are free")
     given = hash_ranked(moved, "_key").join(hash_ranked(free, "_id"), "_rank").select("_key", "_id")
     given = kept.select("_key", "_id").unionByName(given).withColumnRenamed("_id", "random_ballot_id")
