@@ -25,24 +25,28 @@ def _let(value: str, name: str, body: str) -> str:
 
 _WORDS = f"CASE WHEN trim(BOTH {_SPACE} FROM text) = '' THEN array() ELSE split(trim(BOTH {_SPACE} FROM text), '[\\\\x20\\\\x09-\\\\x0D]+') END"
 
-# Windows of three words as (hash, words, place) in order: equal windows are neighbours, and the words
-# decide where hashes are equal.  The places of windows that have an equal neighbour are put in order; each covers three words, less
-# what the next one covers too.
-_SAME = "(get(s, i {0} 1).g = x.g AND get(s, i {0} 1).a = x.a AND get(s, i {0} 1).b = x.b AND get(s, i {0} 1).c = x.c)"
-_WINDOW = "struct(xxhash64(get(h, i), get(h, i + 1), get(h, i + 2)) AS g, x AS a, get(v, i + 1) AS b, get(v, i + 2) AS c, i AS i)"
-_REPEATS = _let(
-    "words", "v",
-    _let(
-        "transform(v, w -> xxhash64(w))", "h",
-        _let(
-            f"sort_array(transform(slice(v, 1, greatest(size(v) - 2, 0)), (x, i) -> {_WINDOW}))", "s",
-            _let(
-                f"sort_array(transform(filter(s, (x, i) -> {_SAME.format('-')} OR {_SAME.format('+')}), x -> x.i))", "p",
-                "aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(3, b - a)), 0L, (n, x) -> n + x)",
-            ),
-        ),
-    ),
-)
+# Windows of three words as (hash, place) in order: equal windows are neighbours.  The places of windows
+# that have an equal neighbour are put in order; each covers three words, less what the next one covers too.
+# Where neighbours of one hash differ in words (a collision), the row's windows are sorted with their words.
+_COVERED = "aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(3, b - a)), 0L, (n, x) -> n + x)"
+_PLACES = "greatest(size(v) - 2, 0)"
+_BY_WORDS = f"sort_array(transform(slice(v, 1, {_PLACES}), (x, i) -> struct(x AS a, get(v, i + 1) AS b, get(v, i + 2) AS c, i AS i)))"
+_COLLISION = "exists(zip_with(s, slice(s, 2, size(s)), (x, y) -> x.g = y.g AND NOT (get(v, x.i) = get(v, y.i) AND get(v, x.i + 1) = get(v, y.i + 1) AND get(v, x.i + 2) = get(v, y.i + 2))), x -> x)"
+_SAME_WORDS = "(get(s, i {0} 1).a = x.a AND get(s, i {0} 1).b = x.b AND get(s, i {0} 1).c = x.c)"
+
+
+def _repeated(same: str) -> str:
+    """Words that repeated windows cover, of the ordered windows ``s``."""
+    return _let(f"sort_array(transform(filter(s, (x, i) -> {same.format('-')} OR {same.format('+')}), x -> x.i))", "p", _COVERED)
+
+
+def repeats(mixed: str = "xxhash64({0})") -> str:
+    """Words that repeated windows of ``words`` cover, by a hash of three hashes."""
+    of_hash = mixed.format("x, get(h, i + 1), get(h, i + 2)")
+    by_hash = f"sort_array(transform(slice(h, 1, {_PLACES}), (x, i) -> struct({of_hash} AS g, i AS i)))"
+    either = f"CASE WHEN coalesce({_COLLISION}, false) THEN {_let(_BY_WORDS, 's', _repeated(_SAME_WORDS))} ELSE {_repeated('get(s, i {0} 1).g = x.g')} END"
+    return _let("words", "v", _let("transform(v, w -> xxhash64(w))", "h", _let(by_hash, "s", either)))
+
 
 _LINES = _let(
     f"filter(split(text, '\\n'), x -> trim(BOTH {_SPACE} FROM x) <> '')", "l",
@@ -63,7 +67,7 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.expr("CAST(regexp_count(text, '[#*$%&|<>]') AS BIGINT)").alias("n_symbols"),
         F.expr("CAST(regexp_count(text, '!') AS BIGINT)").alias("n_exclaims"),
         F.expr(_LINES).alias("lines"),
-        F.expr(_REPEATS).alias("n_repeat_words"),
+        F.expr(repeats()).alias("n_repeat_words"),
     ).select("doc_id", *carry, "n_words", "word_chars", "n_symbols", "lines.*", "n_repeat_words", "n_exclaims")
 
 

@@ -366,6 +366,15 @@ def test_quality(spark, docs):
     assert got == sorted(expected)
 
 
+def test_repeated_windows_whatever_the_hash(spark):
+    """With a hash of three values nearly all windows collide, and the words decide."""
+    r = random.Random(4)
+    rows = [(i, [r.choice("abc") for _ in range(r.randrange(40))]) for i in range(60)] + [(100, []), (101, ["a"]), (102, ["a", "b", "c"]), (103, ["a"] * 9)]
+    d = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    got = {x.doc_id: (x.weak, x.strong) for x in d.select("doc_id", F.expr(quality_ledger.repeats("pmod(xxhash64({0}), 3)")).alias("weak"), F.expr(quality_ledger.repeats()).alias("strong")).collect()}
+    assert got == {i: (plain_quality(" ".join(w))[4],) * 2 for i, w in rows}
+
+
 def test_quality_policies(spark, docs):
     rows = quality_ledger.ledger(docs)
     kept = rows.filter(quality_ledger.passes("v2")).count()
