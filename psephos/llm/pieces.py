@@ -27,7 +27,7 @@ _SIGN_RUN = re.compile(r",(?<=[\W_],)(?=\s)"), re.compile(r"\.(?<=[\W_]\.)(?=\s)
 _LINE_RUN = re.compile(r"\n(?:\s|(?<=\s\n))")
 #: Units and pieces that each generation of the cache holds, and characters of the longest that is kept:
 #: with its ids such a one takes less than a kilobyte, words of ten characters some 200 bytes.
-MOST_CACHED, MOST_CHARS = 450_000, 64
+MOST_CACHED, MOST_CHARS = 300_000, 64
 
 
 class _Cache(dict):
