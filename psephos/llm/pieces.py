@@ -21,6 +21,8 @@ from psephos.llm.common import one_thread
 _INSIDE_RUN = re.compile(r"\s (?!\S)")
 #: Characters whose class may differ between Unicode versions.
 _RECENT = re.compile("[鼀-\U0010ffff]")
+#: Those, and white space other than blanks and line ends: one look tells that a text has neither.
+_UNUSUAL = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000鼀-\U0010ffff]")
 #: Full stops and commas that may belong to the piece before them: after a sign, or after white space.
 _SIGN_RUN = re.compile(r",(?<=[\W_],)(?=\s)"), re.compile(r"\.(?<=[\W_]\.)(?=\s)")
 #: A line end with more white space beside it.
@@ -70,9 +72,11 @@ class PieceEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.whole and (any(x in text for x in self.special) or _RECENT.search(text)):
+        unusual = _UNUSUAL.search(text) is not None
+        if self.whole and (any(x in text for x in self.special) or unusual and _RECENT.search(text)):
             return self.whole(text)
-        if "\0" in text or _INSIDE_RUN.search(text):
+        runs = unusual or "  " in text or "\n " in text
+        if runs and ("\0" in text or _INSIDE_RUN.search(text)):
             return b"".join(map(self.ids.__getitem__, self.ids.split(text)))
         # The marks behind a sign come with the next cuts where those follow, so that no unit is empty.
         lines = "\n" in text and not _LINE_RUN.search(text)
