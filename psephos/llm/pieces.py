@@ -44,7 +44,7 @@ class _Cache(dict):
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
-            if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            if unit.isalpha() or unit[:1] == " " and unit[1:].isalpha():
                 ids = self.encode(unit)
             else:
                 pieces = self.split(unit)
@@ -116,8 +116,9 @@ def library_encoder(path: str) -> PieceEncoder:
         blank, ids = alphabet[32], [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size() + 1)]
 
         def piece(text: str) -> bytes:
-            if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # letters stand for themselves
-                text = blank + text[1:] if text[0] == " " else text
+            word = text[1:] if text[:1] == " " else text
+            if word.isascii() and word.isalpha():  # letters stand for themselves
+                text = text if word is text else blank + word
             else:
                 text = text.encode().decode("latin-1").translate(alphabet)
             return b"".join([ids[t.id] for t in model.tokenize(text)])
