@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def best(names: list[str], score: str, passes: str, order: str) -> Column:
+    """The aggregate behind best_detection: a struct of the names, null where no score is positive."""
+    key = F.struct(F.col(passes).cast("int").alias("p"), F.col(score).alias("s"), (-F.col(order)).alias("first"))
+    return F.max_by(F.struct(*names), F.when(F.col(score) > 0, key))
+
+
 def best_detection(boxes: DataFrame, image: str, score: str, passes: str, order: str) -> DataFrame:
     """Of each image the best box that passes geometry, else the best of all; only positive scores count.
     The first one wins if equal.  A partial aggregation, so images with many boxes are no burden."""
     names = [c for c in boxes.columns if c != image]
-    key = F.struct(F.col(passes).cast("int").alias("p"), F.col(score).alias("s"), (-F.col(order)).alias("first"))
-    return boxes.filter(F.col(score) > 0).groupBy(image).agg(F.max_by(F.struct(*names), key).alias("_b")).select(image, "_b.*")
+    return boxes.filter(F.col(score) > 0).groupBy(image).agg(best(names, score, passes, order).alias("_b")).select(image, "_b.*")
 
 
 def filled(checksums: Column) -> Column:

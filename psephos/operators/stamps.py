@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,37 +28,42 @@ _SOURCE = ("origin", "height", "width", "nChannels", "data")
 
 def normalised(image: np.ndarray) -> tuple[np.ndarray, float]:
     """The page made level, its lightness with local contrast and its colours' ratios kept; and the turn."""
-    level, turn = b.deskewed(image)
-    gray = np.maximum(k.grey(level), 1)
+    gray = k.grey(image)
+    level, turn = b.deskewed(image, gray)
+    gray = np.maximum(k.rotate(gray, turn) if turn else gray, 1)
     ratio = k.local_contrast(gray, 2.0) / gray
     return np.clip(np.rint(level * ratio[..., None]), 0, 255).astype(np.uint8), turn
 
 
-def candidates(images: DataFrame, detect: Detector, template: np.ndarray | None = None) -> DataFrame:
+def candidates(images: DataFrame, detect: Detector, template: np.ndarray | None = None, opened: b.Opener = b.pixels) -> DataFrame:
     """(image, skew_deg, ord, score, bbox, features) of every candidate; a page without any has one row of nulls."""
+    names = ["image", "skew_deg", "ord", "score", "x0", "y0", "x1", "y1", *FEATURES]
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.float64(), *[pa.int64()] * 4, *[pa.float64()] * len(FEATURES)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, image in b._arrays(frames):
-            page, turn = normalised(image)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in b.row_slices(batches):
             rows = []
-            for i, (score, *box) in enumerate(detect(page)):
-                found = b.stamp_features(page, tuple(box), template)
-                rows.append((name, turn, i + 1, float(score), *map(int, box), *(float(found.get(f, 0.0)) for f in FEATURES)))
-            rows = rows or [(name, turn, *[None] * (6 + len(FEATURES)))]
-            yield pd.DataFrame(rows, columns=["image", "skew_deg", "ord", "score", "x0", "y0", "x1", "y1", *FEATURES]).astype({c: "Int64" for c in ("ord", "x0", "y0", "x1", "y1")})
+            for row in part:
+                name, (page, turn), found = row["origin"], normalised(opened(row)), 0
+                for found, (score, *box) in enumerate(detect(page), 1):
+                    features = b.stamp_features(page, tuple(box), template)
+                    rows.append((name, turn, found, float(score), *map(int, box), *(float(features.get(f, 0.0)) for f in FEATURES)))
+                if not found:
+                    rows.append((name, turn, *[None] * (6 + len(FEATURES))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     schema = "image string, skew_deg double, ord long, score double, x0 long, y0 long, x1 long, y1 long, " + ", ".join(f"{f} double" for f in FEATURES)
-    found = images.select(*_SOURCE).mapInPandas(run, schema)
+    found = (images.select(*_SOURCE) if opened is b.pixels else images).mapInArrow(run, schema)
     box = F.when(F.col("ord").isNotNull(), F.array(*[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")]))
     features = F.struct(*[F.col(f).cast("int" if f == "blob_count" else "double").alias(f) for f in FEATURES])
     return found.select("image", "skew_deg", "ord", "score", box.alias("bbox"), features.alias("features"))
 
 
-def predict(images: DataFrame, detect: Detector, template: np.ndarray | None = None, thresholds: decisions.Thresholds = decisions.Thresholds(), limits: decisions.GeometryLimits = decisions.GeometryLimits()) -> DataFrame:
+def predict(images: DataFrame, detect: Detector, template: np.ndarray | None = None, thresholds: decisions.Thresholds = decisions.Thresholds(), limits: decisions.GeometryLimits = decisions.GeometryLimits(), opened: b.Opener = b.pixels) -> DataFrame:
     """The manifest of a batch of images: decision, score, box, geometry, features and skew of each."""
-    rows = candidates(images, detect, template).withColumn("geo_ok", F.coalesce(decisions.geometry_gate(F.col("features"), limits), F.lit(False)))
-    best = detections.best_detection(rows.drop("skew_deg"), "image", "score", "geo_ok", "ord")
-    pages = rows.groupBy("image").agg(F.first("skew_deg").alias("skew_deg")).join(best, "image", "left")
+    rows = candidates(images, detect, template, opened).withColumn("geo_ok", F.coalesce(decisions.geometry_gate(F.col("features"), limits), F.lit(False)))
+    best = detections.best(["score", "geo_ok", "bbox", "features"], "score", "geo_ok", "ord")  # with the skew at once: pixels are looked at once
+    pages = rows.groupBy("image").agg(F.first("skew_deg").alias("skew_deg"), best.alias("_b")).select("image", "skew_deg", "_b.*")
     score, geometry = F.coalesce("score", F.lit(0.0)), F.coalesce("geo_ok", F.lit(False))
     return pages.select("image", decisions.stamp_decision(score, geometry, thresholds).alias("decision"), score.alias("score"), "bbox", geometry.alias("geo_ok"), F.when(F.col("bbox").isNotNull(), F.col("features")).alias("features"), "skew_deg")
 

@@ -19,6 +19,8 @@ from psephos.operators.dataset import POSITIONS, drawn, weighted_choice
 
 # Shares of pages without a stamp and with pen marks, tries for a place at the border, and its width.
 NEGATIVE, DECOYS, TRIES, BORDER, TOP, RIGHT = 0.30, 0.70, 100, 0.24, 0.22, 0.70
+#: Columns of the plan that drawing takes.
+PLANNED = ("has_stamp", "decoys", "size", "angle", "opacity", "x", "y")
 
 
 def uniform(key: Column, seed: str, low: Column | float, high: Column | float) -> Column:
@@ -89,11 +91,22 @@ def with_decoys(page: np.ndarray, count: int, seed: int) -> np.ndarray:
                 u, v = int(x + t * r.integers(8, 14)), int(y + t * r.integers(-9, 9))
                 out[max(0, v) : v + 2, max(0, u) : u + 2] = 40
         else:
-            yy, xx = np.ogrid[:height, :width]
-            out[(yy - y) ** 2 + (xx - x) ** 2 <= int(r.integers(3, 6)) ** 2] = 40
+            radius = int(r.integers(3, 6))
+            top, left = max(0, y - radius), max(0, x - radius)
+            near = out[top : y + radius + 1, left : x + radius + 1]
+            yy, xx = np.ogrid[top : top + near.shape[0], left : left + near.shape[1]]
+            near[(yy - y) ** 2 + (xx - x) ** 2 <= radius**2] = 40
     return out
 
 
+def drawn_page(row: dict, page: np.ndarray, stamp: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int, int] | None]:
+    """A page as its plan has it, and the box of the stamp's visible part."""
+    page = with_decoys(page, int(row["decoys"]), int(row["y"]) + 7919 * int(row["x"]))
+    if not row["has_stamp"]:
+        return page, None
+    return b.place_stamp(page, transformed(stamp, int(row["size"]), float(row["angle"])), int(row["x"]), int(row["y"]), float(row["opacity"]))
+
+
 def composed(pages: DataFrame, stamp: np.ndarray) -> DataFrame:
     """Planned pages (image source columns and the plan's) as images with their label: (origin, ..., has_stamp, x, y, w, h).
 
@@ -103,14 +116,10 @@ def composed(pages: DataFrame, stamp: np.ndarray) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                page = with_decoys(b.to_array(row.height, row.width, row.nChannels, row.data), int(row.decoys), int(row.y) + 7919 * int(row.x))
-                box = None
-                if row.has_stamp:
-                    page, box = b.place_stamp(page, transformed(stamp, int(row.size), float(row.angle)), int(row.x), int(row.y), float(row.opacity))
+                page, box = drawn_page({c: getattr(row, c) for c in PLANNED}, b.to_array(row.height, row.width, row.nChannels, row.data), stamp)
                 yield pd.DataFrame([(row.origin, page.shape[0], page.shape[1], 3, np.ascontiguousarray(page).tobytes(), box is not None, *(box or (None,) * 4))], columns=["origin", "height", "width", "nChannels", "data", "has_stamp", "x", "y", "w", "h"]).astype({c: "Int64" for c in "xywh"})
 
-    wanted = ("origin", "height", "width", "nChannels", "data", "has_stamp", "decoys", "size", "angle", "opacity", "x", "y")
-    return pages.select(*wanted).mapInPandas(run, "origin string, height int, width int, nChannels int, data binary, has_stamp boolean, x long, y long, w long, h long")
+    return pages.select("origin", "height", "width", "nChannels", "data", *PLANNED).mapInPandas(run, "origin string, height int, width int, nChannels int, data binary, has_stamp boolean, x long, y long, w long, h long")
 
 
 def label_lines(images: DataFrame) -> DataFrame:
