@@ -44,11 +44,13 @@ def preference_facts(digits: DataFrame, ranked: DataFrame, election: str) -> Dat
     return digits.filter("preference IS NOT NULL AND row_num IS NOT NULL").join(ranked, [election, "row_num"])
 
 
-def allocate_ids(rows: DataFrame, rank: str, used: DataFrame | None = None, multiplier: int = 7_368_787, shift: int = 12_345) -> DataFrame:
+def allocate_ids(rows: DataFrame, rank: str, used: DataFrame | None = None, multiplier: int = 7_368_787, shift: int = 12_345, shared: bool = False) -> DataFrame:
     """random_ballot_id by a bijection of ranks (from 0) onto the id range; a rank beyond the range is an error.
 
     With a table of ids in use, ``rank`` may be any whole number: each keeps the id of its place in the
     range if that is free (of several, the least one does), and the others get the ids that are left.
+    More keys than free ids are an error; ``shared`` allows them: as many as there are free ids get one each,
+    and only those beyond keep the id of their place, which another one has too.
     """
     size = LAST_ID - FIRST_ID + 1
     if gcd(multiplier, size) != 1:
@@ -74,8 +76,10 @@ def allocate_ids(rows: DataFrame, rank: str, used: DataFrame | None = None, mult
         if count <= (left := free.count()):
             break
     else:
-        raise ValueError(f"{count} more ids are needed, and {left} of {size} are free")
-    given = hash_ranked(moved, "_key").join(hash_ranked(free, "_id"), "_rank").select("_key", "_id")
+        if not shared:
+            raise ValueError(f"{count} more ids are needed, and {left} of {size} are free")
+    given = hash_ranked(moved, "_key").join(hash_ranked(free, "_id"), "_rank", "left" if shared else "inner")
+    given = given.select("_key", F.coalesce("_id", place(F.col("_key"))).alias("_id"))
     given = kept.select("_key", "_id").unionByName(given).withColumnRenamed("_id", "random_ballot_id")
     return rows.join(given, key == F.col("_key"), "left").drop("_key")
 
