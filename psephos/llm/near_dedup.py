@@ -13,11 +13,12 @@ once in 100,000).  Texts of equal words (lower-cased, white space apart) are one
 paired.  Classes are the connected components of links.  In each round every bucket that still holds
 several components has one leader, and its members of other components are compared with that one, so
 a round costs no more pairs than members.  Leaders are drawn anew in each bucket and round, from members
-that haven't led it while there are any: buckets of up to ROUNDS members are compared in full.  Rounds
-end when no bucket holds two components, when one of the later rounds finds nothing new, or after
-ROUNDS; a larger bucket may keep a link that no leader showed (README: measured recall).  Pairs whose
-one-bit signatures differ in more than MOST_BITS of the registers (five deviations beyond 0.8, once in
-400,000) are left out before any text is read.
+that haven't led it while there are any.  Rounds end when no bucket holds two components, when one finds
+nothing new, or after ROUNDS.  Then all pairs that are left are compared: of each bucket that still holds
+several components, every two members of different ones that haven't led it, in blocks of BLOCK members
+(a bucket's blocks meet in many tasks).  So every two texts with a common bucket end in one class or have
+been compared.  Pairs whose one-bit signatures differ in more than MOST_BITS of the registers (five
+deviations beyond 0.8, once in 400,000) are left out before any text is read.
 
 A text of fewer than five words is one shingle; null and empty texts have no words and are copies of
 each other.  Rows without doc_id belong to no class (null).  Rows that share a doc_id count as one
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 from psephos.llm.common import discard, slices, stored
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 50, 7
-#: Rounds of leaders; from LEAST_ROUNDS on, one that finds nothing new is the last.
-LEAST_ROUNDS, ROUNDS = 3, 8
+#: Rounds of leaders, before what is left is compared in full; one that finds nothing new is the last.
+ROUNDS = 3
+#: Members of a bucket that are compared with each other, or with as many others, at a time.
+BLOCK = 256
 #: Of BANDS * ROWS bits, the differences that pairs to verify may have: 35 are expected at 0.8, five deviations more are allowed.
 MOST_BITS, LONGS = 63, -(-BANDS * ROWS // 64)
 #: Up to so many ids are sent to every executor (8 bytes each); beyond, Spark joins by a shuffle.
@@ -203,6 +206,40 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_PAIR)
 
 
+_REST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("comp_a", pa.int64()), ("comp_b", pa.int64())])
+
+
+def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of different components whose bits are near, of two blocks of a bucket."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one, two = ({n: c for n, c in zip(("node", "comp", "bits", "plain"), batch.column(at)[row].values.flatten(), strict=True)} for at in (0, 1))
+            node, comp = ([np.asarray(x[c]) for x in (one, two)] for c in ("node", "comp"))
+            near = np.zeros((len(node[0]), len(node[1])), bool)
+            for c in ("bits", "plain"):
+                p, q = (x[c].flatten().to_numpy().view(np.uint64).reshape(-1, LONGS) for x in (one, two))
+                near |= np.bitwise_count(p[:, None, :] ^ q[None, :, :]).sum(axis=2, dtype=np.int64) <= MOST_BITS
+            i, j = np.nonzero(near & (comp[0][:, None] != comp[1][None, :]))
+            a, b, comp_a, comp_b = node[0][i], node[1][j], comp[0][i], comp[1][j]
+            turn = a > b
+            a, b, comp_a, comp_b = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, comp_b, comp_a), np.where(turn, comp_a, comp_b)
+            for part in range(0, max(1, len(a)), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[part : part + 10_000], pa.int64()) for x in (a, b, comp_a, comp_b)], schema=_REST)
+
+
+def _rest(state: DataFrame) -> DataFrame:
+    """Pairs (a, b, comp_a, comp_b) that no leader showed: near members of different components of a bucket that haven't led it."""
+    open_ = state.filter("NOT led")
+    mixed = stored(open_.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    placed = stored(open_.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
+    member = F.struct("node", "comp", "bits", F.col("plain_bits").alias("plain"))
+    blocks = stored(placed.groupBy("bucket", "block", "blocks").agg(F.collect_list(member).alias("m")), "blocks")
+    one = blocks.select("bucket", F.col("m").alias("one"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    both = one.join(blocks.select("bucket", "block", F.col("m").alias("two")), ["bucket", "block"])
+    found = both.select("one", "two").mapInArrow(_near_in_blocks, "a long, b long, comp_a long, comp_b long")
+    return found.distinct()
+
+
 def _differences(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)), F.lit(0))
 
@@ -238,6 +275,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
 
 
+def _merged(found: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(comp, root) of the components that new links merge, and of all that have been merged so far."""
+    merged = stored(components(found).select(F.col("node").alias("comp"), F.col("comp").alias("root")), "components")
+    discard(found)
+    if comps is None:
+        return merged, merged
+    before = comps.select(F.col("comp").alias("was"), F.col("root").alias("comp")).join(merged, "comp", "left").select(F.col("was").alias("comp"), F.coalesce("root", "comp").alias("root"))
+    return merged, stored(before.unionByName(merged.join(before.select("comp"), "comp", "left_anti")), "components")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, copy_of (least doc_id of its exact copies), class_id (least doc_id of its class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -273,18 +320,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         discard(last, leader)
         pairs = state.filter("near").select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
         found = stored(_links(pairs, texts), "links")
+        state = state.select("bucket", *_MEMBER)
         if not found.limit(1).count():
-            if step + 1 >= LEAST_ROUNDS or not state.limit(1).count():
-                break
-            state = state.select("bucket", *_MEMBER)
-            continue
-        merged = stored(components(found).select(F.col("node").alias("comp"), F.col("comp").alias("root")), "components")
-        discard(found)
+            break
+        merged, comps = _merged(found, comps)
         state = state.join(merged, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).select("bucket", *_MEMBER)
-        if comps is not None:
-            before = comps.select(F.col("comp").alias("was"), F.col("root").alias("comp")).join(merged, "comp", "left").select(F.col("was").alias("comp"), F.coalesce("root", "comp").alias("root"))
-            merged = stored(before.unionByName(merged.join(before.select("comp"), "comp", "left_anti")), "components")
-        comps = merged
+    state = stored(state, "members")
+    discard(table)
+    found = stored(_links(_rest(state), texts), "links")
+    if found.limit(1).count():
+        comps = _merged(found, comps)[1]
 
     classes = nodes.select("digest", "node")
     if comps is not None:
