@@ -43,6 +43,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 50, 7
 ROUNDS = 3
 #: Members of a bucket that are compared with each other, or with as many others, at a time.
 BLOCK = 256
+#: A text's shingles are counted in so many cells, by frequency and by hash, to bound similarities; SLACK covers rounding.
+LEVELS, CELLS, SLACK = 8, 16, 1e-4
 #: Of BANDS * ROWS bits, the differences that pairs to verify may have: 35 are expected at 0.8, five deviations more are allowed.
 MOST_BITS, LONGS = 63, -(-BANDS * ROWS // 64)
 #: Up to so many ids are sent to every executor (8 bytes each); beyond, Spark joins by a shuffle.
@@ -206,34 +208,106 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_PAIR)
 
 
+_POSTING = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("version", pa.int64()), ("comp", pa.int64()), ("weight", pa.float64())])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct shingle of a text; texts that share a node are versions."""
+    for part in slices(batches, rows=64, chars=1_000_000):
+        for node, comp, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            words = split_words(text)
+            found, weight = weighted(words)
+            version = xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
+            for at in range(0, len(found), 10_000):
+                own = found[at : at + 10_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.full(len(own), x)) for x in (node, version, comp)), pa.array(weight[at : at + 10_000])], schema=_POSTING)
+    _words.clear()
+
+
+_FOLDED = pa.schema([("node", pa.int64()), ("size", pa.float64()), ("total", pa.float64()), ("cells", pa.binary())])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's size, total weight and cells: counts, and where they differ weights and largest weights."""
+    for part in slices(batches):
+        node, lists = part.column(0), part.column(1)
+        out = []
+        for of in lists.to_pylist():
+            sums = np.zeros((3, LEVELS * CELLS + 1))
+            sums[:, [x["cell"] for x in of]] = np.array([(x["n"], x["w"], x["m"]) for x in of]).T
+            cells = sums[:, :-1].astype(np.float32)
+            out.append((sums[0].sum(), sums[1].sum(), (cells[:1] if (cells[1:] == cells[0]).all() else cells).tobytes()))
+        yield pa.RecordBatch.from_arrays([node, *(pa.array([x[i] for x in out], _FOLDED.field(i + 1).type) for i in range(3))], schema=_FOLDED)
+
+
+def _cells(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, size, total, cells) of the nodes that are open, one row for each text.
+
+    Cells are by how many open texts hold a shingle (LEVELS, of two octaves) and by its hash.  Only shingles
+    that stand in several components are in a cell: no two texts of unlike components share others.
+    """
+    postings = open_.select("node", "comp").distinct().join(texts, "node").select("node", "comp", "text").mapInArrow(_postings, "shingle long, node long, version long, comp long, weight double")
+    postings = stored(postings, "postings")
+    common = postings.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.max("weight").alias("most")).filter("x < y")
+    level = F.least(F.lit(LEVELS - 1), F.floor(F.log2("n") / 2)).cast("int")
+    common = stored(common.select("shingle", "most", (level * CELLS + F.pmod("shingle", F.lit(CELLS)).cast("int")).alias("cell")), "common")
+    sums = postings.join(common, "shingle", "left").groupBy("node", "version", F.coalesce("cell", F.lit(LEVELS * CELLS)).alias("cell")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.coalesce("most", "weight")).alias("m"))
+    lists = sums.groupBy("node", "version").agg(F.collect_list(F.struct("cell", "n", "w", "m")).alias("of"))
+    folded = stored(lists.select("node", "of").mapInArrow(_folded, "node long, size double, total double, cells binary"), "cells")
+    discard(postings, common)
+    return folded
+
+
+class _Members:
+    """Members of a block, their cells as arrays (members x cells)."""
+
+    def __init__(self, block: pa.StructArray):
+        self.node, self.comp, self.size, self.total = (block.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "size", "total"))
+        each = [np.frombuffer(c, np.float32).reshape(-1, LEVELS * CELLS) for c in block.field("cells").to_pylist()]
+        self.cells = np.stack([np.broadcast_to(c, (3, LEVELS * CELLS)) for c in each], axis=1).astype(np.float64)
+
+
+def most_alike(x: _Members, y: _Members, cells_x: np.ndarray, cells_y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound of both similarities of the texts i of x and j of y.
+
+    Of a cell, two texts share no more than the smaller of their counts, and of a text's weight no more than
+    the other's shingles weigh at most.  So the plain similarity is bounded; the probability Jaccard is at
+    most pq / (p + q - pq), where p and q are the shares of the two texts' weights that both hold.
+    """
+    (n_x, w_x, m_x), (n_y, w_y, m_y) = cells_x, cells_y
+    both = np.minimum(n_x[i], n_y[j]).sum(axis=1)
+    p = np.minimum(1, np.minimum(w_x[i], m_y[j]).sum(axis=1) / x.total[i])
+    q = np.minimum(1, np.minimum(m_x[i], w_y[j]).sum(axis=1) / y.total[j])
+    return np.maximum(both / (x.size[i] + y.size[j] - both), p * q / np.maximum(p + q - p * q, 1e-300))
+
+
 _REST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("comp_a", pa.int64()), ("comp_b", pa.int64())])
 
 
 def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of different components whose bits are near, of two blocks of a bucket."""
+    """Pairs (a < b) of different components that may be linked, of two blocks of a bucket."""
     for batch in batches:
         for row in range(batch.num_rows):
-            one, two = ({n: c for n, c in zip(("node", "comp", "bits", "plain"), batch.column(at)[row].values.flatten(), strict=True)} for at in (0, 1))
-            node, comp = ([np.asarray(x[c]) for x in (one, two)] for c in ("node", "comp"))
-            near = np.zeros((len(node[0]), len(node[1])), bool)
-            for c in ("bits", "plain"):
-                p, q = (x[c].flatten().to_numpy().view(np.uint64).reshape(-1, LONGS) for x in (one, two))
-                near |= np.bitwise_count(p[:, None, :] ^ q[None, :, :]).sum(axis=2, dtype=np.int64) <= MOST_BITS
-            i, j = np.nonzero(near & (comp[0][:, None] != comp[1][None, :]))
-            a, b, comp_a, comp_b = node[0][i], node[1][j], comp[0][i], comp[1][j]
+            x, y = (_Members(batch.column(at)[row].values) for at in (0, 1))
+            i, j = np.nonzero(x.comp[:, None] != y.comp[None, :])
+            for cells_x, cells_y in ((x.cells.sum(axis=2, keepdims=True), y.cells.sum(axis=2, keepdims=True)), (x.cells, y.cells)):  # all cells as one first
+                keep = [most_alike(x, y, cells_x, cells_y, i[k : k + 2_000], j[k : k + 2_000]) >= SIMILARITY - SLACK for k in range(0, len(i), 2_000)]
+                keep = np.concatenate([*keep, np.zeros(0, bool)])
+                i, j = i[keep], j[keep]
+            a, b, comp_a, comp_b = x.node[i], y.node[j], x.comp[i], y.comp[j]
             turn = a > b
             a, b, comp_a, comp_b = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, comp_b, comp_a), np.where(turn, comp_a, comp_b)
-            for part in range(0, max(1, len(a)), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[part : part + 10_000], pa.int64()) for x in (a, b, comp_a, comp_b)], schema=_REST)
+            for part in range(0, len(a), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[part : part + 10_000], pa.int64()) for v in (a, b, comp_a, comp_b)], schema=_REST)
 
 
-def _rest(state: DataFrame) -> DataFrame:
-    """Pairs (a, b, comp_a, comp_b) that no leader showed: near members of different components of a bucket that haven't led it."""
+def _rest(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, comp_a, comp_b) that no leader showed and that may be linked: members of different components of a bucket that haven't led it."""
     open_ = state.filter("NOT led")
     mixed = stored(open_.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    placed = stored(open_.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
-    member = F.struct("node", "comp", "bits", F.col("plain_bits").alias("plain"))
-    blocks = stored(placed.groupBy("bucket", "block", "blocks").agg(F.collect_list(member).alias("m")), "blocks")
+    placed = stored(open_.join(mixed, "bucket").select("bucket", "node", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "placed")
+    placed = placed.join(_cells(placed, texts), "node")
+    blocks = stored(placed.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "comp", "size", "total", "cells")).alias("m")), "blocks")
     one = blocks.select("bucket", F.col("m").alias("one"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     both = one.join(blocks.select("bucket", "block", F.col("m").alias("two")), ["bucket", "block"])
     found = both.select("one", "two").mapInArrow(_near_in_blocks, "a long, b long, comp_a long, comp_b long")
@@ -327,7 +401,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         state = state.join(merged, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).select("bucket", *_MEMBER)
     state = stored(state, "members")
     discard(table)
-    found = stored(_links(_rest(state), texts), "links")
+    found = stored(_links(_rest(state, texts), texts), "links")
     if found.limit(1).count():
         comps = _merged(found, comps)[1]
 
