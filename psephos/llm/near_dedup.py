@@ -17,8 +17,8 @@ that haven't led it while there are any.  Rounds end when no bucket holds two co
 nothing new, or after ROUNDS.  Then all pairs that are left are compared: of each bucket that still holds
 several components, every two members of different ones that haven't led it, in blocks of BLOCK members
 (a bucket's blocks meet in many tasks).  So every two texts with a common bucket end in one class or have
-been compared.  Pairs whose one-bit signatures differ in more than MOST_BITS of the registers (five
-deviations beyond 0.8, once in 400,000) are left out before any text is read.
+been compared.  Texts are read for all pairs with a leader, and for those of the rest that may be linked by an
+exact bound of both similarities (most_alike): no pair is left out by an estimate.
 
 A text of fewer than five words is one shingle; null and empty texts have no words and are copies of
 each other.  Rows without doc_id belong to no class (null).  Rows that share a doc_id count as one
@@ -45,8 +45,6 @@ ROUNDS = 3
 BLOCK = 256
 #: A text's shingles are counted in so many cells, by frequency and by hash, to bound similarities; SLACK covers rounding.
 LEVELS, CELLS, SLACK = 8, 16, 1e-4
-#: Of BANDS * ROWS bits, the differences that pairs to verify may have: 35 are expected at 0.8, five deviations more are allowed.
-MOST_BITS, LONGS = 63, -(-BANDS * ROWS // 64)
 #: Up to so many ids are sent to every executor (8 bytes each); beyond, Spark joins by a shuffle.
 MOST_BROADCAST_IDS = 500_000
 
@@ -161,16 +159,9 @@ def split_words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def bits_of(signature: np.ndarray) -> np.ndarray:
-    """One bit of each register, as LONGS signed 64-bit integers a text."""
-    bits = np.zeros((len(signature), LONGS * 64), np.uint8)
-    bits[:, : signature.shape[1]] = (_mix(signature) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
 _LONG_LIST = pa.list_(pa.int64())
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", _LONG_LIST), ("bits", _LONG_LIST), ("plain_bits", _LONG_LIST)])
-_SKETCH_DDL = "doc_id long, digest binary, bands array<long>, bits array<long>, plain_bits array<long>"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", _LONG_LIST)])
+_SKETCH_DDL = "doc_id long, digest binary, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +173,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = {i: weighted(texts[i]) for i in own}
         again = [i for i in own if each[i][1].max() > 1]  # texts that repeat shingles
         signed = signatures([*(each[i] for i in own), *((each[i][0], np.ones(len(each[i][0]))) for i in again)])
-        keys, bits = band_keys(signed).tolist(), bits_of(signed).tolist()
+        keys = band_keys(signed).tolist()
         plain = {i: len(own) + n for n, i in enumerate(again)}
         bands = {i: sorted({*keys[n], *keys[plain.get(i, n)]}) for n, i in enumerate(own)}
-        place = {i: n for n, i in enumerate(own)}
-        of = [seen[d] for d in digests]
-        columns = [[bands.get(i, []) for i in of], [bits[place[i]] if i in place else None for i in of], [bits[plain[i]] if i in plain else None for i in of]]
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), *(pa.array(c, _LONG_LIST) for c in columns)], schema=_SKETCH)
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array([bands.get(seen[d], []) for d in digests], _LONG_LIST)], schema=_SKETCH)
     _words.clear()  # other operators' tasks share the worker
 
 
-_MEMBER = ("node", "comp", "led", "bits", "plain_bits")
+_MEMBER = ("node", "comp", "led")
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -224,24 +212,25 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _words.clear()
 
 
-_FOLDED = pa.schema([("node", pa.int64()), ("size", pa.float64()), ("total", pa.float64()), ("cells", pa.binary())])
+_FOLDED = pa.schema([("node", pa.int64()), ("size", pa.float64()), ("total", pa.float64()), ("scale", pa.float64()), ("cells", pa.binary())])
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's size, total weight and cells: counts, and where they differ weights and largest weights."""
+    """Each text's size, total weight and cells: counts, and where they differ weights and largest weights, in bytes that are rounded up."""
     for part in slices(batches):
         node, lists = part.column(0), part.column(1)
         out = []
         for of in lists.to_pylist():
             sums = np.zeros((3, LEVELS * CELLS + 1))
             sums[:, [x["cell"] for x in of]] = np.array([(x["n"], x["w"], x["m"]) for x in of]).T
-            cells = sums[:, :-1].astype(np.float32)
-            out.append((sums[0].sum(), sums[1].sum(), (cells[:1] if (cells[1:] == cells[0]).all() else cells).tobytes()))
-        yield pa.RecordBatch.from_arrays([node, *(pa.array([x[i] for x in out], _FOLDED.field(i + 1).type) for i in range(3))], schema=_FOLDED)
+            scale = max(1.0, sums[:, :-1].max() / 255)
+            cells = np.minimum(255, np.ceil(sums[:, :-1] / scale - 1e-9)).astype(np.uint8)
+            out.append((sums[0].sum(), sums[1].sum(), scale, (cells[:1] if (cells[1:] == cells[0]).all() else cells).tobytes()))
+        yield pa.RecordBatch.from_arrays([node, *(pa.array([x[i] for x in out], _FOLDED.field(i + 1).type) for i in range(4))], schema=_FOLDED)
 
 
 def _cells(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, size, total, cells) of the nodes that are open, one row for each text.
+    """(node, size, total, scale, cells) of the nodes that are open, one row for each text.
 
     Cells are by how many open texts hold a shingle (LEVELS, of two octaves) and by its hash.  Only shingles
     that stand in several components are in a cell: no two texts of unlike components share others.
@@ -253,7 +242,7 @@ def _cells(open_: DataFrame, texts: DataFrame) -> DataFrame:
     common = stored(common.select("shingle", "most", (level * CELLS + F.pmod("shingle", F.lit(CELLS)).cast("int")).alias("cell")), "common")
     sums = postings.join(common, "shingle", "left").groupBy("node", "version", F.coalesce("cell", F.lit(LEVELS * CELLS)).alias("cell")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.coalesce("most", "weight")).alias("m"))
     lists = sums.groupBy("node", "version").agg(F.collect_list(F.struct("cell", "n", "w", "m")).alias("of"))
-    folded = stored(lists.select("node", "of").mapInArrow(_folded, "node long, size double, total double, cells binary"), "cells")
+    folded = stored(lists.select("node", "of").mapInArrow(_folded, "node long, size double, total double, scale double, cells binary"), "cells")
     discard(postings, common)
     return folded
 
@@ -262,9 +251,9 @@ class _Members:
     """Members of a block, their cells as arrays (members x cells)."""
 
     def __init__(self, block: pa.StructArray):
-        self.node, self.comp, self.size, self.total = (block.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "size", "total"))
-        each = [np.frombuffer(c, np.float32).reshape(-1, LEVELS * CELLS) for c in block.field("cells").to_pylist()]
-        self.cells = np.stack([np.broadcast_to(c, (3, LEVELS * CELLS)) for c in each], axis=1).astype(np.float64)
+        self.node, self.comp, self.size, self.total, scale = (block.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "size", "total", "scale"))
+        each = [np.frombuffer(c, np.uint8).reshape(-1, LEVELS * CELLS) for c in block.field("cells").to_pylist()]
+        self.cells = np.stack([np.broadcast_to(c, (3, LEVELS * CELLS)) for c in each], axis=1) * scale[None, :, None]
 
 
 def most_alike(x: _Members, y: _Members, cells_x: np.ndarray, cells_y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -307,17 +296,13 @@ def _rest(state: DataFrame, texts: DataFrame) -> DataFrame:
     mixed = stored(open_.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     placed = stored(open_.join(mixed, "bucket").select("bucket", "node", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "placed")
     placed = placed.join(_cells(placed, texts), "node")
-    blocks = stored(placed.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "comp", "size", "total", "cells")).alias("m")), "blocks")
+    blocks = stored(placed.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "comp", "size", "total", "scale", "cells")).alias("m")), "blocks")
     one = blocks.select("bucket", F.col("m").alias("one"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     both = one.join(blocks.select("bucket", "block", F.col("m").alias("two")), ["bucket", "block"])
     found = both.select("one", "two").mapInArrow(_near_in_blocks, "a long, b long, comp_a long, comp_b long")
     return found.distinct()
 
 
-def _differences(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)), F.lit(0))
-
-
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components (a, b), by the candidate pairs (a, b, comp_a, comp_b)."""
     for side in ("a", "b"):
@@ -363,8 +348,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, copy_of (least doc_id of its exact copies), class_id (least doc_id of its class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stored(docs.mapInArrow(_sketch, _SKETCH_DDL), "sketch")
-    nodes = sketch.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first(F.struct("bands", "bits", F.coalesce("plain_bits", "bits").alias("plain_bits"))).alias("s"))
-    nodes = stored(nodes.select("digest", "node", "s.*"), "nodes")
+    nodes = sketch.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.select("digest", "node", "bands"), "nodes")
 
     # Buckets of at least two nodes.  Counting is pre-aggregated; the join is split where a bucket is large.
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
@@ -377,22 +362,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     few = involved.count() <= MOST_BROADCAST_IDS
     named = F.broadcast(involved) if few else involved
     texts = stored(docs.withColumnRenamed("doc_id", "node").join(named, "node", "left_semi"), "texts").dropDuplicates(["node", "text"])
-    signed = nodes.join(named, "node", "left_semi").select("node", F.col("node").alias("comp"), F.lit(False).alias("led"), "bits", "plain_bits")
-    table = state = stored(members.join(signed, "node").select("bucket", *_MEMBER), "members")
-    discard(members)
+    table = members
+    state = members.select("bucket", "node", F.col("node").alias("comp"), F.lit(False).alias("led"))
 
     comps = None  # (comp, root): the rounds' components, for those that have been merged
     for step in range(ROUNDS):
-        order = F.struct("led", F.xxhash64(F.lit(step), "bucket", "node").alias("o"), "node", "comp", "bits", "plain_bits")
+        order = F.struct("led", F.xxhash64(F.lit(step), "bucket", "node").alias("o"), "node", "comp")
         leader = state.groupBy("bucket").agg(F.min(order).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-        leader = leader.select("bucket", F.col("l.node").alias("b"), F.col("l.comp").alias("comp_b"), F.col("l.bits").alias("bits_b"), F.col("l.plain_bits").alias("plain_b"))
+        leader = leader.select("bucket", F.col("l.node").alias("b"), F.col("l.comp").alias("comp_b"))
         leader = stored(leader, "leaders")
-        near = (_differences("bits", "bits_b") <= MOST_BITS) | (_differences("plain_bits", "plain_b") <= MOST_BITS)
-        met = state.join(leader, "bucket").withColumns({"led": F.col("led") | (F.col("node") == F.col("b")), "near": (F.col("comp") != F.col("comp_b")) & near})
-        last, table = table, stored(met.select("bucket", *_MEMBER, "b", "comp_b", "near"), "members")
+        met = state.join(leader, "bucket").withColumns({"led": F.col("led") | (F.col("node") == F.col("b")), "unlike": F.col("comp") != F.col("comp_b")})
+        last, table = table, stored(met.select("bucket", *_MEMBER, "b", "comp_b", "unlike"), "members")
         state = table
         discard(last, leader)
-        pairs = state.filter("near").select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
+        pairs = state.filter("unlike").select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
         found = stored(_links(pairs, texts), "links")
         state = state.select("bucket", *_MEMBER)
         if not found.limit(1).count():

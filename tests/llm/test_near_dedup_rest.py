@@ -81,7 +81,7 @@ def test_no_pair_is_more_alike_than_its_bound(spark):
     assert len(cells) == len(rows)
     each = [near_dedup.weighted(t.split()) for _, t in rows]
     by = {n: [c for c in cells if c.node == n] for n, _ in rows}
-    block = near_dedup.pa.array([{"node": c.node, "comp": c.node, "size": c.size, "total": c.total, "cells": bytes(c.cells)} for n in range(60) for c in by[n]])
+    block = near_dedup.pa.array([{"node": c.node, "comp": c.node, "size": c.size, "total": c.total, "scale": c.scale, "cells": bytes(c.cells)} for n in range(60) for c in by[n]])
     m = near_dedup._Members(block)
     i, j = np.triu_indices(len(block), 1)
     bound = near_dedup.most_alike(m, m, m.cells, m.cells, i, j)
@@ -93,3 +93,19 @@ def test_no_pair_is_more_alike_than_its_bound(spark):
             pair = tuple(sorted((rows[a][0], rows[b][0])))
             if pair[0] != pair[1]:
                 assert max(near_dedup.similarities(each[a], each[b])) <= most[pair] + near_dedup.SLACK
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_no_estimate_leaves_a_pair_out(spark, monkeypatch, rounds):
+    """Texts with a common bucket are judged by their words alone, whatever a shorter sketch says of them."""
+    import numpy as np
+
+    def apart(signature):
+        return np.random.default_rng(1).integers(-(2**63), 2**63 - 1, (len(signature), 6))
+
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "bits_of", apart, raising=False)
+    own = [f"w{n}" for n in range(200)]
+    texts = [(n, " ".join([*own[:-1], f"own{n}"])) for n in range(6)]
+    got = near_dedup.near_duplicate_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {row.class_id for row in got} == {0}
