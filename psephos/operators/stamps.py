@@ -27,10 +27,13 @@ _SOURCE = ("origin", "height", "width", "nChannels", "data")
 
 
 def normalised(image: np.ndarray) -> tuple[np.ndarray, float]:
-    """The page made level, its lightness with local contrast and its colours' ratios kept; and the turn."""
+    """The page made level, its lightness with local contrast and its colours' ratios kept; and the turn.
+
+    A turned page gets a larger image, so that a stamp in its corner isn't cut off.
+    """
     gray = k.grey(image)
-    level, turn = b.deskewed(image, gray)
-    gray = np.maximum(k.rotate(gray, turn) if turn else gray, 1)
+    level, turn = b.deskewed(image, gray, whole=True)
+    gray = np.maximum(k.grey(level) if turn else gray, 1)
     ratio = k.local_contrast(gray, 2.0) / gray
     return np.clip(np.rint(level * ratio[..., None]), 0, 255).astype(np.uint8), turn
 
@@ -44,9 +47,10 @@ def candidates(images: DataFrame, detect: Detector, template: np.ndarray | None
         for part in b.row_slices(batches):
             rows = []
             for row in part:
-                name, (page, turn), found = row["origin"], normalised(opened(row)), 0
+                name, image, found = row["origin"], opened(row), 0
+                page, turn = normalised(image)
                 for found, (score, *box) in enumerate(detect(page), 1):
-                    features = b.stamp_features(page, tuple(box), template)
+                    features = b.stamp_features(page, tuple(box), template, image.shape[0] * image.shape[1])
                     rows.append((name, turn, found, float(score), *map(int, box), *(float(features.get(f, 0.0)) for f in FEATURES)))
                 if not found:
                     rows.append((name, turn, *[None] * (6 + len(FEATURES))))
